@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from dockwatch.functions import status as st, textfn as tx, timefn as tf
 from dockwatch.operators import series
-from dockwatch.plans import (alerts as al, evaluate as ev, features as fe, forecasts as fc,
-                             history as hi, policy as po, profiles as pr, serve as sv, shapes as sh)
+from dockwatch.plans import (alerts as al, evaluate as ev, features as fe, forecasts as fc, learn as le,
+                             history as hi, policy as po, profiles as pr, scoring as sc, serve as sv,
+                             shapes as sh)
 from dockwatch.session import stage
 from dockwatch.sources import fixtures as fx
 
@@ -702,3 +703,36 @@ def dispatch(d: Data) -> DataFrame:
 @query
 def dispatch_totals(d: Data) -> DataFrame:
     return fc.dispatch_totals(fc.dispatch(d.forecast, d.stations, 60, max_km=1.2))
+
+
+# ------------------------------------------------------------------- learning
+
+def _trained(d: Data):
+    """Small models on the training days; sizes follow the fixture, not production."""
+    f = stage(d.features, "features")
+    tr, va = fe.split(f, *fx.TRAIN), fe.split(f, *fx.VALID)
+    s = le.Settings(rounds=3, depth=3, min_rows=1, train_share=1.0, valid_share=1.0)
+    return f, le.train(tr, va, s)
+
+
+@query
+def clusters(d: Data) -> DataFrame:
+    return sh.clusters(stage(d.obs, "obs"), TRAIN_END)
+
+
+@query
+def scored_forecast(d: Data) -> DataFrame:
+    """Train, then score every station's newest slot from bridged readings."""
+    _, m = _trained(d)
+    live = sc.live_features(d.snaps, d.snaps, d.model_stations, d.groups,
+                            pr.norms(d.obs, TRAIN_END), fe.neighbours(d.model_stations),
+                            sh.holidays(d.obs))
+    return le.forecast_table(m, live)
+
+
+@query
+def conformal_interval(d: Data) -> DataFrame:
+    f, m = _trained(d)
+    test = fe.split(f, *fx.TEST)
+    judged = le.with_band(le.judge(m, le.model_frame(test)), m.bands)
+    return ev.interval_report(judged)

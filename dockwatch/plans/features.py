@@ -100,7 +100,7 @@ def _at_slot(obs: DataFrame, spec: Spec, at: Column, keep: list[str]) -> DataFra
     near = obs.filter((F.col("ts") <= at) & (F.col("ts") >= tf.plus_minutes(at, -SLOT_MINUTES * back)))
     near = near.withColumn("_rel", rel)
     here = F.col("_rel") == 0
-    values = ["ratio", "bikes", "docks_avail", "docks_total", *keep]
+    values = list(dict.fromkeys(["ratio", "bikes", "docks_avail", "docks_total", *keep]))
     return (near.groupBy("station_id").agg(
         F.max(F.when(here, F.col("ts"))).alias("ts"),
         *[F.max(F.when(here, F.col(x))).alias(x) for x in values],
@@ -168,7 +168,7 @@ def feature_matrix(obs: DataFrame, stations: DataFrame, groups: DataFrame, norm:
     seen = obs.filter(c.ratio.isNotNull())
     spec = _lag_spec() | _rolling_spec()
     if only_at is None:
-        rows = _over_history(seen, spec | _lead_spec() if targets else spec)
+        rows = _over_history(seen, (spec | _lead_spec()) if targets else spec)
         around = seen
     else:
         rows = _at_slot(seen, spec, only_at, keep)

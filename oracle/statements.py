@@ -719,7 +719,7 @@ stmt("event_report", "target_leads judged", """
     JOIN (SELECT kind, count(*) FILTER (fired) AS alerts_fired, count(*) FILTER (fired AND NOT fact) AS false_alarms,
                  round(CASE WHEN bool_or(fired) THEN count(*) FILTER (fired AND NOT fact) / count(*) FILTER (fired)
                             ELSE 0e0 END, 6) AS false_alarm_rate,
-                 round(count(*) FILTER (fired) / greatest(30 * (SELECT count(DISTINCT station_id) FROM judged) + 1e-9, 1) + 1e-9, 6)
+                 round(count(*) FILTER (fired) / greatest(30 * (SELECT count(DISTINCT station_id) FROM judged), 1) + 1e-9, 6)
                    AS alerts_per_station_per_day
           FROM (SELECT *, proba >= 0.3 AS fired FROM judged) GROUP BY 1) a ON a.kind = l.kind""")
 stmt("policy_rank", "picked", f"SELECT station_id, ts, queue, {r6('score')}, rank FROM picked WHERE rank <= 40")
@@ -734,8 +734,8 @@ stmt("policy_coverage", "saved empties crew", """
                  count(*) FILTER (r) AS rule_slots, count(*) FILTER (h) AS hybrid_slots
           FROM crew c LEFT JOIN saved s ON s.capacity = c.capacity GROUP BY 1)""")
 stmt("events_preventable", "obs_starts picked crew", """
-    SELECT capacity, n_events, prevented, prevented_hybrid, round(100e0 * prevented / greatest(n_events + 1e-9, 1) + 1e-9, 2) AS prevented_pct,
-           round(100e0 * prevented_hybrid / greatest(n_events + 1e-9, 1) + 1e-9, 2) AS prevented_hybrid_pct
+    SELECT capacity, n_events, prevented, prevented_hybrid, round(100e0 * prevented / greatest(n_events, 1) + 1e-9, 2) AS prevented_pct,
+           round(100e0 * prevented_hybrid / greatest(n_events, 1) + 1e-9, 2) AS prevented_hybrid_pct
     FROM (SELECT capacity, count(*) AS n_events, count(*) FILTER (rank <= capacity) AS prevented,
                  count(*) FILTER (rank <= greatest(capacity // 2, 1)) AS prevented_hybrid
           FROM (SELECT * FROM obs_starts WHERE kind = 'empty') e
