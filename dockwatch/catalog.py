@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -12,8 +13,12 @@ from dockwatch.operators import series
 from dockwatch.plans import (alerts as al, evaluate as ev, features as fe, forecasts as fc, learn as le,
                              history as hi, policy as po, profiles as pr, scoring as sc, serve as sv,
                              shapes as sh)
-from dockwatch.session import stage
+from dockwatch.schemas import LATEST, SNAPSHOT
+from dockwatch.session import shared_dir, stage
+from dockwatch.sinks.tables import publish, read_published
 from dockwatch.sources import fixtures as fx
+from dockwatch.streaming.episodes import episode_stream
+from dockwatch.streaming.refresh import Store, refresh_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -736,3 +741,66 @@ def conformal_interval(d: Data) -> DataFrame:
     test = fe.split(f, *fx.TEST)
     judged = le.with_band(le.judge(m, le.model_frame(test)), m.bands)
     return ev.interval_report(judged)
+
+
+# ------------------------------------------------------------------ streaming
+
+def _land_events(d: Data) -> str:
+    """All readings as landed JSON records, one folder of files per day."""
+    raw = fx.describe_stations(d.spark, d.dir, fx.raw_snapshots(d.spark, d.dir, d.wide), d.wide)
+    path = f"{shared_dir(d.spark)}/landed-{uuid.uuid4().hex}"
+    def text(x):
+        return F.col(x).cast("string")
+    (raw.select(F.lit("S").alias("sno"), F.concat(F.lit("PREFIX_"), "name").alias("sna"),
+                F.col("district").alias("sarea"), text("docks_total").alias("tot_quantity"),
+                text("bikes").alias("sbi_quantity"), text("docks_avail").alias("bemp"),
+                text("lon").alias("lng"), text("lat").alias("lat"), F.lit("1").alias("act"),
+                text("raw_ts").alias("fetched_at"), F.col("raw_ts").cast("date").alias("day"))
+     .repartition("day").write.partitionBy("day").json(path))
+    return path
+
+
+def _refreshed(d: Data) -> Store:
+    """Run the refresh stream over everything landed, in several batches."""
+    store = Store(f"{shared_dir(d.spark)}/store-{uuid.uuid4().hex}")
+    known = d.stations.filter(F.col("station_id") != 5)
+    publish(known, store.at("registry"))
+    q = refresh_stream(d.spark, _land_events(d), store, store.at("checkpoint"), "PREFIX_",
+                       every=None, files_per_trigger=10)
+    q.awaitTermination()
+    return store
+
+
+@query
+def stream_recent(d: Data) -> DataFrame:
+    """Streamed slot table; the one unknown station is numbered 900000."""
+    out = read_published(d.spark, _refreshed(d).at("recent"), SNAPSHOT)
+    return out.withColumns({x: F.col(x).cast("int") for x in ("bikes", "docks_avail", "docks_total")})
+
+
+@query
+def stream_latest(d: Data) -> DataFrame:
+    out = read_published(d.spark, _refreshed(d).at("latest"), LATEST)
+    return r6(out.withColumns({x: F.col(x).cast("int") for x in ("bikes", "docks_avail", "docks_total")}),
+              "lon", "lat")
+
+
+@query
+def stream_episodes(d: Data) -> DataFrame:
+    """Keyed-state durations over a stream of slot readings, a few days per batch."""
+    base = f"{shared_dir(d.spark)}/episodes-{uuid.uuid4().hex}"
+    days = d.snaps.withColumn("day", F.col("ts").cast("date"))
+    # Files are picked up by age, so later days must be written later; one
+    # write per third of the month keeps them in order.
+    for lo, hi_ in (("2024-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2025-01-01")):
+        part = days.filter((F.col("day") >= F.lit(lo).cast("date")) & (F.col("day") < F.lit(hi_).cast("date")))
+        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    src = d.spark.readStream.schema(SNAPSHOT).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    q = (episode_stream(src).writeStream.format("parquet").option("path", f"{base}/out")
+         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination()
+    out = d.spark.read.parquet(f"{base}/out")
+    start = F.lit("1970-01-01").cast("timestamp_ntz")
+    return out.select("station_id", tf.plus_minutes(
+        start + F.make_dt_interval((F.col("slot") / 48).cast("int")), (F.col("slot") % 48) * 30).alias("ts"),
+        "kind", "duration_min", "duration_capped")

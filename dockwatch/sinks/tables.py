@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 from dockwatch.functions import timefn as tf
 from dockwatch.schemas import NOTIFY_LOG_KEEP, RAW_KEEP_DAYS
 
-POINTER = "_current"
+POINTER = "CURRENT"      # file readers skip names that start with _ or .
+KEPT_VERSIONS = 4        # long enough for readers that started before a flip
 
 
 def _fs(spark: SparkSession, path: str):
@@ -60,9 +61,18 @@ def publish(df: DataFrame, root: str) -> int:
     opts = spark.sparkContext._gateway.new_array(rename, 1)
     opts[0] = rename.OVERWRITE
     context.rename(path, target, opts)
+    _drop_old_versions(spark, root)
     return n
 
 
+def _drop_old_versions(spark: SparkSession, root: str) -> None:
+    """Remove versions that have not been current for several publishes."""
+    fs, pattern = _fs(spark, f"{root}/v-*")
+    old = sorted(fs.globStatus(pattern) or [], key=lambda s: s.getModificationTime(), reverse=True)
+    for s in old[KEPT_VERSIONS:]:
+        fs.delete(s.getPath(), True)
+
+
 def published_path(spark: SparkSession, root: str) -> str | None:
     """Folder of the current version, None before the first publish."""
     fs, path = _fs(spark, f"{root}/{POINTER}")

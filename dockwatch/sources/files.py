@@ -17,11 +17,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
+def empty(spark: SparkSession, schema: T.StructType | str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def parquet_or_empty(spark: SparkSession, paths: str | list[str], schema: T.StructType) -> DataFrame:
+def parquet_or_empty(spark: SparkSession, paths: str | list[str], schema: T.StructType | str) -> DataFrame:
     """Parquet files as one table; no rows where a path does not exist yet (A2, A3, A10)."""
     wanted = [paths] if isinstance(paths, str) else paths
     there = [p for p in wanted if _exists(spark, p)]

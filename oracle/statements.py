@@ -774,3 +774,13 @@ stmt("dispatch", "task_out", "SELECT * FROM task_out")
 stmt("dispatch_totals", "task_out", """
     SELECT count(*) AS n_tasks, count(from_station) AS n_paired, CAST(coalesce(sum(move_bikes), 0) AS BIGINT) AS total_move_bikes,
            CAST(coalesce(sum(move_bikes) FILTER (from_station IS NOT NULL), 0) AS BIGINT) AS paired_move_bikes FROM task_out""")
+_RENUMBERED = "CASE WHEN station_id = 5 THEN 900000 ELSE station_id END AS station_id"
+stmt("stream_recent", "snaps", f"SELECT {_RENUMBERED}, ts, bikes, docks_avail, docks_total FROM snaps")
+PARTS["last_reading"] = (("readings",), """
+    SELECT * FROM readings r WHERE raw_ts = (SELECT max(x.raw_ts) FROM readings x WHERE x.station_id = r.station_id)""")
+stmt("stream_latest", "last_reading places", f"""
+    SELECT * EXCLUDE (station_id), {_RENUMBERED}
+    FROM (SELECT r.station_id, time_bucket(INTERVAL '30 minutes', raw_ts) AS ts, bikes, docks_avail, docks_total,
+                 name, district, {r6('lon', 'lat')}, raw_ts AS fetched_at
+          FROM last_reading r JOIN places p ON p.station_id = r.station_id)""")
+stmt("stream_episodes", "episode", "SELECT * FROM episode")
