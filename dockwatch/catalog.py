@@ -22,12 +22,14 @@ from dockwatch.streaming.refresh import Store, refresh_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+PLANS: dict[str, Callable[["Data"], DataFrame]] = {}     # the same on prepared tables
 TRAIN_END = "2024-01-21"
 AS_OF = "2024-01-20 12:00:00"
 
 
 def query(fn: Callable[["Data"], DataFrame]) -> Callable[["Data"], DataFrame]:
     """Register fn under its own name."""
+    PLANS[fn.__name__] = fn
     QUERIES[fn.__name__] = lambda spark, sf_dir: fn(Data(spark, sf_dir))
     return fn
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from dockwatch.functions import status as st, timefn as tf
 from dockwatch.operators.ordering import numbered
 from dockwatch.schemas import (HORIZONS, MODEL_EMPTY_MAX, MODEL_FULL_MAX, STRICT_THRESHOLD)
+from dockwatch.session import stage
 
 THRESHOLDS = [round(0.05 * i, 2) for i in range(1, 20)]
 
@@ -97,26 +98,15 @@ def threshold_table(score_rows: DataFrame) -> DataFrame:
         step = step + (F.col("proba") >= t).cast("int")
     steps = score_rows.groupBy("horizon", "kind", step.alias("step")).agg(
         F.count_if("fact").alias("pos"), F.count_if(~F.col("fact")).alias("neg"))
-    above = Window.partitionBy("horizon", "kind").orderBy(F.desc("step")).rowsBetween(
-        Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("horizon", "kind")
-    reached = steps.withColumns({"tp": F.sum("pos").over(above), "fp": F.sum("neg").over(above),
-                                 "all_pos": F.sum("pos").over(whole),
-                                 "lower": F.lead("step", 1, 0).over(
-                                     Window.partitionBy("horizon", "kind").orderBy(F.desc("step")))})
-    # The counts of a step also hold for the empty steps below it.
-    spread = reached.filter(F.col("step") > 0).withColumn(
-        "i", F.explode(F.sequence(F.col("lower") + 1, F.col("step"))))
-    # Thresholds above every score: nothing fires.
-    top = steps.groupBy("horizon", "kind").agg(F.max("step").alias("mx"), F.sum("pos").alias("all_pos"))
-    none = (top.filter(F.col("mx") < len(THRESHOLDS))
-            .withColumn("i", F.explode(F.sequence(F.col("mx") + 1, F.lit(len(THRESHOLDS)))))
-            .select("horizon", "kind", "i", F.lit(0).cast("long").alias("tp"),
-                    F.lit(0).cast("long").alias("fp"), "all_pos"))
-    every = spread.select("horizon", "kind", "i", "tp", "fp", "all_pos").unionByName(none)
-    values = F.array(*[F.lit(t) for t in THRESHOLDS])
-    return every.select("horizon", "kind", F.element_at(values, F.col("i").cast("int")).alias("threshold"),
-                        "tp", "fp", (F.col("all_pos") - F.col("tp")).alias("fn"))
+
+    def fired(x: str, i: int) -> Column:
+        return F.sum(F.when(F.col("step") >= i, F.col(x)).otherwise(0))
+    per = F.array(*[F.struct(F.lit(t).alias("threshold"), fired("pos", i).alias("tp"),
+                             fired("neg", i).alias("fp"),
+                             (F.sum("pos") - fired("pos", i)).alias("fn"))
+                    for i, t in enumerate(THRESHOLDS, 1)])
+    return (steps.groupBy("horizon", "kind").agg(per.alias("per"))
+            .select("horizon", "kind", F.explode("per").alias("p")).select("horizon", "kind", "p.*"))
 
 
 def best_threshold(score_rows: DataFrame) -> DataFrame:
@@ -134,8 +124,8 @@ def ranking_quality(score_rows: DataFrame) -> DataFrame:
     distributed running sum, as there may be as many scores as rows.
     """
     keys = ["horizon", "kind"]
-    merged = score_rows.groupBy(*keys, "proba").agg(
-        F.count_if("fact").cast("long").alias("pos"), F.count_if(~F.col("fact")).cast("long").alias("neg"))
+    merged = stage(score_rows.groupBy(*keys, "proba").agg(
+        F.count_if("fact").alias("pos"), F.count_if(~F.col("fact")).alias("neg")), "scores")
     totals = merged.groupBy(*keys).agg(F.sum("pos").alias("p_all"), F.sum("neg").alias("n_all"))
     run = numbered(merged, [F.col("horizon"), F.col("kind"), F.desc("proba")],
                    "_row", {"c_pos": "pos", "c_neg": "neg"})

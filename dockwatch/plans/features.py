@@ -13,6 +13,7 @@ from dockwatch.operators.spatial import nearest
 from dockwatch.schemas import (FEATURES, HORIZONS, LAGS, MIN_MODEL_SNAPSHOTS, MODEL_EMPTY_MAX,
                                MODEL_FULL_MAX, NEIGHBOUR_COUNT, NEIGHBOUR_KM, SLOT_MINUTES,
                                STREAK_SLOTS, WEEK_SLOTS)
+from dockwatch.session import stage
 
 KEY = ["station_id"]
 TARGETS = [f"{p}_{h}" for h in HORIZONS for p in ("y_ratio", "y_bikes", "y_docks", "bl_lastweek")]
@@ -123,7 +124,7 @@ def rolling(obs: DataFrame) -> DataFrame:
 
 def neighbours(stations: DataFrame, k: int = NEIGHBOUR_COUNT, km: float = NEIGHBOUR_KM) -> DataFrame:
     """Up to k nearest stations within km."""
-    p = stations.select(F.col("station_id").alias("id"), "lat", "lon")
+    p = stage(stations.select(F.col("station_id").alias("id"), "lat", "lon"), "points")
     return nearest(p, p, k, km).select(
         F.col("left_id").alias("station_id"), F.col("right_id").alias("neighbour_id"), "km")
 
@@ -155,6 +156,21 @@ def calendar(ts: Column) -> dict[str, Column]:
             "minutes_since_midnight": tf.minute_of_day(ts)}
 
 
+def _with_surroundings(rows: DataFrame, around: DataFrame, places: DataFrame, norm: DataFrame,
+                       edges: DataFrame) -> DataFrame:
+    """Attach the norm of the half-hour and the levels of district, cluster and
+    neighbourhood at the same moment."""
+    partial = group_means(around, places)
+    ts = F.col("ts")
+    return (rows.withColumns({"dow": tf.sunday_weekday(ts), "slot_of_day": tf.slot_of_day(ts)})
+            .join(places.select("station_id", "district", "cluster_id"), "station_id")
+            .join(norm, ["station_id", "dow", "slot_of_day"], "left")
+            .join(mean_by(partial, "district", "district_ratio"), ["district", "ts"], "left")
+            .join(mean_by(partial, "cluster_id", "cluster_ratio"), ["cluster_id", "ts"], "left")
+            .join(neighbour_mean(around, edges).drop("neigh_n"), ["station_id", "ts"], "left")
+            .drop("district", "cluster_id", "dow", "slot_of_day"))
+
+
 def feature_matrix(obs: DataFrame, stations: DataFrame, groups: DataFrame, norm: DataFrame,
                    edges: DataFrame, days_off: DataFrame, targets: bool = True,
                    only_at: Column | None = None, keep: list[str] | None = None) -> DataFrame:
@@ -162,35 +178,37 @@ def feature_matrix(obs: DataFrame, stations: DataFrame, groups: DataFrame, norm:
     one slot for scoring (M8). Training and scoring share this definition.
 
     ``groups`` has (station_id, cluster_id). ``keep`` names extra columns of
-    ``obs`` to carry along.
+    ``obs`` to carry along. ``obs`` is read several times, so stage it.
+
+    All joins with tables that grow meet the narrow readings, before the time
+    windows make 40 more columns of them; the wide rows are never shuffled,
+    they only meet the station list and the holidays.
     """
     keep = keep or []
+    places = stage(stations.join(groups, "station_id"), "places")
     seen = obs.filter(c.ratio.isNotNull())
     spec = _lag_spec() | _rolling_spec()
     if only_at is None:
-        rows = _over_history(seen, (spec | _lead_spec()) if targets else spec)
-        around = seen
+        rows = _over_history(_with_surroundings(seen, seen, places, norm, edges),
+                             (spec | _lead_spec()) if targets else spec)
     else:
-        rows = _at_slot(seen, spec, only_at, keep)
-        around = seen.filter(F.col("ts") == only_at)
+        now = seen.filter(F.col("ts") == only_at)
+        rows = _with_surroundings(_at_slot(seen, spec, only_at, keep), now, places, norm, edges)
         targets = False
-    places = stations.join(groups, "station_id")
-    partial = group_means(around, places)
     ts = F.col("ts")
-    out = (rows.withColumns(calendar(ts)).withColumn("day", ts.cast("date"))
-           .join(places.select("station_id", "name", "district", "district_id", "lon", "lat",
-                               "capacity", "cluster_id"), "station_id")
-           .join(norm, ["station_id", "dow", "slot_of_day"], "left")
-           .join(mean_by(partial, "district", "district_ratio"), ["district", "ts"], "left")
-           .join(mean_by(partial, "cluster_id", "cluster_ratio"), ["cluster_id", "ts"], "left")
-           .join(neighbour_mean(around, edges).drop("neigh_n"), ["station_id", "ts"], "left")
+    out = (rows.withColumns({**calendar(ts), "day": ts.cast("date")})
+           .join(places.select("station_id", "district_id", "lon", "lat", "capacity", "cluster_id"),
+                 "station_id")
            .join(days_off.select("day", F.lit(1).alias("is_holiday")), "day", "left"))
-    out = out.withColumns({
+    r = c.ratio
+    derived = {
         "is_holiday": F.coalesce("is_holiday", F.lit(0)),
-        "d1": c.ratio - F.col("ratio_lag1"), "d2": c.ratio - F.col("ratio_lag2"), "d4": c.ratio - F.col("ratio_lag4"),
-        "norm_dev": c.ratio - F.col("norm_ratio"),
-        "neigh_dev": F.col("neigh_ratio") - F.col("district_ratio")})
-    return out.select("station_id", "ts", *keep, *FEATURES, *(TARGETS if targets else []))
+        "d1": r - F.col("ratio_lag1"), "d2": r - F.col("ratio_lag2"), "d4": r - F.col("ratio_lag4"),
+        "norm_dev": r - F.col("norm_ratio"),
+        "neigh_dev": F.col("neigh_ratio") - F.col("district_ratio")}
+    return out.select("station_id", "ts", *keep,
+                      *[derived[x].alias(x) if x in derived else x for x in FEATURES],
+                      *(TARGETS if targets else []))
 
 
 def complete_targets(features: DataFrame) -> DataFrame:

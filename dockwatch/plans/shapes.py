@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 from dockwatch.functions import timefn as tf
 from dockwatch.operators.series import filled_shape, standardised
 from dockwatch.schemas import CLUSTERS, HOLIDAY_REACH_DAYS, SEED
+from dockwatch.session import stage
 
 
 def day_shapes(obs: DataFrame) -> DataFrame:
     """Standardised hourly curve of every day that has all hours."""
-    hourly = (obs.groupBy(F.col("ts").cast("date").alias("day"), F.hour("ts").alias("hour"))
-              .agg(F.avg("ratio").alias("r")))
+    hourly = stage(obs.groupBy(F.col("ts").cast("date").alias("day"), F.hour("ts").alias("hour"))
+                   .agg(F.avg("ratio").alias("r")), "hourly")
     hours = hourly.agg(F.countDistinct("hour")).scalar()
     whole = hourly.withColumn("_n", F.count("*").over(Window.partitionBy("day")))
     return standardised(whole.filter(F.col("_n") == hours).drop("_n"), ["day"], "r")
