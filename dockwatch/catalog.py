@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from dockwatch.functions import status as st, textfn as tx, timefn as tf
 from dockwatch.operators import series
 from dockwatch.plans import (alerts as al, evaluate as ev, features as fe, forecasts as fc, learn as le,
-                             history as hi, policy as po, profiles as pr, scoring as sc, serve as sv,
-                             shapes as sh)
+                             history as hi, policy as po, profiles as pr, reports as rp, scoring as sc,
+                             serve as sv, shapes as sh)
 from dockwatch.schemas import LATEST, SNAPSHOT
 from dockwatch.session import shared_dir, stage
 from dockwatch.sinks.tables import publish, read_published
@@ -806,3 +806,11 @@ def stream_episodes(d: Data) -> DataFrame:
     return out.select("station_id", tf.plus_minutes(
         start + F.make_dt_interval((F.col("slot") / 48).cast("int")), (F.col("slot") % 48) * 30).alias("ts"),
         "kind", "duration_min", "duration_capped")
+
+
+@query
+def backtest_report(d: Data) -> DataFrame:
+    """All metric sections for the closed-form forecast over the whole history."""
+    judged = stage(d.scored_targets, "judged")
+    flat = {(k, h): fx.WATCH_THRESHOLD for k in ("empty", "full") for h in fe.HORIZONS}
+    return r6(rp.backtest_metrics(judged, 30, flat).filter(F.col("value").isNotNull()), "value")

@@ -784,3 +784,53 @@ stmt("stream_latest", "last_reading places", f"""
                  name, district, {r6('lon', 'lat')}, raw_ts AS fetched_at
           FROM last_reading r JOIN places p ON p.station_id = r.station_id)""")
 stmt("stream_episodes", "episode", "SELECT * FROM episode")
+
+
+def _long(src: str, section: str, keys: str) -> str:
+    """Metric columns of a part as rows."""
+    cols = {k: k if k in keys.split() else "NULL" for k in ("model", "kind", "horizon")}
+    return f"""SELECT '{section}' AS section, CAST({cols['model']} AS VARCHAR) AS model,
+           CAST({cols['kind']} AS VARCHAR) AS kind, CAST({cols['horizon']} AS INTEGER) AS horizon, metric, value
+    FROM (UNPIVOT (SELECT {keys.replace(' ', ', ')}, CAST(COLUMNS(* EXCLUDE ({keys.replace(' ', ', ')})) AS DOUBLE)
+                   FROM {src}) ON * EXCLUDE ({keys.replace(' ', ', ')}) INTO NAME metric VALUE value)"""
+
+
+PARTS["errors"] = (("scored",), """
+    SELECT horizon, model, count(pred) AS n, avg(abs(pred - y_ratio)) AS mae_ratio,
+           sqrt(avg((pred - y_ratio) ** 2)) AS rmse_ratio, avg(abs(pred - y_ratio) * docks_total) AS mae_bikes
+    FROM (SELECT horizon, y_ratio, docks_total, UNNEST(['model', 'persistence', 'lastweek']) AS model,
+                 UNNEST([pred_ratio, ratio, lastweek]) AS pred FROM scored)
+    WHERE pred IS NOT NULL GROUP BY 1, 2""")
+PARTS["gains"] = (("errors",), """
+    SELECT a.horizon, 'model' AS model, 100e0 - 100e0 * a.mae_bikes / p.mae_bikes AS improve_vs_persistence_pct,
+           100e0 - 100e0 * a.mae_bikes / w.mae_bikes AS improve_vs_lastweek_pct
+    FROM errors a JOIN errors p ON p.horizon = a.horizon AND p.model = 'persistence'
+    LEFT JOIN errors w ON w.horizon = a.horizon AND w.model = 'lastweek' WHERE a.model = 'model'""")
+PARTS["ranks"] = (("judged",), STATEMENTS["average_precision"][
+    STATEMENTS["average_precision"].rindex("SELECT horizon, kind, n_pos"):].replace(
+    "round(ap / nullif(n_pos, 0) + 1e-9, 6)", "ap / nullif(n_pos, 0)").replace(
+    "round(pairs / nullif(n_pos * n_neg, 0) + 1e-9, 6)", "pairs / nullif(n_pos * n_neg, 0)"))
+PARTS["rates"] = (("judged",), "SELECT horizon, kind, avg(CASE WHEN fact THEN 1e0 ELSE 0e0 END) AS pos_rate FROM judged GROUP BY 1, 2")
+for _tag, _t in (("strict", "0.7"), ("operational", "0.3")):
+    PARTS[f"hits_{_tag}"] = (("judged",), f"""
+    SELECT horizon, kind, count(*) FILTER (fact AND proba >= {_t}) AS tp, count(*) FILTER (NOT fact AND proba >= {_t}) AS fp,
+           count(*) FILTER (fact AND proba < {_t}) AS fn FROM judged GROUP BY 1, 2""")
+    PARTS[f"prf_{_tag}"] = ((f"hits_{_tag}",), _prf(f"hits_{_tag}"))
+    PARTS[f"lead_{_tag}"] = (("target_starts", "judged"), _leads("target_starts", "judged").replace("0.3", _t))
+    _body = STATEMENTS["event_report"]
+    _body = _body[_body.index("SELECT l.*, a.*"):].replace("target_leads", f"lead_{_tag}").replace("proba >= 0.3", f"proba >= {_t}")
+    PARTS[f"warned_{_tag}"] = ((f"lead_{_tag}", "judged"), _body)
+PARTS["ruled"] = (("scored",), """
+    SELECT horizon, kind, count(*) FILTER (fact AND hit) AS tp, count(*) FILTER (NOT fact AND hit) AS fp,
+           count(*) FILTER (fact AND NOT hit) AS fn
+    FROM (SELECT horizon, kind, CASE kind WHEN 'empty' THEN y_bikes <= 1 ELSE y_docks <= 1 END AS fact,
+                 CASE kind WHEN 'empty' THEN ratio * docks_total <= 1 ELSE (1e0 - ratio) * docks_total <= 1 END AS hit
+          FROM scored CROSS JOIN (VALUES ('empty'), ('full')) k(kind)) GROUP BY 1, 2""")
+PARTS["prf_rule"] = (("ruled",), _prf("ruled"))
+_SECTIONS = [("errors", "level", "horizon model"), ("gains", "level", "horizon model"), ("ranks", "ranking", "horizon kind"),
+             ("rates", "ranking", "horizon kind"), ("prf_strict", "strict", "horizon kind"),
+             ("prf_operational", "operational", "horizon kind"), ("prf_rule", "rule", "horizon kind"),
+             ("warned_strict", "events_strict", "kind"), ("warned_operational", "events_operational", "kind")]
+stmt("backtest_report", " ".join(x[0] for x in _SECTIONS), f"""
+    SELECT section, model, kind, horizon, metric, {r6('value')}
+    FROM ({' UNION ALL '.join(_long(*x) for x in _SECTIONS)}) WHERE value IS NOT NULL""")
