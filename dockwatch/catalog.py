@@ -15,7 +15,7 @@ from dockwatch.plans import (alerts as al, evaluate as ev, features as fe, forec
                              serve as sv, shapes as sh)
 from dockwatch.schemas import LATEST, SNAPSHOT
 from dockwatch.session import shared_dir, stage
-from dockwatch.sinks.tables import publish, read_published
+from dockwatch.sinks.tables import publish, read_days, read_published
 from dockwatch.sources import fixtures as fx
 from dockwatch.streaming.episodes import episode_stream
 from dockwatch.streaming.refresh import Store, refresh_stream
@@ -762,13 +762,13 @@ def _land_events(d: Data) -> str:
     return path
 
 
-def _refreshed(d: Data) -> Store:
+def _refreshed(d: Data, keep_days: int | None = None) -> Store:
     """Run the refresh stream over everything landed, in several batches."""
     store = Store(f"{shared_dir(d.spark)}/store-{uuid.uuid4().hex}")
     known = d.stations.filter(F.col("station_id") != 5)
     publish(known, store.at("registry"))
     q = refresh_stream(d.spark, _land_events(d), store, store.at("checkpoint"), "PREFIX_",
-                       every=None, files_per_trigger=10)
+                       every=None, files_per_trigger=15, keep_days=keep_days)
     q.awaitTermination()
     return store
 
@@ -776,7 +776,7 @@ def _refreshed(d: Data) -> Store:
 @query
 def stream_recent(d: Data) -> DataFrame:
     """Streamed slot table; the one unknown station is numbered 900000."""
-    out = read_published(d.spark, _refreshed(d).at("recent"), SNAPSHOT)
+    out = read_days(d.spark, _refreshed(d, keep_days=None).at("recent"), SNAPSHOT)
     return out.withColumns({x: F.col(x).cast("int") for x in ("bikes", "docks_avail", "docks_total")})
 
 

@@ -10,9 +10,19 @@ SLOT_STEP = "interval 30 minutes"
 
 
 def spanned(spans: DataFrame, start: str, end: str) -> DataFrame:
-    """One row per half-hour of each row's span (I8); no range join involved."""
-    steps = F.sequence(F.col(start), F.col(end), F.expr(SLOT_STEP))
-    return spans.withColumn("ts", F.explode(steps)).drop(start, end)
+    """One row per half-hour of each row's span (I8); no range join involved.
+
+    The spans are cut into four-week pieces and spread out first: they are few
+    and tiny, so without that a handful of tasks would write the whole grid.
+    """
+    n = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rest = [x for x in spans.columns if x not in (start, end)]
+    pieces = spans.withColumn("_from", F.explode(
+        F.sequence(F.col(start), F.col(end), F.expr("interval 28 days"))))
+    last = F.least(F.col(end), F.col("_from") + F.expr("interval 28 days") - F.expr(SLOT_STEP))
+    pieces = pieces.withColumn("_to", last).repartition(n, *rest, "_from")
+    return pieces.select(*rest, F.explode(
+        F.sequence(F.col("_from"), F.col("_to"), F.expr(SLOT_STEP))).alias("ts"))
 
 
 def complete_grid(obs: DataFrame) -> DataFrame:

@@ -41,44 +41,88 @@ def export_months(snapshots: DataFrame, root: str, files_per_month: int = 8) ->
         .option("compression", "zstd").partitionBy("month").parquet(root)))
 
 
-def publish(df: DataFrame, root: str) -> int:
-    """Replace a whole table so that readers see the old or the new one (B2).
-
-    Data go to a fresh version folder; the small pointer file is flipped last.
-    """
-    spark = df.sparkSession
-    version = f"v-{uuid.uuid4().hex}"
-    n = write_counted(df, lambda d: d.write.option("compression", "zstd").parquet(f"{root}/{version}"))
-    fs, path = _fs(spark, f"{root}/{POINTER}-{version}")
+def _flip(spark: SparkSession, root: str, text: str) -> None:
+    """Replace the pointer file in one rename."""
+    fs, path = _fs(spark, f"{root}/{POINTER}-{uuid.uuid4().hex}")
     out = fs.create(path, True)
-    out.write(bytearray(version.encode()))
+    out.write(bytearray(text.encode()))
     out.close()
     jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(f"{root}/{POINTER}")
     context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
         path.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
     rename = jvm.org.apache.hadoop.fs.Options.Rename
     opts = spark.sparkContext._gateway.new_array(rename, 1)
     opts[0] = rename.OVERWRITE
-    context.rename(path, target, opts)
-    _drop_old_versions(spark, root)
+    context.rename(path, jvm.org.apache.hadoop.fs.Path(f"{root}/{POINTER}"), opts)
+
+
+def _pointer(spark: SparkSession, root: str) -> list[str]:
+    """Lines of the pointer file, none before the first publish."""
+    fs, path = _fs(spark, f"{root}/{POINTER}")
+    if not fs.exists(path):
+        return []
+    return [r[0] for r in spark.read.text(f"{root}/{POINTER}").collect()]
+
+
+def publish(df: DataFrame, root: str) -> int:
+    """Replace a whole table so that readers see the old or the new one (B2).
+
+    Data go to a fresh version folder; the small pointer file is flipped last.
+    """
+    spark = df.sparkSession
+    version = f"v-{uuid.uuid4().hex}"
+    n = write_counted(df, lambda d: d.write.option("compression", "zstd").parquet(f"{root}/{version}"))
+    _flip(spark, root, version)
+    _drop_old_versions(spark, root, {version})
     return n
 
 
-def _drop_old_versions(spark: SparkSession, root: str) -> None:
+def publish_days(df: DataFrame, root: str, keep_days: int | None = None) -> int:
+    """Replace only the days present in ``df`` (column ``day``), all at once (B2).
+
+    The pointer lists one version per day, so untouched days are neither read
+    nor written. With ``keep_days`` days that far behind the newest are let go.
+    """
+    import datetime as dt
+
+    spark = df.sparkSession
+    version = f"v-{uuid.uuid4().hex}"
+    n = write_counted(df.repartition("day", F.pmod(F.xxhash64("station_id"), F.lit(8))), lambda d: (
+        d.write.option("compression", "zstd").partitionBy("day").parquet(f"{root}/{version}")))
+    fs, pattern = _fs(spark, f"{root}/{version}/day=*")
+    current = dict(line.split(" ") for line in _pointer(spark, root))
+    current |= {s.getPath().getName().split("=", 1)[1]: version for s in fs.globStatus(pattern) or []}
+    if keep_days is not None and current:
+        edge = dt.date.fromisoformat(max(current)) - dt.timedelta(days=keep_days)
+        current = {d: v for d, v in current.items() if dt.date.fromisoformat(d) >= edge}
+    _flip(spark, root, "\n".join(f"{d} {v}" for d, v in sorted(current.items())))
+    _drop_old_versions(spark, root, set(current.values()))
+    return n
+
+
+def read_days(spark: SparkSession, root: str, schema: T.StructType, newest: int | None = None) -> DataFrame:
+    """The published days as one table, or only the newest few."""
+    lines = [line.split(" ") for line in _pointer(spark, root)]
+    if newest is not None:
+        lines = lines[-newest:]
+    if not lines:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{root}/{v}/day={d}" for d, v in lines])
+
+
+def _drop_old_versions(spark: SparkSession, root: str, current: set[str]) -> None:
     """Remove versions that have not been current for several publishes."""
     fs, pattern = _fs(spark, f"{root}/v-*")
-    old = sorted(fs.globStatus(pattern) or [], key=lambda s: s.getModificationTime(), reverse=True)
-    for s in old[KEPT_VERSIONS:]:
+    old = [s for s in fs.globStatus(pattern) or [] if s.getPath().getName() not in current]
+    old.sort(key=lambda s: s.getModificationTime(), reverse=True)
+    for s in old[KEPT_VERSIONS - 1:]:
         fs.delete(s.getPath(), True)
 
 
 def published_path(spark: SparkSession, root: str) -> str | None:
     """Folder of the current version, None before the first publish."""
-    fs, path = _fs(spark, f"{root}/{POINTER}")
-    if not fs.exists(path):
-        return None
-    return f"{root}/{spark.read.text(f'{root}/{POINTER}').first()[0]}"
+    lines = _pointer(spark, root)
+    return f"{root}/{lines[0]}" if lines else None
 
 
 def read_published(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:

@@ -18,9 +18,10 @@ from dockwatch.functions import timefn as tf
 from dockwatch.operators.dedupe import last_per_slot, latest_records
 from dockwatch.operators.ordering import numbered
 from dockwatch.plans import alerts as al, history as hi
-from dockwatch.schemas import NEW_STATION_BASE, RAW_SNAPSHOT, SNAPSHOT, STATION
+from dockwatch.schemas import (LATEST, NEW_STATION_BASE, RAW_KEEP_DAYS, RAW_SNAPSHOT, SNAPSHOT,
+                               STATION)
 from dockwatch.session import stage
-from dockwatch.sinks.tables import publish, read_published
+from dockwatch.sinks.tables import publish, publish_days, read_days, read_published
 from dockwatch.sources.files import parquet_or_empty
 from dockwatch.streaming.ingest import landed_files, typed
 
@@ -61,7 +62,7 @@ def recent(raw: DataFrame) -> DataFrame:
 
 
 def latest(raw: DataFrame) -> DataFrame:
-    """Newest fetch per station with its attributes (K3)."""
+    """Newest fetch per station with its attributes (K3); also folds new rows into old."""
     cols = ["station_id", "ts", *COUNTS, "name", "district", "lon", "lat", "fetched_at"]
     won = latest_records(raw.select(*cols), ["station_id"], ["fetched_at", *COUNTS])
     return won.withColumns({x: F.col(x).cast("short") for x in COUNTS}).select(*cols)
@@ -92,8 +93,8 @@ def notify(alert_rows: DataFrame, epoch: int, store: Store) -> None:
 
 
 def refresh_batch(store: Store, prefix: str = "", fixes: dict[str, str] | None = None,
-                  after: Callable[[SparkSession, int], None] | None = None
-                  ) -> Callable[[DataFrame, int], None]:
+                  after: Callable[[SparkSession, int], None] | None = None,
+                  keep_days: int | None = RAW_KEEP_DAYS) -> Callable[[DataFrame, int], None]:
     """The work of one micro-batch; ``after`` can add scoring (K9)."""
 
     def run(batch: DataFrame, epoch: int) -> None:
@@ -109,11 +110,17 @@ def refresh_batch(store: Store, prefix: str = "", fixes: dict[str, str] | None =
         if rows.join(registry, "station_id", "left_anti").take(1):
             publish(hi.append_unseen(registry, rows), store.at("registry"))      # K7
         land(rows, epoch, store)
-        raw = spark.read.parquet(store.at("raw"))
-        publish(recent(raw), store.at("recent"))
-        publish(latest(raw), store.at("latest"))
+        # Only the days this batch touches are merged again.
+        days = [r[0] for r in rows.select(F.col("ts").cast("date")).distinct().collect()]
+        raw = spark.read.parquet(store.at("raw")).filter(F.col("day").isin(days))
+        publish_days(recent(raw).withColumn("day", F.col("ts").cast("date")), store.at("recent"),
+                     keep_days)
+        old = read_published(spark, store.at("latest"), LATEST)
+        publish(latest(old.unionByName(rows.select(*old.columns))), store.at("latest"))
         stations = read_published(spark, store.at("registry"), STATION)
-        now = stage(al.alerts(read_published(spark, store.at("recent"), SNAPSHOT), stations), "alerts")
+        # Two days always hold the six hours that alerts look back.
+        lately = read_days(spark, store.at("recent"), SNAPSHOT, newest=2)
+        now = stage(al.alerts(lately, stations), "alerts")
         publish(now, store.at("alerts"))
         notify(now, epoch, store)
         if after is not None:
@@ -125,10 +132,11 @@ def refresh_batch(store: Store, prefix: str = "", fixes: dict[str, str] | None =
 def refresh_stream(spark: SparkSession, source: str, store: Store, checkpoint: str,
                    prefix: str = "", fixes: dict[str, str] | None = None,
                    every: str | None = "10 minutes", files_per_trigger: int | None = None,
-                   after: Callable[[SparkSession, int], None] | None = None) -> StreamingQuery:
+                   after: Callable[[SparkSession, int], None] | None = None,
+                   keep_days: int | None = RAW_KEEP_DAYS) -> StreamingQuery:
     """Start the refresh; ``every=None`` works off what has landed and stops (K1)."""
     w = (landed_files(spark, source, files_per_trigger).writeStream
-         .foreachBatch(refresh_batch(store, prefix, fixes, after))
+         .foreachBatch(refresh_batch(store, prefix, fixes, after, keep_days))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if every is None else w.trigger(processingTime=every)
     return w.start()

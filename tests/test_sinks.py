@@ -100,3 +100,18 @@ def test_report_and_tables(spark):
     n = tb.export_splits({"train": snaps(spark, 8), "test": snaps(spark, 4)}, root + "/f")
     assert n == {"train": 8, "test": 4} and spark.read.parquet(root + "/f").select("split").distinct().count() == 2
     assert tb.export_tables({"a": snaps(spark, 8)}, root + "/s") == {"a": 8}
+
+
+def test_days_are_replaced_one_by_one(spark):
+    root = fresh() + "/recent"
+    s = snaps(spark).withColumn("day", F.col("ts").cast("date"))
+    assert tb.publish_days(s, root) == 200
+    assert tb.read_days(spark, root, SNAPSHOT).exceptAll(snaps(spark)).count() == 0
+    one = s.filter("day = DATE '2024-02-01'").withColumn("bikes", F.lit(99).cast("short"))
+    assert tb.publish_days(one, root) == 8
+    back = tb.read_days(spark, root, SNAPSHOT)
+    assert back.count() == 200 and back.filter("bikes = 99").count() == 8
+    assert tb.read_days(spark, root, SNAPSHOT, newest=1).count() == 8
+    late = s.withColumns({"day": F.date_add("day", 20), "ts": F.col("ts") + F.expr("interval 20 days")})
+    tb.publish_days(late, root, keep_days=14)
+    assert tb.read_days(spark, root, SNAPSHOT).count() == 200

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dockwatch.plans import alerts as al, serve as sv
 from dockwatch.schemas import LATEST, SNAPSHOT, STATION
-from dockwatch.sinks.tables import publish, read_published
+from dockwatch.sinks.tables import publish, read_days, read_published
 from dockwatch.streaming import episodes as ep, ingest as ing, refresh as rf
 
 
@@ -63,7 +63,7 @@ def test_refresh_over_time(spark):
     drop(src, "20240101T0020", [record("B", 1, 8)])            # late, newer than what the slot held
     run(spark, src, store)
     recent = {(r["station_id"], r["ts"]): r["bikes"]
-              for r in read_published(spark, store.at("recent"), SNAPSHOT).collect()}
+              for r in read_days(spark, store.at("recent"), SNAPSHOT).collect()}
     assert recent[900000, dt.datetime(2024, 1, 1)] == 1
     latest = {r["station_id"]: r for r in read_published(spark, store.at("latest"), LATEST).collect()}
     assert latest[900000]["bikes"] == 4 and latest[900000]["lon"] is None
