@@ -718,7 +718,7 @@ def _trained(d: Data):
     """Small models on the training days; sizes follow the fixture, not production."""
     f = stage(d.features, "features")
     tr, va = fe.split(f, *fx.TRAIN), fe.split(f, *fx.VALID)
-    s = le.Settings(rounds=3, depth=3, min_rows=1, train_share=1.0, valid_share=1.0)
+    s = le.Settings(rounds=2, depth=3, min_rows=1, train_share=1.0, valid_share=1.0)
     return f, le.train(tr, va, s)
 
 

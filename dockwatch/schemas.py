@@ -77,7 +77,8 @@ HISTORY_CSV = T.StructType([
     T.StructField("lat", T.DoubleType()),
 ])
 
-# One landed realtime record; every field arrives as text.
+# Field names of the landed formats, as they arrive.
+# One realtime record; every field is text.
 REALTIME_JSON = T.StructType([
     T.StructField(c, T.StringType())
     for c in ("sno", "sna", "sarea", "scity", "tot_quantity", "sbi_quantity", "bemp",

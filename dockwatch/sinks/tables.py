@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
-from dockwatch.functions import timefn as tf
+from dockwatch.functions import textfn as tx, timefn as tf
 from dockwatch.schemas import NOTIFY_LOG_KEEP, RAW_KEEP_DAYS
 
 POINTER = "CURRENT"      # file readers skip names that start with _ or .
@@ -26,15 +26,15 @@ def write_counted(df: DataFrame, write) -> int:
     return int(seen.get["n"])
 
 
-def export_months(snapshots: DataFrame, root: str, files_per_month: int = 8) -> int:
+def export_months(snapshots: DataFrame, root: str) -> int:
     """History partitioned by month, clustered by station and time.
 
-    Rows are spread over (month, station hash) so that no month is written by
-    one task, and only the months present are replaced.
+    Range partitioning on the full sort key gives files of similar size with
+    narrow station ranges; neither a large month nor a large station ends up
+    in one task. Only the months present are replaced.
     """
-    by_station = F.pmod(F.xxhash64("station_id", F.col("ts").cast("date")), F.lit(files_per_month))
     out = (snapshots.withColumn("month", tf.month_label(F.col("ts"), "yyyyMM"))
-           .repartition("month", by_station)
+           .repartitionByRange("month", "station_id", "ts")
            .sortWithinPartitions("month", "station_id", "ts"))
     return write_counted(out, lambda d: (
         d.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -152,8 +152,7 @@ def export_tables(tables: dict[str, DataFrame], root: str) -> dict[str, int]:
 
 def write_report(report: DataFrame, path: str) -> None:
     """One JSON document per report row."""
-    body = F.to_json(F.struct(*report.columns), {"ignoreNullFields": "false"}).alias("value")
-    report.select(body).write.mode("overwrite").text(path)
+    report.select(tx.as_json(*report.columns).alias("value")).write.mode("overwrite").text(path)
 
 
 def append_notifications(events: DataFrame, root: str, received_at: Column | None = None) -> None:

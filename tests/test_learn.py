@@ -67,3 +67,35 @@ def test_hash_sample_is_stable(spark):
     df = spark.range(20000).select(F.col("id").alias("station_id"), F.lit(T0).cast("timestamp_ntz").alias("ts"))
     a, b = le.hash_sample(df, 0.22), le.hash_sample(df.repartition(7), 0.22)
     assert a.exceptAll(b).count() == 0 and abs(a.count() / 20000 - 0.22) < 0.02
+
+
+def test_scorer_publishes_once_per_slot(spark, trained):
+    from dockwatch.schemas import FORECAST, SNAPSHOT
+    from dockwatch.sinks import tables as tb
+    from dockwatch.streaming.refresh import Store
+    from dockwatch.streaming import scoring as ss
+
+    f, st, m = trained
+    root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    store = Store(root + "/store")
+    groups = st.select("station_id", F.lit(0).alias("cluster_id"))
+    tables = ss.training_tables(st, groups, f.select("station_id", "dow", "slot_of_day", "norm_ratio", "norm_empty_rate",
+                                                     "norm_full_rate").distinct(), fe.neighbours(st),
+                                spark.createDataFrame([], "day date"))
+    tb.export_tables(tables, root + "/aux")
+    le.save(m, root + "/models")
+    snaps = f.select("station_id", "ts", "bikes", "docks_avail", "docks_total").select(
+        *[F.col(x.name).cast(x.dataType).alias(x.name) for x in SNAPSHOT.fields])
+    last = F.lit("2024-01-15 12:00:00").cast("timestamp_ntz")
+    tb.export_months(snaps.filter(F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz")), root + "/history")
+    recent = snaps.filter((F.col("ts") >= F.lit("2024-01-15").cast("timestamp_ntz")) & (F.col("ts") <= last))
+    tb.publish_days(recent.withColumn("day", F.col("ts").cast("date")), store.at("recent"))
+    run = ss.scorer(ss.ScoringInputs(root + "/aux", root + "/models", root + "/history"), store)
+    run(spark, 0)
+    out = tb.read_published(spark, store.at("forecast"), FORECAST)
+    first = tb.published_path(spark, store.at("forecast"))
+    assert out.count() == 24 and {r[0] for r in out.select("base_ts").distinct().collect()} == {dt.datetime(2024, 1, 15, 12)}
+    run(spark, 1)
+    assert tb.published_path(spark, store.at("forecast")) == first
+    info = ss.forecast_summary(out).first()
+    assert info["n_stations"] == 6 and info["last_target"] == dt.datetime(2024, 1, 15, 15)
