@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from dockwatch.functions import status as st, timefn as tf
+from dockwatch.operators.adjacent import with_adjacent
 from dockwatch.operators.ordering import numbered
 from dockwatch.schemas import (HORIZONS, MODEL_EMPTY_MAX, MODEL_FULL_MAX, STRICT_THRESHOLD)
 from dockwatch.session import stage
@@ -156,36 +157,32 @@ def interval_report(rows: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------- events
 
-def event_starts(rows: DataFrame, kind: str, min_rows: int = 2) -> DataFrame:
-    """First row of each stay in the state that lasts at least ``min_rows`` rows.
+def _states() -> dict[str, Column]:
+    return {"empty": F.col("bikes") <= MODEL_EMPTY_MAX,
+            "full": F.col("docks_total") - F.col("bikes") <= MODEL_FULL_MAX}
 
-    Neighbouring means the next row present, not the next half-hour (F14). A
-    station has one row per half-hour at most, so its window grows with the
-    calendar and not with the number of raw readings.
+
+def _starts(rows: DataFrame, kinds: list[str]) -> DataFrame:
+    """A start is in the state with the next row, while the row before is not.
+
+    Neighbouring means the next row present, not the next half-hour (F14).
     """
-    inside = (F.col("bikes") <= MODEL_EMPTY_MAX if kind == "empty"
-              else F.col("docks_total") - F.col("bikes") <= MODEL_FULL_MAX)
-    w = Window.partitionBy("station_id").orderBy("ts")
-    x = rows.select("station_id", "ts", inside.alias("inside"))
-    start = F.col("inside") & ~F.lag("inside", 1, False).over(w)
-    for k in range(1, min_rows):
-        start = start & F.lead("inside", k, False).over(w)
-    return x.withColumn("_start", start).filter("_start").select(
-        "station_id", "ts", F.lit(kind).alias("kind"))
+    states = _states()
+    x = with_adjacent(rows.select("station_id", "ts", *[states[k].alias(k) for k in kinds]),
+                      "station_id", kinds)
+    started = {k: F.col(k) & ~F.col(f"{k}_prev") & F.col(f"{k}_next") for k in kinds}
+    names = F.array(*[F.when(started[k], F.lit(k)) for k in kinds])
+    return x.select("station_id", "ts", F.explode(F.array_compact(names)).alias("kind"))
+
+
+def event_starts(rows: DataFrame, kind: str) -> DataFrame:
+    """First row of each stay in the state that lasts at least two rows."""
+    return _starts(rows, [kind])
 
 
 def both_event_starts(rows: DataFrame) -> DataFrame:
-    """Starts of both kinds (M20) from one sort of the rows."""
-    w = Window.partitionBy("station_id").orderBy("ts")
-    states = {"empty": F.col("bikes") <= MODEL_EMPTY_MAX,
-              "full": F.col("docks_total") - F.col("bikes") <= MODEL_FULL_MAX}
-    x = rows.select("station_id", "ts", *[c.alias(k) for k, c in states.items()])
-    flags = {f"_{k}": F.col(k) & ~F.lag(k, 1, False).over(w) & F.lead(k, 1, False).over(w)
-             for k in states}
-    x = x.withColumns(flags)
-    kinds = F.explode(F.filter(F.array(*[F.when(F.col(f"_{k}"), F.lit(k)) for k in states]),
-                               lambda v: v.isNotNull()))
-    return x.select("station_id", "ts", kinds.alias("kind"))
+    """Starts of both kinds from one pass over the rows."""
+    return _starts(rows, ["empty", "full"])
 
 
 def threshold_column(thresholds: float | dict[tuple[str, int], float]) -> Column:

@@ -29,6 +29,25 @@ def test_events_follow_rows_not_the_clock(spark):
         assert one == {x for x in got if x[2] == kind}
 
 
+def test_events_across_chunks_and_long_gaps(spark):
+    rng, data = random.Random(8), []
+    for s in range(3):
+        i = 0
+        for _ in range(400):
+            i += rng.choice([1, 1, 1, 2, 40, 3000])            # gaps longer than a chunk
+            data.append((s, at(i), rng.choice([0, 0, 5, 9, 10]), 10))
+    df = spark.createDataFrame(data, "station_id long, ts timestamp_ntz, bikes int, docks_total int")
+    want = set()
+    for s in range(3):
+        mine = sorted(r for r in data if r[0] == s)
+        for kind, inside in (("empty", [r[2] <= 1 for r in mine]), ("full", [10 - r[2] <= 1 for r in mine])):
+            for j in range(len(mine) - 1):
+                if inside[j] and inside[j + 1] and not (j and inside[j - 1]):
+                    want.add((s, mine[j][1], kind))
+    got = [tuple(r) for r in ev.both_event_starts(df).collect()]
+    assert set(got) == want and len(got) == len(want) > 100
+
+
 def test_leads_take_the_longest_horizon(spark):
     events = spark.createDataFrame([(1, at(10), "empty"), (2, at(10), "empty")], "station_id long, ts timestamp_ntz, kind string")
     probs = spark.createDataFrame(
