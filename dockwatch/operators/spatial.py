@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dockwatch.functions.geo import distance_km
 from dockwatch.operators.ordering import top_per_group
@@ -74,6 +74,69 @@ def _refinements(points: DataFrame, km: float, crowd: int) -> int:
     return MAX_LEVELS
 
 
+def _lon_edge(row: Column, km: float) -> Column:
+    """Width of a cell of this row in degrees of longitude."""
+    high = _rows_high(km)
+    edge = F.least(F.lit(89.0), (F.abs(row) + F.lit(2)) * F.lit(high))
+    return F.lit(high) / F.cos(F.radians(edge))
+
+
+def _useful_cells(left: DataFrame, right: DataFrame, k: int, km: float, fine: float) -> DataFrame:
+    """For each cell of left points, the cells that can hold one of their k nearest.
+
+    Two boxes give a least and a greatest possible distance. Once cells with
+    k + 1 points (one may be the point itself) lie within some greatest
+    distance, cells that begin beyond it are of no use. Works on cells alone.
+    """
+    def boxes(points: DataFrame, tag: int) -> DataFrame:
+        cells = _in_cells(points, fine).groupBy("_row", "_col").agg(F.count("*").alias("n"))
+        return cells.select(
+            F.struct(F.lit(tag).alias("t"), "_row", "_col").alias("id"), "n",
+            ((F.col("_row") + F.lit(0.5)) * F.lit(_rows_high(fine))).alias("lat"),
+            ((F.col("_col") + F.lit(0.5)) * _lon_edge(F.col("_row"), fine)).alias("lon"))
+    a, b = boxes(left, 0), boxes(right, 1)
+    # Centres of boxes that touch the radius are at most a diagonal further apart.
+    near = pairs_within(a, b, km + 2 * fine)
+    near = near.join(b.select(F.col("id").alias("right_id"), "n"), "right_id")
+    q, r = F.col("left_id"), F.col("right_id")
+    w1, w2 = _lon_edge(q["_row"], fine), _lon_edge(r["_row"], fine)
+    west1, west2 = q["_col"] * w1, r["_col"] * w2
+    gap_x = F.greatest(F.lit(0.0), west2 - (west1 + w1), west1 - (west2 + w2))
+    span_x = F.greatest(west2 + w2 - west1, west1 + w1 - west2)
+    high = F.lit(_rows_high(fine))
+    rows = F.abs(q["_row"] - r["_row"])
+    gap_y, span_y = F.greatest(F.lit(0), rows - 1) * high, (rows + 1) * high
+    low = F.least(F.abs(q["_row"]), F.abs(q["_row"] + 1)) * high
+    top = F.least(F.lit(90.0), F.greatest(F.abs(q["_row"]), F.abs(q["_row"] + 1)) * high)
+    cos_most, cos_least = F.cos(F.radians(F.when(q["_row"] == -1, 0.0).otherwise(low))), F.cos(F.radians(top))
+
+    def length(x: Column, y: Column) -> Column:
+        return F.lit(KM_PER_DEGREE) * F.sqrt(x * x + y * y)
+    near = near.select("left_id", "right_id", "n", length(gap_x * cos_least, gap_y).alias("least"),
+                       length(span_x * cos_most, span_y).alias("most"))
+    upto = (Window.partitionBy("left_id").orderBy("most")
+            .rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    near = near.withColumn("_seen", F.sum("n").over(upto))
+    enough = F.min(F.when(F.col("_seen") > k, F.col("most"))).over(Window.partitionBy("left_id"))
+    # A hair of slack keeps ties after rounding.
+    limit = F.least(F.lit(km), F.coalesce(enough, F.lit(km))) + F.lit(1e-6)
+    return near.withColumn("_limit", limit).filter(F.col("least") <= F.col("_limit")).select(
+        q["_row"].alias("q_row"), q["_col"].alias("q_col"), r["_row"].alias("_row"), r["_col"].alias("_col"))
+
+
+def _through_cells(left: DataFrame, right: DataFrame, k: int, km: float, fine: float) -> DataFrame:
+    """Pairs within km that may be among the k nearest, by way of useful cells."""
+    cells = stage(_useful_cells(left, right, k, km, fine), "cells")
+    a = _in_cells(left, fine).select(F.col("id").alias("left_id"), F.col("lat").alias("lat1"),
+                                     F.col("lon").alias("lon1"), F.col("_row").alias("q_row"),
+                                     F.col("_col").alias("q_col"))
+    b = _in_cells(right, fine).select(F.col("id").alias("right_id"), "lat", "lon", "_row", "_col")
+    d = distance_km(F.col("lat1"), F.col("lon1"), F.col("lat"), F.col("lon"))
+    return (a.join(cells, ["q_row", "q_col"]).join(b, ["_row", "_col"])
+            .filter(F.col("left_id") != F.col("right_id")).withColumn("km", d)
+            .filter(F.col("km") <= F.lit(km)).select("left_id", "right_id", "km"))
+
+
 def nearest(left: DataFrame, right: DataFrame, k: int, km: float, crowd: int = CROWD) -> DataFrame:
     """The k nearest right points of every left point within ``km``.
 
@@ -96,5 +159,7 @@ def nearest(left: DataFrame, right: DataFrame, k: int, km: float, crowd: int = C
         done = best.filter(F.col("rank") == k).select(F.col("left_id").alias("id"))
         found.append(best.join(done, best["left_id"] == done["id"], "left_semi"))
         todo = stage(todo.join(done, "id", "left_anti"), "todo")
-    found.append(top_per_group(pairs_within(todo, useful, km), ["left_id"], order, k))
+    # What is left sits alone or faces a crowd from afar: only the near side of it counts.
+    rest = _through_cells(todo, useful, k, km, km / 4 ** levels)
+    found.append(top_per_group(rest, ["left_id"], order, k))
     return reduce(DataFrame.unionByName, found)

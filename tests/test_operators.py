@@ -54,6 +54,20 @@ def test_nearest_between_two_sets(spark):
     assert got == brute(a, b, 1, 3.0)
 
 
+@pytest.mark.parametrize("lat", [25.0, -0.001, -63.0])
+def test_nearest_between_two_crowds(spark, lat):
+    """No partner nearby, a crowd half the radius away."""
+    rng = random.Random(11)
+    a = [(i, lat + rng.random() * 1e-3, 121 + rng.random() * 1e-3) for i in range(150)]
+    b = [(1000 + i, lat + 5e-3 + rng.random() * 1e-3, 121.003 + rng.random() * 1e-3) for i in range(150)]
+    schema = "id long, lat double, lon double"
+    got = {}
+    for r in spatial.nearest(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), 3, 1.0, 16).orderBy(
+            "left_id", "rank").collect():
+        got.setdefault(r["left_id"], []).append(r["right_id"])
+    assert got == brute(a, b, 3, 1.0)
+
+
 def test_pairs_within_has_no_nested_loop(spark):
     pts = layout("spread")
     df = spark.createDataFrame(pts, "id long, lat double, lon double")
