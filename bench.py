@@ -20,16 +20,16 @@ from dockwatch.catalog import PLANS, QUERIES, Data
 from dockwatch.session import local_session, stage
 
 # From the raw events to the answer.
-FROM_RAW = ["snapshot_dedupe", "station_master", "history_build"]
+FROM_RAW = ["snapshot_dedupe", "station_master", "history_build", "weekly_profile"]
 # From prepared tables, as a serving layer or a training job would run them.
 PREPARED = [
-    "pulse", "pulse_newest_day", "weekly_profile", "profile_rollup", "station_list", "districts",
+    "pulse", "pulse_newest_day", "profile_rollup", "station_list", "districts",
     "overview", "overview_history", "worst", "replay", "replay_days", "station_history", "alerts",
     "episodes", "forecast_top", "forecast_alerts", "dispatch", "grid", "holidays",
     "baseline_metrics", "best_threshold", "average_precision", "event_leads", "policy_coverage",
     "concentration"]
 # One station per user: 1,500 stations at sf0.1.
-WIDE = ["grid", "lags", "rolling", "features", "weekly_profile", "episodes", "neighbours",
+WIDE = ["grid", "lags", "rolling", "features", "episodes", "neighbours",
         "neighbour_mean", "policy_coverage"]
 
 

@@ -44,6 +44,7 @@ class Data:
 
     def __init__(self, spark: SparkSession, sf_dir: str, wide: bool = False):
         self.spark, self.dir, self.wide = spark, sf_dir, wide
+        self.staged = False
 
     @cached_property
     def snaps(self) -> DataFrame:
@@ -75,7 +76,10 @@ class Data:
         return fe.observations(self.snaps, self.model_stations)
 
     def stage_inputs(self) -> None:
-        """Write the tables that several branches of a large plan read."""
+        """Write the tables that several branches of a large plan read, once."""
+        if self.staged:
+            return
+        self.staged = True
         self.snaps = stage(self.snaps, "snapshots")
         self.stations = stage(self.stations, "stations")
         self.obs = stage(self.obs, "obs")
