@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from dockwatch.llm import sharding, warc
+from dockwatch.llm import licenses, mixing, sharding, warc
 
 QUERIES = {
+    "op2_mixing": mixing.query,
     "op6_sharding": sharding.query,
     "op7_warc": warc.query,
+    "op8_licenses": licenses.query,
 }
 
 
