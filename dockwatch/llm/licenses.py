@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from dockwatch.llm.common import table, text_key
 
-#: Words in a hashed run.
+#: Words in a hashed run; the shortest phrase has two.
 K = 2
 #: Diagonals so far apart still belong to one edited copy.
 GAP = 4
@@ -86,33 +86,31 @@ def _run_hash(words: list[Column]) -> Column:
     return F.xxhash64(*words)
 
 
-def _hashes(words: Column) -> Column:
-    """The hashes of all runs of K words."""
-    n = F.size(words) - K + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: _run_hash(
-        [F.element_at(words, (i + d).cast("int")) for d in range(K)]))).otherwise(
-            F.array().cast("array<bigint>"))
+def _runs(words: Column) -> Column:
+    """The runs of a text as structs (run, a, b): hash and words."""
+    return F.when(F.size(words) >= K, F.zip_with(
+        F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1),
+        lambda a, b: F.struct(_run_hash([a, b]).alias("run"), a.alias("a"), b.alias("b"))))
 
 
 def votes(docs: DataFrame) -> DataFrame:
     """Matches of document runs with template runs, and one row with null ``tpl`` per document."""
     tpl = templates(docs.sparkSession)
-    none = docs.sparkSession.range(1).select(
-        F.lit(None).cast("int").alias("tpl"), F.lit(None).cast("string").alias("label"),
-        F.lit(None).cast("boolean").alias("phrase"), F.lit(None).cast("int").alias("runs"),
-        F.lit(None).cast("int").alias("tpos"), F.lit(None).cast("array<string>").alias("twords"),
-        F.lit(0).cast("bigint").alias("run"))
+    none = tpl.limit(0).unionByName(docs.sparkSession.range(1).select(F.lit(0).cast("long").alias("run")),
+                                    allowMissingColumns=True)
     tpl = tpl.filter(F.col("run") != 0).unionByName(none)
     d = docs.select("doc_id", text_key().alias("_key"), words_of(F.col("text")).alias("_w"))
-    d = d.select("doc_id", "_key", "_w", F.size("_w").cast("long").alias("n_words"),
-                 F.concat(F.array(F.lit(0).cast("bigint")), _hashes(F.col("_w"))).alias("_h"))
-    e = d.select("doc_id", "_key", "n_words", "_w", F.posexplode("_h").alias("_p", "run"))
+    blank = F.array(F.struct(F.lit(0).cast("long").alias("run"), F.lit("").alias("a"), F.lit("").alias("b")))
+    runs = F.coalesce(_runs(F.col("_w")), F.slice(blank, 1, 0))
+    d = d.select("doc_id", "_key", F.size("_w").cast("long").alias("n_words"),
+                 F.concat(blank, runs).alias("_r"))
+    # The words travel inside the exploded element: a row never drags its whole text along.
+    e = d.select("doc_id", "_key", "n_words", F.posexplode("_r").alias("_p", "_e"))
+    e = e.select("doc_id", "_key", "n_words", "_p", F.col("_e.run").alias("run"),
+                 F.col("_e.a").alias("_a"), F.col("_e.b").alias("_b"))
     m = e.join(F.broadcast(tpl), "run")      # the templates above: a few hundred rows
-    same = F.lit(True)
-    for i in range(K):
-        same = same & (F.try_element_at("_w", F.col("_p") + i) == F.col("twords")[i])
     m = m.filter(F.when(F.col("tpl").isNull(), F.col("_p") == 0).otherwise(
-        (F.col("_p") > 0) & same))
+        (F.col("_p") > 0) & (F.col("_a") == F.col("twords")[0]) & (F.col("_b") == F.col("twords")[1])))
     return m.select("doc_id", "_key", "n_words", "tpl", "label", "phrase", "runs", "tpos",
                     (F.col("_p") - 1).alias("dpos"))
 
