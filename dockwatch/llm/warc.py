@@ -25,6 +25,7 @@ table gives empty archives and no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import uuid
@@ -103,7 +104,7 @@ def records(pages: DataFrame) -> DataFrame:
 
 def write_archives(pages: DataFrame, path: str) -> None:
     """Archives of ``pages`` under ``path``."""
-    (records(pages).write.option("lineSep", END + END)
+    (records(pages).write.option("lineSep", END + END).option("compression", "gzip")
      .option("maxRecordsPerFile", FILE_RECORDS).text(path))
 
 
@@ -148,7 +149,8 @@ _NAMES = [x.split()[0] for x in RECORD_SCHEMA.replace("\n", " ").split(", ")]
 def _parse_files(batches: Iterator[pd.DataFrame], payloads: bool) -> Iterator[pd.DataFrame]:
     at = _NAMES.index("payload")
     for pdf in batches:
-        for data in pdf["content"]:
+        for packed in pdf["content"]:
+            data = gzip.decompress(packed)
             rows = [r if payloads else (*r[:at], None, *r[at + 1:]) for r in parse(data)]
             if rows:
                 out = pd.DataFrame(rows, columns=_NAMES)
