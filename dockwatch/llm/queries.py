@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from dockwatch.llm import licenses, mixing, sharding, warc
+from dockwatch.llm import licenses, mixing, packing, sharding, simhash, warc
 
 QUERIES = {
+    "op1_simhash": simhash.query,
     "op2_mixing": mixing.query,
+    "op4_packing": packing.query,
     "op6_sharding": sharding.query,
     "op7_warc": warc.query,
     "op8_licenses": licenses.query,
