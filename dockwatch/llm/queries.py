@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dockwatch.llm import licenses, mixing, packing, sharding, simhash, warc
+from dockwatch.llm import embedding_dedup, licenses, mixing, packing, sharding, simhash, topk, warc
 
 QUERIES = {
     "op1_simhash": simhash.query,
@@ -11,6 +11,8 @@ QUERIES = {
     "op6_sharding": sharding.query,
     "op7_warc": warc.query,
     "op8_licenses": licenses.query,
+    "op9_topk": topk.query,
+    "op10_embedding_dedup": embedding_dedup.query,
 }
 
 
@@ -18,4 +20,5 @@ def statements() -> dict[str, str]:
     return {
         "op6_sharding": sharding.oracle(),
         "op7_warc": warc.ORACLE,
+        "op9_topk": topk.ORACLE,
     }
