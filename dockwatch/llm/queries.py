@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from dockwatch.llm import embedding_dedup, licenses, mixing, packing, sharding, simhash, topk, warc
+from dockwatch.llm import embedding_dedup, licenses, mixing, packing, sharding, simhash, topk, toxicity, warc
 
 QUERIES = {
     "op1_simhash": simhash.query,
     "op2_mixing": mixing.query,
     "op4_packing": packing.query,
+    "op5_toxicity": toxicity.query,
     "op6_sharding": sharding.query,
     "op7_warc": warc.query,
     "op8_licenses": licenses.query,
