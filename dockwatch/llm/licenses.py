@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from dockwatch.llm.common import table, text_key
+from dockwatch.session import stage
 
 #: Words in a hashed run; the shortest phrase has two.
 K = 2
@@ -141,7 +142,7 @@ def spans(votes_: DataFrame) -> DataFrame:
 
 def scan(docs: DataFrame) -> DataFrame:
     """One row per document with its license places and labels."""
-    v = votes(docs)
+    v = stage(votes(docs), "license-votes")
     key = ["doc_id", "_key"]
     # The row without template carries every document through, once for each repeat of its row.
     blank = v.filter(F.col("tpl").isNull()).select(
