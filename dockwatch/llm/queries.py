@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from dockwatch.llm import embedding_dedup, licenses, mixing, packing, sharding, simhash, topk, toxicity, warc
+from dockwatch.llm import embedding_dedup, licenses, mixing, packing, sharding, simhash, substring, topk, toxicity, warc
 
 QUERIES = {
     "op1_simhash": simhash.query,
     "op2_mixing": mixing.query,
+    "op3_substring": substring.query,
     "op4_packing": packing.query,
     "op5_toxicity": toxicity.query,
     "op6_sharding": sharding.query,
