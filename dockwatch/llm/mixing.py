@@ -28,7 +28,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from dockwatch.llm.common import n_words, table, text_key
+from dockwatch.llm.common import first_of_repeats, keyed, n_words, table, text_key
 from dockwatch.operators.ordering import numbered
 from dockwatch.session import stage
 
@@ -197,6 +197,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
                       copies_of.alias("copies"), (copies_of * F.col("size")).alias("taken"))
 
 
+def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """The rows of the mix: each row of ``docs`` as often as its copies say."""
+    m = mix(docs, weights, cap).groupBy(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_id"),
+        F.col("text_key").alias("_key")).agg(F.sum("copies").alias("_copies"))
+    rows = first_of_repeats(keyed(docs).join(m.filter("_copies > 0"), ["_id", "_key"]))
+    return rows.select(*docs.columns, F.explode(
+        F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_i")).drop("_i")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to weights 5, 2, 1."""
     return mix(table(spark, sf_dir, "documents")).select(

@@ -28,7 +28,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from dockwatch.llm.common import table, text_key
+from dockwatch.llm.common import first_of_repeats, keyed, table, text_key
 from dockwatch.llm.components import connected_components
 from dockwatch.session import stage
 
@@ -93,8 +93,9 @@ def links(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, text_key, fp, n_links and component_id.
+    """One row per document: doc_id, text_key, fp, root, component_id and n_links.
 
+    ``root`` is the smallest fingerprint of the component.
     ``n_links`` counts other fingerprints within the radius, not documents.
     """
     d = stage(docs.select(F.col("doc_id"), text_key().alias("text_key"),
@@ -106,13 +107,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.count("*").alias("n_links"))
     linked = u.join(roots, "fp").join(degree, "fp")
     named = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    linked = linked.join(named, "root").select("fp", "component_id", "n_links")
+    linked = linked.join(named, "root").select("fp", "root", "component_id", "n_links")
     alone = u.join(roots.select("fp"), "fp", "left_anti").select(
-        "fp", F.col("first_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+        "fp", F.col("fp").alias("root"), F.col("first_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     of = stage(linked.unionByName(alone), "simhash-classes")
     return d.join(of, "fp")
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each component: the smallest doc_id, null ids last."""
+    best = near_duplicates(docs).groupBy("root").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("a"), F.col("doc_id").cast("long").alias("b"),
+        F.col("text_key").alias("c"))).alias("p"))
+    best = best.select(F.coalesce("p.b", F.lit(-(1 << 63))).alias("_id"), F.col("p.c").alias("_key"))
+    kept = keyed(docs).join(best.distinct(), ["_id", "_key"])
+    return first_of_repeats(kept).select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with fingerprint and component."""
     out = near_duplicates(table(spark, sf_dir, "documents"))

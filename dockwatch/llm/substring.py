@@ -30,7 +30,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dockwatch.llm.common import table, text_key
+from dockwatch.llm.common import keyed, table
 from dockwatch.llm.fmindex import FMIndex, repeated_intervals
 from dockwatch.session import stage
 
@@ -149,15 +149,10 @@ def _search_shard(rows: pd.DataFrame) -> pd.DataFrame:
     return got.assign(first=first.astype(np.int32), last=last.astype(np.int32))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn(
-        "_key", F.coalesce(text_key(), F.lit(0)))
-
-
 def repeats(docs: DataFrame) -> DataFrame:
     """Stretches of words to remove: _id, _key and a list of (first, last) for each text with any."""
     spark = docs.sparkSession
-    d = _keyed(docs.select("doc_id", "text")).drop("doc_id")
+    d = keyed(docs.select("doc_id", "text")).drop("doc_id")
     seg = stage(d.mapInPandas(
         _segments, "_id long, _key long, start int, n int, anchor long, seg long, again boolean"), "segments")
     twice = seg.groupBy("anchor").agg(F.count("*").alias("_n"), F.max("again").alias("_again")).filter(
@@ -196,8 +191,11 @@ def _cut(words: list[bytes], gone) -> tuple[int, bytes]:
     return int(len(words) - keep.sum()), b" ".join([words[i] for i in np.flatnonzero(keep)])
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with n_words, n_removed and the kept words as ``kept_text``; null stays null."""
+def remove_repeats(docs: DataFrame, as_is: bool = False) -> DataFrame:
+    """``docs`` with n_words, n_removed and the kept words as ``kept_text`` in place of text.
+
+    Null stays null. With ``as_is`` a text that loses nothing keeps its white space.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sizes, removed, kept = [], [], []
@@ -206,13 +204,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 n, rest = _cut(words, gone)
                 sizes.append(len(words))
                 removed.append(n)
-                kept.append(rest.decode("utf-8") if isinstance(text, str) else None)
+                whole = as_is and not n or not isinstance(text, str)
+                kept.append(text if whole else rest.decode("utf-8"))
             out = pdf.drop(columns=["_gone", "text"])
             yield out.assign(n_words=sizes, n_removed=removed, kept_text=kept)
 
     gone = repeats(docs).withColumnRenamed("gone", "_gone")
     keep = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text")]
-    joined = _keyed(docs.select(*keep)).join(gone, ["_id", "_key"], "left").drop("_id", "_key")
+    joined = keyed(docs.select(*keep)).join(gone, ["_id", "_key"], "left").drop("_id", "_key")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"
                        for f in joined.schema if f.name not in ("text", "_gone"))
     return joined.mapInPandas(run, f"{fields}, n_words long, n_removed long, kept_text string")
