@@ -13,7 +13,7 @@ from dockwatch.operators import series
 from dockwatch.plans import (alerts as al, evaluate as ev, features as fe, forecasts as fc, learn as le,
                              history as hi, policy as po, profiles as pr, reports as rp, scoring as sc,
                              serve as sv, shapes as sh)
-from dockwatch.schemas import LATEST, SNAPSHOT
+from dockwatch.schemas import LATEST, RAW_KEEP_DAYS, SNAPSHOT
 from dockwatch.session import shared_dir, stage
 from dockwatch.sinks.tables import publish, read_days, read_published
 from dockwatch.sources import fixtures as fx
@@ -626,6 +626,11 @@ def _event_tables(d: Data) -> tuple[DataFrame, DataFrame, DataFrame]:
     return rows, probs, leads_
 
 
+def _span(rows: DataFrame) -> Column:
+    """Calendar days from the first to the last reading."""
+    return rows.agg(F.datediff(F.max("ts"), F.min("ts")) + 1).scalar()
+
+
 @query
 def event_leads(d: Data) -> DataFrame:
     probs = (d.obs.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in fe.HORIZONS])))
@@ -642,7 +647,7 @@ def event_leads(d: Data) -> DataFrame:
 def event_report(d: Data) -> DataFrame:
     rows, probs, leads_ = _event_tables(d)
     n = rows.agg(F.countDistinct("station_id")).scalar()
-    out = ev.event_report(leads_, probs, n, 30, fx.WATCH_THRESHOLD)
+    out = ev.event_report(leads_, probs, n, _span(rows), fx.WATCH_THRESHOLD)
     return r6(out, "coverage", "mean_lead_minutes", "median_lead_minutes",
               "mean_lead_minutes_all_events", "false_alarm_rate", "alerts_per_station_per_day")
 
@@ -675,19 +680,19 @@ def concentration(d: Data) -> DataFrame:
 
 @query
 def forecast_top(d: Data) -> DataFrame:
-    return r6(fc.forecast_list(d.forecast, 60).select(
+    return r6(fc.forecast_list(d.forecast, 60, limit=300).select(
         "station_id", "name", "district", "base_ts", "horizon", "now_bikes", "pred_bikes",
         "pred_docks", "proba_empty", "proba_full", "watch_empty", "watch_full", "risk"), "risk")
 
 
 @query
 def forecast_alerts(d: Data) -> DataFrame:
-    return fc.forecast_alerts(d.forecast, 60)
+    return fc.forecast_alerts(d.forecast, 60, limit=200)
 
 
 @query
 def forecast_alerts_strict(d: Data) -> DataFrame:
-    return fc.forecast_alerts(d.forecast, 30, "strict")
+    return fc.forecast_alerts(d.forecast, 30, "strict", limit=200)
 
 
 @query
@@ -722,7 +727,7 @@ def _trained(d: Data):
     """Small models on the training days; sizes follow the fixture, not production."""
     f = stage(d.features, "features")
     tr, va = fe.split(f, *fx.TRAIN), fe.split(f, *fx.VALID)
-    s = le.Settings(rounds=2, depth=3, min_rows=1, train_share=1.0, valid_share=1.0)
+    s = le.Settings(rounds=2, depth=3, min_rows=1)
     return f, le.train(tr, va, s)
 
 
@@ -766,13 +771,13 @@ def _land_events(d: Data) -> str:
     return path
 
 
-def _refreshed(d: Data, keep_days: int | None = None) -> Store:
+def _refreshed(d: Data, keep_days: int | None = None, now: str | None = None) -> Store:
     """Run the refresh stream over everything landed, in several batches."""
     store = Store(f"{shared_dir(d.spark)}/store-{uuid.uuid4().hex}")
     known = d.stations.filter(F.col("station_id") != 5)
     publish(known, store.at("registry"))
     q = refresh_stream(d.spark, _land_events(d), store, store.at("checkpoint"), "PREFIX_",
-                       every=None, files_per_trigger=15, keep_days=keep_days)
+                       every=None, files_per_trigger=15, keep_days=keep_days, now=now)
     q.awaitTermination()
     return store
 
@@ -784,6 +789,15 @@ def stream_recent(d: Data) -> DataFrame:
     return out.withColumns({x: F.col(x).cast("int") for x in ("bikes", "docks_avail", "docks_total")})
 
 
+@query
+def stream_recent_kept(d: Data) -> DataFrame:
+    """The slot table with the 14 days of a running system, whose clock stands at the last day."""
+    today = d.snaps.agg(F.max(F.col("ts").cast("date"))).first()[0]
+    store = _refreshed(d, RAW_KEEP_DAYS, str(today))
+    out = read_days(d.spark, store.at("recent"), SNAPSHOT)
+    return out.withColumns({x: F.col(x).cast("int") for x in ("bikes", "docks_avail", "docks_total")})
+
+
 @query
 def stream_latest(d: Data) -> DataFrame:
     out = read_published(d.spark, _refreshed(d).at("latest"), LATEST)
@@ -796,11 +810,13 @@ def stream_episodes(d: Data) -> DataFrame:
     """Keyed-state durations over a stream of slot readings, a few days per batch."""
     base = f"{shared_dir(d.spark)}/episodes-{uuid.uuid4().hex}"
     days = d.snaps.withColumn("day", F.col("ts").cast("date"))
-    # Files are picked up by age, so later days must be written later; one
-    # write per third of the month keeps them in order.
-    for lo, hi_ in (("2024-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2025-01-01")):
-        part = days.filter((F.col("day") >= F.lit(lo).cast("date")) & (F.col("day") < F.lit(hi_).cast("date")))
-        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    first, last = days.agg(F.min("day"), F.max("day")).first()
+    # Files are picked up by age, so later days must be written later: one
+    # write per third of the span. A station has one file in each of them.
+    third = max(1, ((last - first).days + 3) // 3) if first else 1
+    for k in range(3) if first else []:
+        part = days.filter(F.floor(F.datediff("day", F.lit(first)) / third) == k)
+        part.repartition(4, "station_id").write.mode("append").parquet(f"{base}/in")
     src = d.spark.readStream.schema(SNAPSHOT).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     q = (episode_stream(src).writeStream.format("parquet").option("path", f"{base}/out")
          .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
@@ -817,4 +833,4 @@ def backtest_report(d: Data) -> DataFrame:
     """All metric sections for the closed-form forecast over the whole history."""
     judged = stage(d.scored_targets, "judged")
     flat = {(k, h): fx.WATCH_THRESHOLD for k in ("empty", "full") for h in fe.HORIZONS}
-    return r6(rp.backtest_metrics(judged, 30, flat).filter(F.col("value").isNotNull()), "value")
+    return r6(rp.backtest_metrics(judged, _span(judged), flat).filter(F.col("value").isNotNull()), "value")

@@ -8,8 +8,7 @@ from dockwatch.functions.cols import c
 from dockwatch.functions import status as st, timefn as tf
 from dockwatch.operators.frames import frame, own_rows, with_halo
 from dockwatch.plans.serve import as_time, newest
-from dockwatch.schemas import (ALERT_WINDOW_HOURS, CRITICAL_MINUTES, LEVEL_RANK, NEAR_LIMIT,
-                               NOTIFY_CAP)
+from dockwatch.schemas import (ALERT_WINDOW_HOURS, CRITICAL_MINUTES, LEVEL_RANK, NEAR_LIMIT)
 
 
 
@@ -84,10 +83,12 @@ def alert_counts(alert_rows: DataFrame) -> DataFrame:
     return alert_rows.groupBy("level", "kind").agg(F.count("*").alias("n"))
 
 
-def escalations(alert_rows: DataFrame, seen: DataFrame | None, cap: int = NOTIFY_CAP
-                ) -> tuple[DataFrame, DataFrame]:
+def escalations(alert_rows: DataFrame, seen: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """(events to send, state to keep) of one alert round.
 
+    Every station that rose is sent, however many there are: the state books
+    all of them as seen. A page size is the reader's business.
+
     ``seen`` holds (station_id, level) of the round before, None on the very
     first round, which only records. Stations no longer alerting leave the
     state; a level that fell is remembered at the lower level.
@@ -105,7 +106,7 @@ def escalations(alert_rows: DataFrame, seen: DataFrame | None, cap: int = NOTIFY
         "station_id", "name", "district", "level", "prev_level", "kind", "duration_min",
         "bikes", "docks_avail", "docks_total", "ts")
     order = [st.severity(F.col("level")), F.desc("duration_min"), "station_id"]
-    return events.orderBy(*order).limit(cap), state
+    return events.orderBy(*order), state
 
 
 assert set(LEVEL_RANK) == {"notice", "warning", "critical"}

@@ -211,7 +211,7 @@ def event_leads(events: DataFrame, probabilities: DataFrame,
         "lead", F.coalesce("lead", F.lit(0)))
 
 
-def event_report(leads: DataFrame, score_rows: DataFrame, n_stations: Column | int, n_days: int,
+def event_report(leads: DataFrame, score_rows: DataFrame, n_stations: Column | int, n_days: Column | int,
                  thresholds: float | dict = STRICT_THRESHOLD) -> DataFrame:
     """Coverage, lead times and false alarms per kind."""
     hit = F.col("lead") > 0

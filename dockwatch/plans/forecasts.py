@@ -17,13 +17,18 @@ def _at(forecast: DataFrame, horizon: int, district: str | None) -> DataFrame:
     return out if district is None else out.filter(F.col("district") == F.lit(district))
 
 
+def _first(rows: DataFrame, limit: int | None) -> DataFrame:
+    """All rows unless the caller asks for the first few."""
+    return rows if limit is None else rows.limit(limit)
+
+
 def forecast_list(forecast: DataFrame, horizon: int = 60, district: str | None = None,
-                  risk_only: bool = False, limit: int = 300) -> DataFrame:
+                  risk_only: bool = False, limit: int | None = None) -> DataFrame:
     """Stations by risk at a horizon."""
     rows = _at(forecast, horizon, district)
     if risk_only:
         rows = rows.filter(F.col("watch_empty") | F.col("watch_full"))
-    return rows.withColumn("risk", c.risk).orderBy(F.desc("risk"), "station_id").limit(limit)
+    return _first(rows.withColumn("risk", c.risk).orderBy(F.desc("risk"), "station_id"), limit)
 
 
 def forecast_station(forecast: DataFrame, station_id: int) -> DataFrame:
@@ -33,15 +38,16 @@ def forecast_station(forecast: DataFrame, station_id: int) -> DataFrame:
 
 
 def forecast_alerts(forecast: DataFrame, horizon: int = 60, mode: str = "operational",
-                    district: str | None = None, limit: int = 200) -> DataFrame:
+                    district: str | None = None, limit: int | None = None) -> DataFrame:
     """Stations whose predicted risk passes the threshold of the mode."""
     flag = "alert" if mode == "strict" else "watch"
     rows = _at(forecast, horizon, district).filter(F.col(f"{flag}_empty") | F.col(f"{flag}_full"))
     kind = F.when(F.col("proba_empty") >= F.col("proba_full"), "empty").otherwise("full")
-    return (rows.select("station_id", "name", "district", "base_ts", "horizon", "now_bikes",
+    rows = (rows.select("station_id", "name", "district", "base_ts", "horizon", "now_bikes",
                         "now_docks_avail", "docks_total", "pred_bikes", "pred_docks",
                         "proba_empty", "proba_full", kind.alias("kind"), c.risk.alias("proba"))
-            .orderBy(F.desc("proba"), "station_id").limit(limit))
+            .orderBy(F.desc("proba"), "station_id"))
+    return _first(rows, limit)
 
 
 def forecast_totals(forecast: DataFrame) -> DataFrame:
@@ -78,7 +84,7 @@ def spare_bikes(total: Column, bikes: Column) -> Column:
 
 
 def dispatch(forecast: DataFrame, stations: DataFrame, horizon: int = 60,
-             district: str | None = None, max_km: float = 3.0, limit: int = 50) -> DataFrame:
+             district: str | None = None, max_km: float = 3.0, limit: int | None = None) -> DataFrame:
     """Each short station with its nearest station that can give.
 
     Stations without a partner in reach stay in the list. Only the short side
@@ -105,7 +111,7 @@ def dispatch(forecast: DataFrame, stations: DataFrame, horizon: int = 60,
                                F.col("right_id").alias("from_station"), "km")
     tasks = (need.drop("lat", "lon").join(partner, "to_station", "left")
              .join(give.drop("lat", "lon"), "from_station", "left"))
-    return (tasks.orderBy(F.desc("proba_empty"), F.desc("need_bikes"), "to_station").limit(limit)
+    return (_first(tasks.orderBy(F.desc("proba_empty"), F.desc("need_bikes"), "to_station"), limit)
             .select("to_station", "to_name", "district", "now_bikes", "to_pred_bikes",
                     "to_capacity", F.round("proba_empty", 3).alias("proba_empty"), "need_bikes",
                     "from_station", "from_name", "spare_bikes",
@@ -115,16 +121,18 @@ def dispatch(forecast: DataFrame, stations: DataFrame, horizon: int = 60,
                     .alias("move_bikes")))
 
 
-def dispatch_by_rule(alert_rows: DataFrame, district: str | None = None, limit: int = 50) -> DataFrame:
+def dispatch_by_rule(alert_rows: DataFrame, district: str | None = None,
+                     limit: int | None = None) -> DataFrame:
     """Fallback without a forecast: stations already empty, longest first."""
     rows = alert_rows.filter(F.col("level").isin("critical", "warning") & (F.col("bikes") <= 1))
     if district is not None:
         rows = rows.filter(F.col("district") == F.lit(district))
-    return (rows.select("station_id", "name", "district", F.col("bikes").cast("int").alias("now_bikes"),
+    rows = (rows.select("station_id", "name", "district", F.col("bikes").cast("int").alias("now_bikes"),
                         F.col("docks_total").cast("int").alias("docks_total"),
                         need_bikes(F.col("docks_total"), F.col("bikes")).alias("need_bikes"),
                         "level", "duration_min")
-            .orderBy(F.desc("duration_min"), "station_id").limit(limit))
+            .orderBy(F.desc("duration_min"), "station_id"))
+    return _first(rows, limit)
 
 
 def dispatch_totals(tasks: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ most, whatever the size of the data behind them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from dockwatch.functions.cols import c
 from dockwatch.plans import evaluate as ev
@@ -64,7 +64,7 @@ def event_class_section(judged: DataFrame, thresholds: dict[tuple[str, int], flo
     return out.unionByName(long_metrics(ev.with_prf(ruled), "rule"))
 
 
-def early_warning_section(judged: DataFrame, n_days: int,
+def early_warning_section(judged: DataFrame, n_days: Column | int,
                           thresholds: dict[tuple[str, int], float]) -> DataFrame:
     """Event-level coverage, lead and false alarms at both thresholds."""
     per = F.explode(F.array(*[
@@ -81,7 +81,7 @@ def early_warning_section(judged: DataFrame, n_days: int,
     return out
 
 
-def backtest_metrics(judged: DataFrame, n_days: int, thresholds: dict[tuple[str, int], float]) -> DataFrame:
+def backtest_metrics(judged: DataFrame, n_days: Column | int, thresholds: dict[tuple[str, int], float]) -> DataFrame:
     """The whole backtest as one metric table.
 
     ``judged``: station_id, ts, horizon, ratio, bikes, docks_total, lastweek,

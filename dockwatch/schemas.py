@@ -24,8 +24,6 @@ BRIDGE_DAYS = 28
 HOLIDAY_REACH_DAYS = 21
 NEW_STATION_BASE = 900000
 RAW_KEEP_DAYS = 14
-NOTIFY_CAP = 50
-NOTIFY_LOG_KEEP = 500
 FILL_TARGET = 0.35        # dispatch fills a short station up to this share
 DRAIN_TARGET = 0.65       # and drains a full one down to this share
 MIN_MOVE = 3

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from dockwatch.functions import textfn as tx, timefn as tf
-from dockwatch.schemas import NOTIFY_LOG_KEEP, RAW_KEEP_DAYS
+from dockwatch.schemas import RAW_KEEP_DAYS
+from dockwatch.session import stage
 
 POINTER = "CURRENT"      # file readers skip names that start with _ or .
-KEPT_VERSIONS = 4        # long enough for readers that started before a flip
+RETIRED = "_retired"     # one empty file for each version that is no longer current
+KEPT_HOURS = 24          # so long a reader may still use a version after the flip
 
 
 def _fs(spark: SparkSession, path: str):
@@ -77,14 +81,13 @@ def publish(df: DataFrame, root: str) -> int:
     return n
 
 
-def publish_days(df: DataFrame, root: str, keep_days: int | None = None) -> int:
+def publish_days(df: DataFrame, root: str, keep_days: int | None = None, now: str | None = None) -> int:
     """Replace only the days present in ``df`` (column ``day``), all at once (B2).
 
     The pointer lists one version per day, so untouched days are neither read
-    nor written. With ``keep_days`` days that far behind the newest are let go.
+    nor written. With ``keep_days`` days that far behind ``now`` (a date, today
+    if none is given) are let go; what the data say about time plays no part.
     """
-    import datetime as dt
-
     spark = df.sparkSession
     version = f"v-{uuid.uuid4().hex}"
     n = write_counted(df.repartition("day", F.pmod(F.xxhash64("station_id"), F.lit(8))), lambda d: (
@@ -93,13 +96,17 @@ def publish_days(df: DataFrame, root: str, keep_days: int | None = None) -> int:
     current = dict(line.split(" ") for line in _pointer(spark, root))
     current |= {s.getPath().getName().split("=", 1)[1]: version for s in fs.globStatus(pattern) or []}
     if keep_days is not None and current:
-        edge = dt.date.fromisoformat(max(current)) - dt.timedelta(days=keep_days)
+        edge = _day(now) - dt.timedelta(days=keep_days)
         current = {d: v for d, v in current.items() if dt.date.fromisoformat(d) >= edge}
     _flip(spark, root, "\n".join(f"{d} {v}" for d, v in sorted(current.items())))
     _drop_old_versions(spark, root, set(current.values()))
     return n
 
 
+def _day(now: str | None) -> dt.date:
+    return dt.date.fromisoformat(now[:10]) if now else dt.date.today()
+
+
 def read_days(spark: SparkSession, root: str, schema: T.StructType, newest: int | None = None) -> DataFrame:
     """The published days as one table, or only the newest few."""
     lines = [line.split(" ") for line in _pointer(spark, root)]
@@ -111,12 +118,19 @@ def read_days(spark: SparkSession, root: str, schema: T.StructType, newest: int
 
 
 def _drop_old_versions(spark: SparkSession, root: str, current: set[str]) -> None:
-    """Remove versions that have not been current for several publishes."""
+    """Remove versions that stopped being current more than KEPT_HOURS ago."""
     fs, pattern = _fs(spark, f"{root}/v-*")
-    old = [s for s in fs.globStatus(pattern) or [] if s.getPath().getName() not in current]
-    old.sort(key=lambda s: s.getModificationTime(), reverse=True)
-    for s in old[KEPT_VERSIONS - 1:]:
-        fs.delete(s.getPath(), True)
+    edge = (time.time() - KEPT_HOURS * 3600) * 1000
+    for s in fs.globStatus(pattern) or []:
+        name = s.getPath().getName()
+        if name in current:
+            continue
+        _, mark = _fs(spark, f"{root}/{RETIRED}/{name}")
+        if not fs.exists(mark):
+            fs.create(mark, True).close()
+        elif fs.getFileStatus(mark).getModificationTime() < edge:
+            fs.delete(s.getPath(), True)
+            fs.delete(mark, False)
 
 
 def published_path(spark: SparkSession, root: str) -> str | None:
@@ -132,7 +146,7 @@ def read_published(spark: SparkSession, root: str, schema: T.StructType) -> Data
 
 def append_csv(rows: DataFrame, root: str) -> int:
     """Append history rows as CSV with header, one folder per month."""
-    month = F.regexp_replace(F.substring("raw_time", 1, 7), r"\D", "")
+    month = tf.month_label(tf.parse_wall_clock(F.col("raw_time")), "yyyyMM")
     return write_counted(rows.withColumn("month", month), lambda d: (
         d.write.mode("append").option("header", True).partitionBy("month").csv(root)))
 
@@ -167,17 +181,15 @@ def notification_log(spark: SparkSession, root: str, limit: int = 30) -> DataFra
             .orderBy(F.desc("received_at"), F.desc("ts"), "station_id").limit(limit))
 
 
-def compact_notifications(spark: SparkSession, root: str, target: str,
-                          keep: int = NOTIFY_LOG_KEEP) -> int:
-    """Publish only the newest ``keep`` notifications."""
-    return publish(notification_log(spark, root, keep), target)
+def compact_notifications(spark: SparkSession, root: str, target: str, keep: int | None = None) -> int:
+    """Publish the log as one table, or only its newest ``keep`` rows if asked for."""
+    log = spark.read.parquet(root) if keep is None else notification_log(spark, root, keep)
+    return publish(log, target)
 
 
 def drop_expired_days(spark: SparkSession, root: str, now: str, days: int = RAW_KEEP_DAYS) -> int:
     """Delete day=yyyy-MM-dd partitions older than ``days`` before ``now``."""
-    import datetime as dt
-
-    edge = dt.date.fromisoformat(now[:10]) - dt.timedelta(days=days)
+    edge = _day(now) - dt.timedelta(days=days)
     fs, pattern = _fs(spark, f"{root}/day=*")
     gone = 0
     for s in fs.globStatus(pattern) or []:
@@ -194,19 +206,17 @@ def backfill(rows: DataFrame, day_column: str, root: str, ledger: str) -> int:
     """Write only the days the ledger does not list, then list them.
 
     A day is replaced as a whole, so a run that died before the ledger entry
-    is simply repeated.
+    is simply repeated. Listed are the days of this write and no others: what a
+    dead run left in the target is not looked at.
     """
     spark = rows.sparkSession
     fs, path = _fs(spark, ledger)
     todo = rows
     if fs.exists(path):
         todo = rows.join(spark.read.parquet(ledger).select(day_column), day_column, "left_anti")
+    todo = stage(todo, "backfill")
     n = write_counted(todo, lambda d: (
         d.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(day_column).parquet(root)))
-    written = spark.read.parquet(root).select(F.col(day_column).cast(rows.schema[day_column].dataType))
-    fresh = written.distinct()
-    if fs.exists(path):
-        fresh = fresh.join(spark.read.parquet(ledger), day_column, "left_anti")
-    fresh.write.mode("append").parquet(ledger)
+    todo.select(day_column).distinct().write.mode("append").parquet(ledger)
     return n

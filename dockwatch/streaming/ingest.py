@@ -30,12 +30,20 @@ def landed_files(spark: SparkSession, root: str, files_per_trigger: int | None =
     return reader.json(root).withColumn("fetched_at", F.coalesce("fetched_at", named))
 
 
-def typed(records: DataFrame, prefix: str = "", fixes: dict[str, str] | None = None
-          ) -> tuple[DataFrame, DataFrame]:
-    """(usable rows, rejected records); a record without a readable time is rejected."""
+def typed(records: DataFrame, prefix: str = "", fixes: dict[str, str] | None = None,
+          before: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(usable rows, rejected records).
+
+    Rejected are records without a readable time, and those from ``before`` (a
+    date) on, which the clock has not reached yet.
+    """
     at = F.col("fetched_at").try_cast("timestamp_ntz")
-    ok, bad = split_realtime(records.filter(at.isNotNull()), at, prefix, fixes)
-    return ok, bad.unionByName(records.filter(at.isNull()))
+    timed = at.isNotNull()
+    if before is not None:
+        timed = timed & (at < F.lit(before[:10]).cast("timestamp_ntz"))
+    timed = F.coalesce(timed, F.lit(False))
+    ok, bad = split_realtime(records.filter(timed), at, prefix, fixes)
+    return ok, bad.unionByName(records.filter(~timed))
 
 
 def slot_winners(rows: DataFrame, key: str = "name", delay: str = "30 minutes") -> DataFrame:

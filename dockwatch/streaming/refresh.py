@@ -8,6 +8,7 @@ after a failure leaves the same state.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -21,7 +22,7 @@ from dockwatch.plans import alerts as al, history as hi
 from dockwatch.schemas import (LATEST, NEW_STATION_BASE, RAW_KEEP_DAYS, RAW_SNAPSHOT, SNAPSHOT,
                                STATION)
 from dockwatch.session import stage
-from dockwatch.sinks.tables import publish, publish_days, read_days, read_published
+from dockwatch.sinks.tables import drop_expired_days, publish, publish_days, read_days, read_published
 from dockwatch.sources.files import parquet_or_empty
 from dockwatch.streaming.ingest import landed_files, typed
 
@@ -94,12 +95,20 @@ def notify(alert_rows: DataFrame, epoch: int, store: Store) -> None:
 
 def refresh_batch(store: Store, prefix: str = "", fixes: dict[str, str] | None = None,
                   after: Callable[[SparkSession, int], None] | None = None,
-                  keep_days: int | None = RAW_KEEP_DAYS) -> Callable[[DataFrame, int], None]:
-    """The work of one micro-batch; ``after`` can add scoring (K9)."""
+                  keep_days: int | None = RAW_KEEP_DAYS,
+                  now: str | None = None) -> Callable[[DataFrame, int], None]:
+    """The work of one micro-batch; ``after`` can add scoring (K9).
+
+    Retention and the rejection of readings from the future go by ``now`` (the
+    clock if none is given), never by the newest reading.
+    """
 
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        ok, bad = typed(batch, prefix, fixes)
+        today = now or dt.date.today().isoformat()
+        # A day of grace for clocks that run ahead and for zones.
+        ahead = (dt.date.fromisoformat(today[:10]) + dt.timedelta(days=2)).isoformat()
+        ok, bad = typed(batch, prefix, fixes, ahead)
         bad.write.mode("overwrite").parquet(f"{store.at('rejects')}/epoch={epoch}")
         registry = read_published(spark, store.at("registry"), STATION)
         rows = with_station_ids(ok, registry).withColumn("ts", tf.slot_start(F.col("fetched_at")))
@@ -114,15 +123,17 @@ def refresh_batch(store: Store, prefix: str = "", fixes: dict[str, str] | None =
         days = [r[0] for r in rows.select(F.col("ts").cast("date")).distinct().collect()]
         raw = spark.read.parquet(store.at("raw")).filter(F.col("day").isin(days))
         publish_days(recent(raw).withColumn("day", F.col("ts").cast("date")), store.at("recent"),
-                     keep_days)
+                     keep_days, today)
+        if keep_days is not None:
+            drop_expired_days(spark, store.at("raw"), today, keep_days)              # B9
         old = read_published(spark, store.at("latest"), LATEST)
         publish(latest(old.unionByName(rows.select(*old.columns))), store.at("latest"))
         stations = read_published(spark, store.at("registry"), STATION)
         # Two days always hold the six hours that alerts look back.
         lately = read_days(spark, store.at("recent"), SNAPSHOT, newest=2)
-        now = stage(al.alerts(lately, stations), "alerts")
-        publish(now, store.at("alerts"))
-        notify(now, epoch, store)
+        raised = stage(al.alerts(lately, stations), "alerts")
+        publish(raised, store.at("alerts"))
+        notify(raised, epoch, store)
         if after is not None:
             after(spark, epoch)
 
@@ -133,10 +144,10 @@ def refresh_stream(spark: SparkSession, source: str, store: Store, checkpoint: s
                    prefix: str = "", fixes: dict[str, str] | None = None,
                    every: str | None = "10 minutes", files_per_trigger: int | None = None,
                    after: Callable[[SparkSession, int], None] | None = None,
-                   keep_days: int | None = RAW_KEEP_DAYS) -> StreamingQuery:
+                   keep_days: int | None = RAW_KEEP_DAYS, now: str | None = None) -> StreamingQuery:
     """Start the refresh; ``every=None`` works off what has landed and stops (K1)."""
     w = (landed_files(spark, source, files_per_trigger).writeStream
-         .foreachBatch(refresh_batch(store, prefix, fixes, after, keep_days))
+         .foreachBatch(refresh_batch(store, prefix, fixes, after, keep_days, now))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if every is None else w.trigger(processingTime=every)
     return w.start()

@@ -374,7 +374,7 @@ part("task", "forecast places", """
       WHERE horizon = 60 AND watch_full AND f.station_id <> n.station_id
         AND 111e0 * sqrt((n.lat - p.lat) ** 2 + ((n.lon - p.lon) * cos(radians(n.lat))) ** 2) <= 12e-1
       ORDER BY round(km, 9), f.station_id LIMIT 1) g ON true
-    ORDER BY n.proba_empty DESC, need_bikes DESC, to_station LIMIT 50""")
+    ORDER BY n.proba_empty DESC, need_bikes DESC, to_station""")
 part("task_out", "task", """
     SELECT to_station, to_name, district, now_bikes, to_pred_bikes, to_capacity,
            round(proba_empty, 3) AS proba_empty, need_bikes, from_station, from_name, spare_bikes,
@@ -598,11 +598,11 @@ stmt("escalations", "alert_then alert_before", """
            a.docks_avail, a.docks_total, a.ts
     FROM alert_then a LEFT JOIN (SELECT * FROM alert_before WHERE level <> 'notice') b USING (station_id)
     WHERE a.level = 'critical' AND b.level IS DISTINCT FROM 'critical' OR a.level = 'warning' AND b.level IS NULL
-    ORDER BY a.level, a.duration_min DESC, a.station_id LIMIT 50""")
+    ORDER BY a.level, a.duration_min DESC, a.station_id""")
 stmt("dispatch_rule", "alert_then", """
     SELECT station_id, name, district, bikes AS now_bikes, docks_total,
            CAST(greatest(3, ceil(docks_total * 35e-2) - bikes) AS INTEGER) AS need_bikes, level, duration_min
-    FROM alert_then WHERE level <> 'notice' AND bikes < 2 ORDER BY duration_min DESC, station_id LIMIT 50""")
+    FROM alert_then WHERE level <> 'notice' AND bikes < 2 ORDER BY duration_min DESC, station_id""")
 stmt("grid", "cells obs", f"""
     SELECT station_id, ts, bikes, docks_avail, docks_total, {r6('ratio')}
     FROM cells LEFT JOIN obs USING (station_id, ts)""")
@@ -719,7 +719,8 @@ stmt("event_report", "target_leads judged", """
     JOIN (SELECT kind, count(*) FILTER (fired) AS alerts_fired, count(*) FILTER (fired AND NOT fact) AS false_alarms,
                  round(CASE WHEN bool_or(fired) THEN count(*) FILTER (fired AND NOT fact) / count(*) FILTER (fired)
                             ELSE 0e0 END, 6) AS false_alarm_rate,
-                 round(count(*) FILTER (fired) / greatest(30 * (SELECT count(DISTINCT station_id) FROM judged), 1) + 1e-9, 6)
+                 round(count(*) FILTER (fired) / greatest((SELECT date_diff('day', CAST(min(ts) AS DATE), CAST(max(ts) AS DATE)) + 1 FROM judged)
+                                                             * (SELECT count(DISTINCT station_id) FROM judged), 1) + 1e-9, 6)
                    AS alerts_per_station_per_day
           FROM (SELECT *, proba >= 0.3 AS fired FROM judged) GROUP BY 1) a ON a.kind = l.kind""")
 stmt("policy_rank", "picked", f"SELECT station_id, ts, queue, {r6('score')}, rank FROM picked WHERE rank <= 40")
@@ -776,6 +777,9 @@ stmt("dispatch_totals", "task_out", """
            CAST(coalesce(sum(move_bikes) FILTER (from_station IS NOT NULL), 0) AS BIGINT) AS paired_move_bikes FROM task_out""")
 _RENUMBERED = "CASE WHEN station_id = 5 THEN 900000 ELSE station_id END AS station_id"
 stmt("stream_recent", "snaps", f"SELECT {_RENUMBERED}, ts, bikes, docks_avail, docks_total FROM snaps")
+stmt("stream_recent_kept", "snaps", f"""
+    SELECT {_RENUMBERED}, ts, bikes, docks_avail, docks_total FROM snaps
+    WHERE CAST(ts AS DATE) >= (SELECT max(CAST(ts AS DATE)) FROM snaps) - 14""")
 PARTS["last_reading"] = (("readings",), """
     SELECT * FROM readings r WHERE raw_ts = (SELECT max(x.raw_ts) FROM readings x WHERE x.station_id = r.station_id)""")
 stmt("stream_latest", "last_reading places", f"""

@@ -55,8 +55,8 @@ def test_escalations(spark):
     def round_(levels):
         return spark.createDataFrame([(i, "n", "d", v, "empty", 10 * i, 0, 9, 9, T0) for i, v in levels.items()], cols)
 
-    def step(levels, seen, cap=50):
-        ev, state = al.escalations(round_(levels), seen, cap)
+    def step(levels, seen):
+        ev, state = al.escalations(round_(levels), seen)
         return [(r["station_id"], r["prev_level"]) for r in ev.collect()], state
 
     ev, seen = step({1: "critical", 2: "warning", 3: "notice"}, None)
@@ -68,5 +68,5 @@ def test_escalations(spark):
     assert ev == []                                   # fell, others cleared
     ev, seen = step({1: "warning", 2: "critical"}, seen)
     assert ev == [(2, "warning"), (1, None)]          # rises again from the lower level; returns
-    ev, seen = step({5: "warning", 6: "warning", 7: "warning"}, seen, cap=2)
-    assert len(ev) == 2 and seen.count() == 3         # the state keeps all
+    ev, seen = step({i: "warning" for i in range(10, 130)}, seen)
+    assert len(ev) == 120 and seen.count() == 120     # a city-wide outage arrives whole

@@ -28,7 +28,7 @@ def trained(spark):
     off = spark.createDataFrame([], "day date")
     f = le.stage(fe.feature_matrix(obs, st, groups, pr.norms(obs, "2024-01-12"), fe.neighbours(st), off, keep=["docks_avail"]), "f")
     tr, va = fe.split(f, "2024-01-01", "2024-01-10"), fe.split(f, "2024-01-11", "2024-01-13")
-    s = le.Settings(rounds=4, depth=3, min_rows=5, train_share=1.0, valid_share=1.0)
+    s = le.Settings(rounds=4, depth=3, min_rows=5)
     return f, st, le.train(tr, va, s)
 
 

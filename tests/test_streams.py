@@ -31,7 +31,8 @@ def known(spark):
 
 
 def run(spark, src, store):
-    q = rf.refresh_stream(spark, src, store, store.at("checkpoint"), "P_", every=None, files_per_trigger=1)
+    q = rf.refresh_stream(spark, src, store, store.at("checkpoint"), "P_", every=None, files_per_trigger=1,
+                          now="2024-01-01")
     q.awaitTermination()
 
 
@@ -74,7 +75,7 @@ def test_refresh_over_time(spark):
     n, kept = raw.count(), {(r["station_id"], r["level"]) for r in spark.read.parquet(store.at("seen")).filter("epoch = 3 AND level IS NOT NULL").collect()}
     batch = spark.read.schema(ing.LANDED).json(src + "/snap_20240101T0020.json").withColumn(
         "fetched_at", F.lit("2024-01-01 00:20:00"))
-    rf.refresh_batch(store, "P_")(batch, 3)                    # the same batch once more
+    rf.refresh_batch(store, "P_", now="2024-01-01")(batch, 3)                    # the same batch once more
     assert spark.read.parquet(store.at("raw")).count() == n
     assert {(r["station_id"], r["level"]) for r in spark.read.parquet(store.at("seen")).filter("epoch = 3 AND level IS NOT NULL").collect()} == kept
 
@@ -84,7 +85,7 @@ def test_scoring_runs_after_a_batch(spark):
     src, store, seen = d + "/in", rf.Store(d + "/store"), []
     os.mkdir(src)
     drop(src, "20240101T0000", [record("A", 0, 9)])
-    q = rf.refresh_stream(spark, src, store, store.at("checkpoint"), "P_", every=None,
+    q = rf.refresh_stream(spark, src, store, store.at("checkpoint"), "P_", every=None, now="2024-01-01",
                           after=lambda s, epoch: seen.append((epoch, s.read.parquet(store.at("raw")).count())))
     q.awaitTermination()
     assert seen == [(0, 1)]
