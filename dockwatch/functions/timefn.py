@@ -6,7 +6,7 @@ daylight-saving change of the session can never move a slot.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from dockwatch.schemas import SLOT_MINUTES
 
@@ -67,6 +67,21 @@ def month_label(ts: Column, pattern: str = "yyyy-MM") -> Column:
     return F.date_format(ts, pattern)
 
 
+def in_months(df: DataFrame, first: Column | None, last: Column | None = None) -> DataFrame:
+    """Rows of the months from that of ``first`` to that of ``last``, by the partition column.
+
+    A filter on ``ts`` alone opens the files of every month. A table without a
+    ``month`` column stays as it is; the column is dropped.
+    """
+    if "month" not in df.columns:
+        return df
+    if first is not None:
+        df = df.filter(F.col("month") >= month_label(first, "yyyyMM"))
+    if last is not None:
+        df = df.filter(F.col("month") <= month_label(last, "yyyyMM"))
+    return df.drop("month")
+
+
 def parse_wall_clock(text: Column) -> Column:
     """Read 'yyyy/MM/dd HH:mm' or 'yyyy-MM-dd HH:mm:ss' (I1).
 

@@ -31,8 +31,9 @@ def alerts(snapshots: DataFrame, stations: DataFrame, as_of: str | None = None,
     last reading outside the state is the max over readings outside it.
     """
     src = snapshots if as_of is None else snapshots.filter(F.col("ts") <= as_time(as_of))
-    since = newest(src) - F.make_dt_interval(F.lit(0), F.lit(ALERT_WINDOW_HOURS))
-    win = src.filter(F.col("ts") > since).filter(st.is_valid(c.bikes, c.docks, c.total))
+    top = newest(src)
+    since = top - F.make_dt_interval(F.lit(0), F.lit(ALERT_WINDOW_HOURS))
+    win = tf.in_months(src, since, top).filter(F.col("ts") > since).filter(st.is_valid(c.bikes, c.docks, c.total))
     ts = F.col("ts")
     per = win.groupBy("station_id").agg(
         F.max("ts").alias("ts"), F.min("ts").alias("seen_from"),

@@ -17,7 +17,9 @@ def as_time(value: str | Column) -> Column:
 
 
 def newest(df: DataFrame, column: str = "ts") -> Column:
-    """max(column) as a scalar subquery."""
+    """max(column) as a scalar subquery, from the newest month alone if months are known."""
+    if "month" in df.columns:
+        df = df.filter(F.col("month") == df.agg(F.max("month")).scalar())
     return df.agg(F.max(column)).scalar()
 
 
@@ -37,7 +39,8 @@ def latest(snapshots: DataFrame) -> DataFrame:
 
 def latest_slot(snapshots: DataFrame, stations: DataFrame) -> DataFrame:
     """All readings of the newest slot with station attributes."""
-    now = snapshots.filter(F.col("ts") == newest(snapshots))
+    top = newest(snapshots)
+    now = tf.in_months(snapshots, top, top).filter(F.col("ts") == top)
     return now.join(stations.select("station_id", *PLACE), "station_id").select(
         "station_id", "ts", *COUNTS, *PLACE, F.col("ts").alias("fetched_at"))
 
@@ -103,7 +106,8 @@ def station_history(snapshots: DataFrame, station_id: int, days: int = 7,
                     end: str | None = None) -> DataFrame:
     """Readings of one station over the last ``days``."""
     stop = as_time(end) if end is not None else newest(snapshots)
-    return (snapshots.filter(F.col("station_id") == F.lit(station_id))
+    start = stop - F.make_dt_interval(F.lit(days))
+    return (tf.in_months(snapshots, start, stop).filter(F.col("station_id") == F.lit(station_id))
             .filter((F.col("ts") > stop - F.make_dt_interval(F.lit(days)))
                     & (F.col("ts") <= stop))
             .select("ts", *COUNTS, st.occupancy(c.bikes, c.total).alias("occ_rate"))
@@ -114,7 +118,7 @@ def replay(snapshots: DataFrame, stations: DataFrame, ts: str | Column) -> DataF
     """State of the whole city at one moment."""
     # A literal moment keeps the filter a plain comparison the scan can prune on.
     slot = tf.slot_start(as_time(ts))
-    return (snapshots.filter(F.col("ts") == slot)
+    return (tf.in_months(snapshots, slot, slot).filter(F.col("ts") == slot)
             .join(active_stations(stations, columns=PLACE), "station_id")
             .select("station_id", *PLACE, "ts", *COUNTS,
                     st.occupancy(c.bikes, c.total).alias("occ_rate"), st.status(c.bikes, c.docks, c.total).alias("status"))
@@ -147,10 +151,9 @@ def pulse(snapshots: DataFrame, stations: DataFrame, day: str | None = None,
     """
     if every_day:
         rows = snapshots
-    elif day is not None:
-        rows = snapshots.filter(day_filter(day))
     else:
-        rows = snapshots.filter(day_filter(newest(snapshots).cast("date").cast("timestamp_ntz")))
+        start = as_time(day) if day is not None else newest(snapshots).cast("date").cast("timestamp_ntz")
+        rows = tf.in_months(snapshots, start, start).filter(day_filter(start))
     return (rows.join(active_stations(stations), "station_id")
             .groupBy("ts").agg(
                 F.count("*").alias("n_stations"),

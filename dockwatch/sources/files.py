@@ -37,22 +37,24 @@ def history_csv(spark: SparkSession, glob: str, encoding: str = "UTF-8") -> Data
 
 
 def history(spark: SparkSession, root: str, recent: str | None = None,
-            months: int | None = None) -> DataFrame:
+            months: int | None = None, with_month: bool = False) -> DataFrame:
     """Monthly history plus the recent table as one snapshot table (A2, A4).
 
     ``root`` is partitioned by month=yyyyMM. With ``months`` only the newest
-    partitions are listed and read.
+    partitions are listed and read. ``with_month`` keeps the partition column,
+    by which time filters of the serving questions skip whole months.
     """
     cols = [f.name for f in sc.SNAPSHOT.fields]
     schema = T.StructType(sc.SNAPSHOT.fields + [T.StructField("month", T.StringType())])
     hist = parquet_or_empty(spark, root, schema)
-    if months is not None and hist.inputFiles():
-        newest = sorted({m for m in _partition_values(spark, root, "month")})[-months:]
+    newest = sorted(set(_partition_values(spark, root, "month")))[-months:] if months is not None else []
+    if newest:
         hist = hist.filter(F.col("month").isin(newest))
-    out = hist.select(*cols)
+    out = hist.select(*cols, "month")
     if recent is not None:
-        out = out.unionByName(parquet_or_empty(spark, recent, sc.SNAPSHOT))
-    return out
+        fresh = parquet_or_empty(spark, recent, sc.SNAPSHOT)
+        out = out.unionByName(fresh.withColumn("month", tf.month_label(F.col("ts"), "yyyyMM")))
+    return out if with_month else out.drop("month")
 
 
 def _partition_values(spark: SparkSession, root: str, column: str) -> list[str]:

@@ -6,8 +6,8 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from dockwatch.plans import serve as sv
-from dockwatch.schemas import SNAPSHOT
+from dockwatch.plans import alerts as al, serve as sv
+from dockwatch.schemas import SNAPSHOT, STATION
 from dockwatch.sinks import tables as tb
 from dockwatch.sources import files as fi
 
@@ -132,3 +132,23 @@ def test_days_are_replaced_one_by_one(spark):
     odd = one.withColumns({"day": F.lit("2030-01-01").cast("date"), "ts": F.lit("2030-01-01").cast("timestamp_ntz")})
     tb.publish_days(odd, root, keep_days=14, now="2024-02-22")     # a reading from the future lets no day go
     assert tb.read_days(spark, root, SNAPSHOT).count() == 208
+
+
+def test_time_filters_skip_months(spark):
+    root = fresh() + "/history"
+    t = dt.datetime(2024, 1, 31)
+    s = spark.createDataFrame([(i % 4, t + dt.timedelta(minutes=30 * (i // 4)), i % 9, 9 - i % 9, 9) for i in range(800)], SNAPSHOT)
+    tb.export_months(s, root)
+    stations = spark.createDataFrame([(i, "N", "D", 121.5, 25.0, 9, t, t, 1, False) for i in range(4)], STATION)
+    known, plain = fi.history(spark, root, with_month=True), fi.history(spark, root)
+    for ask in (lambda h: sv.replay(h, stations, "2024-02-01 10:00:00"), lambda h: sv.pulse(h, stations),
+                lambda h: sv.pulse(h, stations, "2024-01-31"), lambda h: sv.station_history(h, 2, 1),
+                lambda h: sv.station_history(h, 2, 2, "2024-02-01 00:00:00"),
+                lambda h: sv.latest_slot(h, stations), lambda h: al.alerts(h, stations),
+                lambda h: al.alerts(h, stations, "2024-01-31 20:00:00")):
+        got = ask(known)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(month" in plan
+        assert got.columns == ask(plain).columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, ask(plain).collect()))
+        assert got.count() > 0
