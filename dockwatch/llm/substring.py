@@ -9,6 +9,11 @@ only. Backward search over the wavelet matrix finds the stretches of WINDOW
 words or more that occur elsewhere. Anchors of one segment that holds them once
 cannot match and are left out before any words are moved.
 
+An anchor with more than HOT_SEGMENTS different segments (the edges of a passage
+that a large part of the corpus quotes) would make one shard too large. Its
+segments are taken apart into their windows, equal windows are one entry, and a
+window's own hash deals them out to shards, so no shard grows with the group.
+
 Words are compared by their 64-bit hashes. Text crosses the network twice: for
 the words of the first copy of each segment, and for the removal itself.
 
@@ -40,6 +45,8 @@ GRAM = 8
 RUN = WINDOW - GRAM + 1
 #: Words of a shard, on average.
 SHARD_WORDS = 400_000
+#: Different segments of one anchor that stay together.
+HOT_SEGMENTS = 5_000
 
 _hash = xxhash.xxh64_intdigest
 _BASE = 0x9E3779B97F4A7C15
@@ -118,15 +125,23 @@ def _segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The words, as hashes in bytes, of segments whose place in a text is known."""
+    """The words, as hashes in bytes, of segments whose place in a text is known.
+
+    A segment of a hot anchor comes as its windows: ``at`` is a window's place in
+    it, ``key`` the window's hash. Others have ``at`` -1 and their anchor as key.
+    """
     for pdf in batches:
         rows = []
         for text, wanted in zip(pdf["text"], pdf["wanted"]):
             words = split(text)
             for w in wanted:
-                some = words[w["start"]:w["start"] + w["n"] + WINDOW - 1]
-                rows.append((w["anchor"], w["seg"], w["n"], w["weight"], word_hashes(some).tobytes()))
-        yield pd.DataFrame(rows, columns=["anchor", "seg", "n", "weight", "words"])
+                some = word_hashes(words[w["start"]:w["start"] + w["n"] + WINDOW - 1])
+                cut = range(w["n"]) if w["hot"] else [-1]
+                for at in cut:
+                    raw = (some if at < 0 else some[at:at + WINDOW]).tobytes()
+                    key = w["anchor"] if at < 0 else xxhash.xxh64_intdigest(raw) - (1 << 63)
+                    rows.append((w["anchor"], w["seg"], w["n"], w["weight"], at, key, raw))
+        yield pd.DataFrame(rows, columns=["anchor", "seg", "n", "weight", "at", "key", "words"])
 
 
 def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -145,7 +160,7 @@ def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _search_shard(rows: pd.DataFrame) -> pd.DataFrame:
     units = [np.frombuffer(w, dtype=np.uint64) for w in rows["words"]]
     unit, first, last = repeated_intervals(FMIndex(units, rows["weight"].to_numpy()), WINDOW)
-    got = rows[["anchor", "seg", "n"]].iloc[unit].reset_index(drop=True)
+    got = rows[["key", "seg", "n", "at"]].iloc[unit].reset_index(drop=True)
     return got.assign(first=first.astype(np.int32), last=last.astype(np.int32))
 
 
@@ -161,18 +176,29 @@ def repeats(docs: DataFrame) -> DataFrame:
     # Every different segment once, with its number of places and the first of them.
     distinct = seg.groupBy("anchor", "seg", "n").agg(
         F.count("*").alias("weight"), F.min(F.struct("_id", "_key", "start")).alias("p"))
+    hot = distinct.groupBy("anchor").agg(F.count("*").alias("_n")).filter(
+        F.col("_n") > HOT_SEGMENTS).select("anchor", F.lit(True).alias("hot"))
+    distinct = distinct.join(hot, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     wanted = distinct.groupBy(F.col("p._id").alias("_id"), F.col("p._key").alias("_key")).agg(
-        F.collect_list(F.struct(F.col("p.start").alias("start"), "anchor", "seg", "n", "weight"))
+        F.collect_list(F.struct(F.col("p.start").alias("start"), "anchor", "seg", "n", "weight", "hot"))
         .alias("wanted"))
     words = stage(d.join(wanted, ["_id", "_key"]).select("text", "wanted").mapInPandas(
-        _fetch, "anchor long, seg long, n int, weight long, words binary"), "segment-words")
-    total = words.agg(F.sum(F.col("n") + WINDOW - 1)).first()[0] or 0
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_WORDS))
+        _fetch, "anchor long, seg long, n int, weight long, at int, key long, words binary"), "segment-words")
+    windows = words.filter("at >= 0").drop("words")
+    units = words.filter("at < 0").select("key", "seg", "n", "at", "weight", "words").unionByName(
+        words.filter("at >= 0").groupBy("key").agg(
+            F.sum("weight").alias("weight"), F.min("words").alias("words")).select(
+                "key", F.col("key").alias("seg"), F.lit(1).alias("n"), F.lit(0).alias("at"), "weight", "words"))
+    total = words.agg(F.sum(F.octet_length("words") / 8)).first()[0] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // SHARD_WORDS))
     found = stage(
-        words.withColumn("shard", F.pmod("anchor", F.lit(shards)).cast("int"))
+        units.withColumn("shard", F.pmod("key", F.lit(shards)).cast("int"))
         .repartition(shards, "shard").sortWithinPartitions("shard")
-        .mapInPandas(_search, "anchor long, seg long, n int, first int, last int"), "segment-repeats")
-    found = found.distinct()
+        .mapInPandas(_search, "key long, seg long, n int, at int, first int, last int"), "segment-repeats")
+    apart = windows.join(found.filter("at >= 0").select("key"), "key").select(
+        "anchor", "seg", "n", F.col("at").alias("first"), (F.col("at") + WINDOW - 1).alias("last"))
+    found = found.filter("at < 0").select(F.col("key").alias("anchor"), "seg", "n", "first", "last")
+    found = found.unionByName(apart).distinct()
     return (seg.join(found, ["anchor", "seg", "n"]).groupBy("_id", "_key")
             .agg(F.array_sort(F.collect_set(F.struct(
                 (F.col("start") + F.col("first")).alias("first"),

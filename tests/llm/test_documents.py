@@ -69,7 +69,9 @@ def test_simhash_links_by_balls(spark):
     assert got == {(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 3}
 
 
-def test_substring_against_brute_force(docs, doc_rows):
+@pytest.mark.parametrize("hot", [5_000, 1])
+def test_substring_against_brute_force(docs, doc_rows, monkeypatch, hot):
+    monkeypatch.setattr(substring, "HOT_SEGMENTS", hot)          # 1: nearly every anchor is taken apart
     places = Counter()
     words = [(r[1] or "").encode().split() for r in doc_rows]
     for w in words:
