@@ -65,7 +65,7 @@ def clusters(obs: DataFrame, until: str, k: int = CLUSTERS, seed: int = SEED) ->
         F.array_sort(F.collect_list(F.struct("bucket", "z"))).alias("s"))
     vec = rows.select("station_id", array_to_vector(F.col("s.z")).alias("features"))
     # Repeated passes over one 48-value vector per station.
-    vec = vec.persist()
+    vec = stage(vec, "shapes")
     model = KMeans(k=k, seed=seed, maxIter=50, featuresCol="features",
                    predictionCol="cluster_id").fit(vec)
     out = model.transform(vec).select("station_id", F.col("cluster_id").cast("int"))
