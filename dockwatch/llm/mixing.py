@@ -93,11 +93,12 @@ def multipliers(hist: DataFrame, goal: DataFrame, cap: int = CAP) -> DataFrame:
         F.lit(None).cast("double").alias("hi"), F.lit(1.0).alias("off"))
     state = stage(state, "mix-state")
     tokens = _big(F.col("n") * F.col("size"), 20)
+    # A text has fewer than 2**31 bytes, so ten digits hold any size.
     for _ in range(MAX_STEPS):
         moving = F.col("rate") < cap * UNIT
         sums = _classes(hist, state, cap).groupBy("source").agg(
             F.sum(tokens * _big(F.col("rate"), 12)).alias("_a"),
-            F.sum(F.when(moving, _big(F.col("n") * F.col("size"), 20) * _big(F.col("size"), 6)
+            F.sum(F.when(moving, _big(F.col("n") * F.col("size"), 20) * _big(F.col("size"), 10)
                          * _big(F.col("rate"), 11))).alias("_b"))
         s = sums.withColumnRenamed("source", "_s")
         j = state.join(s, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
