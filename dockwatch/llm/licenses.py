@@ -5,9 +5,10 @@ templates. A match of document position i with template position j votes for
 the diagonal i - j; a copy of a template is a diagonal with many votes, and an
 edited copy a few neighbouring ones. Votes are counted per diagonal, diagonals
 that lie within ``GAP`` of each other and overlap or touch are merged to spans,
-and a span counts if enough of its template's runs were seen in it. Short
-phrases must be matched in full, word for word: the words themselves are
-compared at each vote, so hashes decide nothing.
+and a span counts if enough of its template's runs were seen in it. Phrases and
+short notices must be matched in full, word for word, on one diagonal; longer
+notices that name a license must show its name, for others use the same sentences.
+The words themselves are compared at each vote, so hashes decide nothing.
 
 Templates are a list in this file, so the broadcast side of the join has a
 fixed size. Only built-in functions run.
@@ -31,6 +32,8 @@ K = 2
 GAP = 4
 #: Share of a notice's runs that a span must show.
 COVERAGE = 0.5
+#: Notices of fewer runs must be seen in full: half of them is what any license says.
+SHORT = 10
 
 # The phrases of the contract with their labels.
 PHRASES = {
@@ -59,6 +62,9 @@ NOTICES = {
     "licensed under the apache license": "apache",
 }
 
+#: The run that a longer notice of a label must show, if it has it.
+NAMES = {"apache": "apache license", "gpl": "gnu general", "mpl": "mozilla public"}
+
 #: A letter outside ASCII whose lower case is ASCII would change a word; it is put out of the way.
 _ODD = {"İ": "ı", "K": "ĸ"}
 
@@ -76,10 +82,13 @@ def templates(spark: SparkSession) -> DataFrame:
     rows = []
     for number, (text, label) in enumerate([*PHRASES.items(), *NOTICES.items()]):
         w = text.split()
-        for j in range(len(w) - K + 1):
-            rows.append((number, label, number < len(PHRASES), len(w) - K + 1, j, w[j:j + K]))
+        runs = [w[j:j + K] for j in range(len(w) - K + 1)]
+        name = NAMES.get(label, "").split()
+        for j, run in enumerate(runs):
+            rows.append((number, label, number < len(PHRASES), len(runs), j, run,
+                         runs.index(name) if name in runs else None))
     df = spark.createDataFrame(
-        rows, "tpl int, label string, phrase boolean, runs int, tpos int, twords array<string>")
+        rows, "tpl int, label string, phrase boolean, runs int, tpos int, twords array<string>, name int")
     return df.withColumn("run", _run_hash([F.col("twords")[i] for i in range(K)]))
 
 
@@ -112,7 +121,7 @@ def votes(docs: DataFrame) -> DataFrame:
     m = e.join(F.broadcast(tpl), "run")      # the templates above: a few hundred rows
     m = m.filter(F.when(F.col("tpl").isNull(), F.col("_p") == 0).otherwise(
         (F.col("_p") > 0) & (F.col("_a") == F.col("twords")[0]) & (F.col("_b") == F.col("twords")[1])))
-    return m.select("doc_id", "_key", "n_words", "tpl", "label", "phrase", "runs", "tpos",
+    return m.select("doc_id", "_key", "n_words", "tpl", "label", "phrase", "runs", "name", "tpos",
                     (F.col("_p") - 1).alias("dpos"))
 
 
@@ -121,22 +130,24 @@ def spans(votes_: DataFrame) -> DataFrame:
     key = ["doc_id", "_key", "tpl"]
     diag = (votes_.filter(F.col("tpl").isNotNull())
             .withColumn("diag", F.col("dpos") - F.col("tpos"))
-            .groupBy(*key, "label", "phrase", "runs", "diag")
+            .groupBy(*key, "label", "phrase", "runs", "name", "diag")
             .agg(F.collect_set("tpos").alias("seen"), F.min("dpos").alias("lo"),
                  F.max("dpos").alias("hi")))
-    exact = diag.filter(F.col("phrase") & (F.size("seen") == F.col("runs"))).select(
+    full = F.col("phrase") | (F.col("runs") < SHORT)
+    exact = diag.filter(full & (F.size("seen") == F.col("runs"))).select(
         *key, "label", "phrase", F.col("diag").alias("first_word"), F.lit(1.0).alias("share"))
-    # Phrases lie on one diagonal each. Notices: neighbours in order of their place in the text.
+    # Phrases and short notices lie on one diagonal each. Others: neighbours in order of their place in the text.
     w = Window.partitionBy(*key).orderBy("lo", "diag")
     near = (F.abs(F.col("diag") - F.lag("diag").over(w)) <= GAP) & (
         F.col("lo") - F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1)) <= 2 * GAP)
-    group = (diag.filter(~F.col("phrase")).withColumn("_new", F.when(near, 0).otherwise(1))
+    group = (diag.filter(~full).withColumn("_new", F.when(near, 0).otherwise(1))
              .withColumn("_g", F.sum("_new").over(w)))
-    merged = group.groupBy(*key, "label", "phrase", "runs", "_g").agg(
+    merged = group.groupBy(*key, "label", "phrase", "runs", "name", "_g").agg(
         F.array_distinct(F.flatten(F.collect_list("seen"))).alias("seen"),
         F.min("lo").alias("first_word"))
+    named = F.col("name").isNull() | F.array_contains("seen", F.col("name"))
     loose = merged.withColumn("share", F.size("seen") / F.col("runs")).filter(
-        F.col("share") >= COVERAGE).select(*key, "label", "phrase", "first_word", "share")
+        (F.col("share") >= COVERAGE) & named).select(*key, "label", "phrase", "first_word", "share")
     return exact.unionByName(loose)
 
 
