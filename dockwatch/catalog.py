@@ -531,7 +531,7 @@ def features(d: Data) -> DataFrame:
 def split_counts(d: Data) -> DataFrame:
     f = fe.leads(d.obs)
     parts = []
-    for name, (a, b) in (("train", fx.TRAIN), ("valid", fx.VALID), ("test", fx.TEST)):
+    for name, (a, b) in fx.split_days(d.spark, d.dir).items():
         parts.append(fe.split(f, a, b).withColumn("split", F.lit(name)))
     every = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return every.groupBy("split").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"),
@@ -726,7 +726,8 @@ def dispatch_totals(d: Data) -> DataFrame:
 def _trained(d: Data):
     """Small models on the training days; sizes follow the fixture, not production."""
     f = stage(d.features, "features")
-    tr, va = fe.split(f, *fx.TRAIN), fe.split(f, *fx.VALID)
+    days = fx.split_days(d.spark, d.dir)
+    tr, va = fe.split(f, *days["train"]), fe.split(f, *days["valid"])
     s = le.Settings(rounds=2, depth=3, min_rows=1)
     return f, le.train(tr, va, s)
 
@@ -749,7 +750,7 @@ def scored_forecast(d: Data) -> DataFrame:
 @query
 def conformal_interval(d: Data) -> DataFrame:
     f, m = _trained(d)
-    test = fe.split(f, *fx.TEST)
+    test = fe.split(f, *fx.split_days(d.spark, d.dir)["test"])
     judged = le.with_band(le.judge(m, le.model_frame(test)), m.bands)
     return ev.interval_report(judged)
 

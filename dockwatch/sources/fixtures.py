@@ -7,6 +7,8 @@ folds users onto 16 stations so that slots are well filled.
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from dockwatch.functions import status as st, timefn as tf
@@ -16,15 +18,27 @@ from dockwatch.schemas import HORIZONS, STRICT_THRESHOLD
 NARROW_STATIONS = 16
 WATCH_THRESHOLD = 0.30
 MIN_SNAPSHOTS = 30
-TRAIN = ("2024-01-01", "2024-01-20")
-VALID = ("2024-01-21", "2024-01-25")
-TEST = ("2024-01-26", "2024-01-30")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def split_days(spark: SparkSession, sf_dir: str) -> dict[str, tuple[str, str]]:
+    """First and last day of train, valid and test, which together cover every day of the events.
+
+    The last two sixths of the days, in whole days, are valid and test.
+    """
+    lo, hi = table(spark, sf_dir, "events").agg(
+        F.min("ts").cast("date"), F.max("ts").cast("date")).first()
+    if lo is None:
+        lo = hi = date(1970, 1, 1)
+    n = (hi - lo).days + 1
+    edges = [0, n - 2 * (n // 6), n - n // 6, n]
+    day = lambda k: str(lo + timedelta(days=k))
+    return {name: (day(a), day(b - 1)) for name, a, b in zip(("train", "valid", "test"), edges, edges[1:])}
+
+
 def raw_snapshots(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
     e = table(spark, sf_dir, "events")
     station = F.col("user_id") if wide else F.col("user_id") % NARROW_STATIONS
