@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dockwatch.llm import embedding_dedup, licenses, mixing, packing, sharding, simhash, substring, topk, toxicity, warc
+from dockwatch.llm import (clustering, embedding_dedup, licenses, mixing, packing, sharding, simhash, substring,
+                           topk, toxicity, warc)
 
 QUERIES = {
     "op1_simhash": simhash.query,
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_licenses": licenses.query,
     "op9_topk": topk.query,
     "op10_embedding_dedup": embedding_dedup.query,
+    "op13_clustering": clustering.query,
 }
 
 
@@ -23,4 +25,5 @@ def statements() -> dict[str, str]:
         "op6_sharding": sharding.oracle(),
         "op7_warc": warc.ORACLE,
         "op9_topk": topk.ORACLE,
+        "op13_clustering": clustering.oracle(),
     }
