@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dockwatch.llm import (clustering, embedding_dedup, licenses, mixing, packing, sharding, simhash, spelling,
-                           substring, topk, toxicity, warc)
+                           substring, suffix_dedup, topk, toxicity, warc)
 
 QUERIES = {
     "op1_simhash": simhash.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_licenses": licenses.query,
     "op9_topk": topk.query,
     "op10_embedding_dedup": embedding_dedup.query,
+    "op11_suffix_dedup": suffix_dedup.query,
     "op12_spelling": spelling.query,
     "op13_clustering": clustering.query,
 }
