@@ -17,10 +17,11 @@ blocks, and every (query block, shard) is one piece of work of bounded size.
 Scores are whole numbers, so the result has no rounding.
 
 Defined cases: rows without id, and vectors that are null or hold null or
-non-finite components, take no part; of rows that repeat an id the one with the
-greatest vector counts; shorter vectors are filled with zeros; ties go to the
-smaller id; a query with fewer than k candidates gets them all; an empty table
-gives no rows; other columns are ignored.
+non-finite components, take no part; rows that repeat an id are rows of their own:
+each that meets the condition is a query, and each but the query's own row is a
+candidate; shorter vectors are filled with zeros; ties go to the smaller id; a
+query with fewer than k candidates gets them all; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -67,32 +68,33 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return near[np.lexsort((ids[near], -scores[near]))[:k]]
 
 
+def _column(rows: pa.StructArray, name: str) -> np.ndarray:
+    return rows.field(name).to_numpy(zero_copy_only=False)
+
+
 def _cells(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Queries, ids of the candidates and the partial scores of each cell; a query's own row scores lowest."""
     for i in range(batch.num_rows):
         q, c = batch.column("qrows")[i].values, batch.column("crows")[i].values
-        qi = q.field("vec_id").to_numpy(zero_copy_only=False)
-        ci = c.field("vec_id").to_numpy(zero_copy_only=False)
         parts = _parts(matrix(q.field("z"), dtype=np.int64), matrix(c.field("z"), dtype=np.int64))
-        own = qi[:, None] == ci[None, :]
+        own = _column(q, "row")[:, None] == _column(c, "row")[None, :]
         for p in parts:
             p[own] = _LOW // LISTS
-        yield q, qi, ci, parts
+        yield q, _column(c, "vec_id"), parts, own
 
 
 def _gather(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, qi, ci, parts in _cells(batch):
-                ids, scores = [], []
-                for i in range(len(qi)):
+            for q, ci, parts, own in _cells(batch):
+                scores = []
+                for i in range(len(q)):
                     heads = np.unique(np.concatenate([_best(p[i], ci, k) for p in parts]))
-                    heads = heads[ci[heads] != qi[i]]
+                    heads = heads[~own[i, heads]]
                     whole = sum(p[i, heads] for p in parts)
-                    top = _best(whole, ci[heads], k)
-                    ids.append(ci[heads][top].tolist())
-                    scores.append(whole[top].tolist())
+                    scores.append(whole[_best(whole, ci[heads], k)].tolist())
                 yield pa.RecordBatch.from_pydict({
-                    "query_id": pa.array(qi, pa.int64()), "ids": pa.array(ids, pa.list_(pa.int64())),
+                    "row": pa.array(_column(q, "row"), pa.int64()),
                     "scores": pa.array(scores, pa.list_(pa.int64())),
                     **{f"top{b}": pa.array(p.max(axis=1), pa.int64()) for b, p in enumerate(parts)}})
     return run
@@ -101,28 +103,28 @@ def _gather(k: int):
 def _collect(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for q, qi, ci, parts in _cells(batch):
-                cut = q.field("cutoff").to_numpy(zero_copy_only=False).astype(np.int64)
-                tops = [q.field(f"top{b}").to_numpy(zero_copy_only=False) for b in range(LISTS)]
+            for q, ci, parts, own in _cells(batch):
+                cut = _column(q, "cutoff").astype(np.int64)
+                tops = [_column(q, f"top{b}") for b in range(LISTS)]
                 slack = sum(tops) - cut
                 enough = np.zeros(parts[0].shape, dtype=bool)
                 for p, t in zip(parts, tops):
                     enough |= LISTS * (t[:, None] - p) <= slack[:, None]
-                enough &= qi[:, None] != ci[None, :]
-                out = ([], [], [])
+                enough &= ~own
+                rows, qi, out = _column(q, "row"), _column(q, "vec_id"), ([], [], [], [])
                 for i in np.flatnonzero(enough.any(axis=1)):
                     at = np.flatnonzero(enough[i])
                     whole = sum(p[i, at] for p in parts)
                     keep = whole >= cut[i]
                     at, whole = at[keep], whole[keep]
                     top = _best(whole, ci[at], k)
-                    out[0].append(np.full(len(top), qi[i]))
-                    out[1].append(ci[at][top])
-                    out[2].append(whole[top])
+                    for x, values in zip(out, (np.full(len(top), rows[i]), np.full(len(top), qi[i]),
+                                               ci[at][top], whole[top])):
+                        x.append(values)
                 if out[0]:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.concatenate(x), pa.int64()) for x in out],
-                        names=["query_id", "vec_id", "score"])
+                        names=["row", "query_id", "vec_id", "score"])
     return run
 
 
@@ -138,43 +140,37 @@ def _grid(queries: DataFrame, n_shards: int, shards: DataFrame) -> DataFrame:
 
 def top_k(vectors: DataFrame, queries: Column, k: int = K) -> DataFrame:
     """The ``k`` best rows of ``vectors`` (vec_id, z) for each row that meets ``queries``."""
-    v = stage(vectors, "topk-vectors")
+    # The number of a row is fixed by writing it.
+    v = stage(vectors.withColumn("row", F.monotonically_increasing_id()), "topk-vectors")
     q = v.filter(queries)
     n, nq = v.count(), q.count()
     n_shards = max(1, -(-n // SHARD_ROWS))
     n_blocks = max(1, -(-nq // BLOCK_QUERIES))
-    shards = v.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n_shards)).cast("int").alias("shard")).agg(
-        F.collect_list(F.struct("vec_id", "z")).alias("crows"))
+    shards = v.groupBy(F.pmod(F.xxhash64("row"), F.lit(n_shards)).cast("int").alias("shard")).agg(
+        F.collect_list(F.struct("row", "vec_id", "z")).alias("crows"))
     shards = stage(shards, "topk-shards")
-    block = F.pmod(F.xxhash64(F.lit("block"), F.col("vec_id")), F.lit(n_blocks)).cast("int").alias("block")
-    asked = q.groupBy(block).agg(F.collect_list(F.struct("vec_id", "z")).alias("qrows"))
+    block = F.pmod(F.xxhash64(F.lit("block"), F.col("row")), F.lit(n_blocks)).cast("int").alias("block")
+    asked = q.groupBy(block).agg(F.collect_list(F.struct("row", "vec_id", "z")).alias("qrows"))
     tops = [f"top{b}" for b in range(LISTS)]
     heads = stage(_grid(asked, n_shards, shards).mapInArrow(
-        _gather(k), "query_id long, ids array<long>, scores array<long>, "
-        + ", ".join(f"{t} long" for t in tops)), "topk-heads")
-    best = top_per_group(
-        heads.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("e"))
-        .select("query_id", F.col("e.ids").alias("id"), F.col("e.scores").alias("score")),
-        ["query_id"], [F.desc("score"), F.col("id")], k)
-    cutoff = best.groupBy("query_id").agg(
-        F.when(F.count("*") >= k, F.min("score")).alias("cutoff"))
-    cut = heads.groupBy("query_id").agg(*[F.max(t).alias(t) for t in tops]).join(cutoff, "query_id", "left")
+        _gather(k), "row long, scores array<long>, " + ", ".join(f"{t} long" for t in tops)), "topk-heads")
+    best = top_per_group(heads.select("row", F.explode("scores").alias("score")), ["row"], [F.desc("score")], k)
+    cutoff = best.groupBy("row").agg(F.when(F.count("*") >= k, F.min("score")).alias("cutoff"))
+    cut = heads.groupBy("row").agg(*[F.max(t).alias(t) for t in tops]).join(cutoff, "row", "left")
     # Fewer than k scores seen anywhere: every row may belong to the answer.
     cut = cut.withColumn("cutoff", F.coalesce("cutoff", F.lit(int(_LOW) // 4).cast("long")))
-    told = q.join(cut, q["vec_id"] == cut["query_id"]).groupBy(block).agg(
-        F.collect_list(F.struct("vec_id", "z", "cutoff", *tops)).alias("qrows"))
+    told = q.join(cut, "row").groupBy(block).agg(
+        F.collect_list(F.struct("row", "vec_id", "z", "cutoff", *tops)).alias("qrows"))
     entries = _grid(stage(told, "topk-cutoffs"), n_shards, shards).mapInArrow(
-        _collect(k), "query_id long, vec_id long, score long")
-    return top_per_group(entries, ["query_id"], [F.desc("score"), F.col("vec_id")], k).select(
+        _collect(k), "row long, query_id long, vec_id long, score long")
+    return top_per_group(entries, ["row"], [F.desc("score"), F.col("vec_id")], k).select(
         "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def clean(embeddings: DataFrame) -> DataFrame:
     """vec_id and whole-number vector ``z`` of all rows that take part."""
-    v = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding")).filter(
-        F.col("vec_id").isNotNull() & is_finite("embedding"))
-    return v.groupBy("vec_id").agg(F.max("embedding").alias("embedding")).select(
-        "vec_id", whole_numbers("embedding").alias("z"))
+    return embeddings.filter(F.col("vec_id").isNotNull() & is_finite("embedding")).select(
+        F.col("vec_id").cast("long").alias("vec_id"), whole_numbers("embedding").alias("z"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,11 +179,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = f"""
-    WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS z
-               FROM embeddings WHERE embedding IS NOT NULL),
-         s AS (SELECT q.vec_id AS query_id, c.vec_id,
-                      CAST(list_sum(list_transform(list_zip(q.z, c.z), p -> p[1] * p[2])) AS BIGINT) AS score
-               FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % {EVERY} = 0),
-         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER)
-                      AS rank FROM s)
-    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {K}"""
+    WITH r AS (SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings
+               WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+         e AS (SELECT r, vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM r),
+         bad AS (SELECT DISTINCT r FROM e WHERE x IS NULL OR NOT isfinite(x)),
+         v AS MATERIALIZED (SELECT r, vec_id, pos, floor({SCALE} * x)::BIGINT AS z FROM e ANTI JOIN bad USING (r)),
+         s AS (SELECT q.r, q.vec_id AS query_id, c.r AS other, c.vec_id, sum(q.z * c.z)::BIGINT AS score
+               FROM v q JOIN v c ON q.pos = c.pos AND q.r <> c.r WHERE q.vec_id % {EVERY} = 0 GROUP BY ALL),
+         o AS (SELECT *, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+               FROM s)
+    SELECT query_id, rank, vec_id, score FROM o WHERE rank <= {K}"""

@@ -1,6 +1,7 @@
 """WARC round trips, top-k search and vector joins against brute force."""
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -90,19 +91,19 @@ def test_top_k_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK_QUERIES", 7)
     rows = vector_rows()
     df = spark.createDataFrame(rows, VECTORS)
-    best = {}
-    for vid, v, *_ in rows:
-        if vid is not None and clean(v):
-            best[vid] = max(best.get(vid, []), [float(np.float32(x)) for x in v])
-    z = {i: np.floor(256 * padded(v)).astype(np.int64) for i, v in best.items()}
-    want = set()
-    for q in (i for i in z if i % 5 == 0):
-        s = sorted((-int(z[q] @ z[c]), c) for c in z if c != q)[:5]
-        want |= {(q, k + 1, c, -x) for k, (x, c) in enumerate(s)}
+    z = [(vid, np.floor(256 * padded(v)).astype(np.int64)) for vid, v, *_ in rows if vid is not None and clean(v)]
+    z += [(10, z[0][1] + 1)]                                    # an id with two vectors
+    df = df.unionByName(spark.createDataFrame([(10, [float(x) for x in z[-1][1] / 256], 0, 1, "x")], VECTORS))
+    want = Counter()
+    for n, (q, x) in enumerate(z):
+        if q % 5 == 0:
+            s = sorted((-int(x @ y), c) for m, (c, y) in enumerate(z) if m != n)[:5]
+            want.update((q, k + 1, c, -score) for k, (score, c) in enumerate(s))
+    assert sum(q == 10 for q, *_ in want.elements()) == 10
     got = topk.top_k(topk.clean(df), topk.F.col("vec_id") % 5 == 0).collect()
-    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert Counter(map(tuple, got)) == want
     few = topk.top_k(topk.clean(df.filter("vec_id < 4")), topk.F.col("vec_id") == 2).collect()
-    assert len(few) == 2                                        # fewer candidates than k
+    assert [r["vec_id"] for r in few] == [3, 1, 1]              # fewer candidates than k; a repeated row is one more
     assert topk.top_k(topk.clean(df.limit(0)), topk.F.col("vec_id") > 0).count() == 0
 
 
