@@ -3,7 +3,7 @@
 from collections import Counter, defaultdict
 
 import corpus_pipeline as cp
-from dockwatch.llm import simhash, toxicity
+from dockwatch.llm import toxicity
 from dockwatch.session import stage
 
 
@@ -30,20 +30,20 @@ def test_stages(spark, docs, tmp_path):
     assert Counter(map(whole, after)) == Counter(whole(r) for r in before if score[r["text"]] < 0.5)
 
     before, after = seen["simhash"]
-    fps = sorted({simhash.text_fingerprint(r["text"]) for r in before})
-    group = {f: f for f in fps}
-    for _ in fps:
-        for a in fps:
-            for b in fps:
-                if (a ^ b).bit_count() <= 3:
-                    group[a] = group[b] = min(group[a], group[b])
-    members = defaultdict(list)
-    for r in before:
-        members[group[simhash.text_fingerprint(r["text"])]].append(r)
-    assert len(after) == len(members)
-    kept = {group[simhash.text_fingerprint(r["text"])]: r["doc_id"] for r in after}
-    for g, some in members.items():
-        assert kept[g] == min((r["doc_id"] for r in some if r["doc_id"] is not None), default=None)
+    words = [(r["text"] or "").lower().encode().split() for r in before]
+    sets = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    group = list(range(len(before)))
+    for i in range(len(before)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if group[i] != group[j] and 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    ids = defaultdict(list)
+    for r, g in zip(before, group):
+        ids[g].append(r["doc_id"])
+    some = [min((i for i in m if i is not None), default=None) for m in ids.values()]
+    assert Counter(r["doc_id"] for r in after) == Counter(some) and len(after) < len(before)
 
     before, after = seen["substring"]
     words = [(r["text"] or "").encode().split() for r in before]
