@@ -24,6 +24,22 @@ import numpy as np
 _PACK = 7
 
 
+class Marks:
+    """Marked places among n, as bits: which mark is the last at or before a place."""
+
+    def __init__(self, at: np.ndarray, n: int):
+        bits = np.zeros(-(-n // 64) * 64, dtype=np.uint8)
+        bits[at] = 1
+        self.words = np.packbits(bits, bitorder="little").view(np.uint64)
+        count = np.bitwise_count(self.words).astype(np.int64)
+        self.before = np.cumsum(count) - count - 1
+
+    def rank(self, place: np.ndarray) -> np.ndarray:
+        word = place >> 6
+        upto = self.words[word] << (63 - (place & 63)).astype(np.uint64)
+        return self.before[word] + np.bitwise_count(upto)
+
+
 class RunIndex:
     """Index of ``units`` (bytes, and their lengths); ``owner`` is a number of each unit."""
 
@@ -43,6 +59,7 @@ class RunIndex:
         starts = np.flatnonzero(np.concatenate([[True], last[1:] != last[:-1]]))
         ends = np.append(starts[1:], n)
         self.run_start, self.run_symbol = starts, last[starts]
+        self._runs = Marks(starts, n)
         self.first_sample, self.last_sample = sa[starts], sa[ends - 1]
         self.run_end = ends - 1
         # Where the first row of each run leads: rows of smaller symbols, then earlier runs of its own.
@@ -55,9 +72,10 @@ class RunIndex:
         rest = np.minimum(sa + window - 4 * _PACK, n)
         a, b = prefix[sa], prefix[rest]
         new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        self.class_start = np.flatnonzero(new)
+        first = np.flatnonzero(new)
+        self._classes = Marks(first, n)
         unit = np.repeat(np.arange(len(lengths)), lengths + 1)
-        self.class_owner = np.minimum.reduceat(np.asarray(owner)[unit][sa], self.class_start)
+        self.class_owner = np.minimum.reduceat(np.asarray(owner)[unit][sa], first)
 
     def _sorted(self) -> tuple[np.ndarray, np.ndarray]:
         """The suffix array by doubling, and the rank of each position by its first 28 symbols."""
@@ -86,7 +104,7 @@ class RunIndex:
         return len(self.run_start)
 
     def _run_of(self, row: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.run_start, row, side="right") - 1
+        return self._runs.rank(row)
 
     def _shared(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
         """How many symbols the text has in common at ``a`` and ``b``, up to ``most``."""
@@ -164,7 +182,7 @@ class RunIndex:
         for place, pattern, length, row in self.stream(data, lengths):
             if place >= self.window:
                 hit = length >= self.window
-                owner = self.class_owner[np.searchsorted(self.class_start, row[hit], side="right") - 1]
+                owner = self.class_owner[self._classes.rank(row[hit])]
                 p = pattern[hit]
                 out[offset[p] + lengths[p] - place] = owner
         return out, offset

@@ -50,13 +50,13 @@ RUN = WINDOW - GRAM + 1
 #: Text of a block, on average.
 BLOCK_BYTES = 2 << 20
 #: Text whose segments go to one shard, on average; some sixteenth of it are anchors.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 #: Text whose anchors go to one receiver, on average.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 4 << 20
 #: Segments of one anchor that stay together.
 HOT_SEGMENTS = 5_000
-#: Bytes hashed at a time; longer texts are cut at multiples of it.
-CHUNK = 1 << 20
+#: Bytes hashed at a time, few enough for a cache; longer texts are cut at multiples of it.
+CHUNK = 1 << 16
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
