@@ -3,21 +3,22 @@
 Words are counted per batch in tasks and summed by Spark. The trie over the vocabulary
 is a table of edges. A node is a prefix (named by a 64-bit hash of it) after which words
 differ or one ends; an edge carries the code points up to the next node, or to the end
-of its word. States (word, position, node, edits) start at the root and are joined with
-the edges level by level. Words one edit apart share a prefix up to their first
-difference, which is a node; there a state without edits
+of its word. Words one edit apart part at a node on both their paths. From there a state
+(word, position, node, edits)
 
-- follows its own edge (no edit yet),
 - takes an edge with a larger first code point (replaced), or
 - skips its own code point (the other word lacks it),
 
-and from then on must match whole edges. States that reach the end of a word with one
-edit are neighbours. Insertions and replacements by smaller code points are the same
-pairs seen from the other word, so each pair is found once, without a later distinct.
+and then must match whole edges: states are joined with the edges level by level, and
+those that end a word with one edit are neighbours. Insertions and replacements by
+smaller code points are the same pairs seen from the other word.
 
-The root and its children are met by every word: there the states are dealt over salts
-and the edges (91 * 91 at most, by the alphabet) repeated for each. Every level is a
-written table; there are as many levels as nodes on the longest path.
+Near the root every word meets every node, so edits there would make many states that
+lead nowhere. Two words one edit apart share their first or their second half; the trie
+therefore holds each word forwards and, behind a mark, backwards, and edits are made in
+the later half only, where few words are left under a node. An edge also knows the first
+code points of the edges after it, so states that cannot go on are not made. Every level
+is a written table; there are as many levels as nodes on the longest path.
 
 Defined cases: null and empty texts have no words; a null doc_id counts as an empty
 string in the checksum; rows that repeat count each time; words of any length take
@@ -48,8 +49,8 @@ RATIO = 5
 DROP = 199
 #: Different words held by a task before it hands its counts on.
 HELD = 200_000
-#: Levels of the trie whose nodes every word passes.
-SHARED_LEVELS = 2
+#: Stands before words spelt backwards.
+MARK = "\x01"
 
 _RUN = re.compile("[A-Za-zÀ-ÿ]+")
 _LOWER = {i: i + 32 for i in range(65, 91)}
@@ -58,16 +59,23 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 U = np.uint64
 
 
-def runs_of(doc: str, text: str) -> Counter:
-    """Words of one text with their counts: A-Z lower-cased, some with a code point deleted."""
-    out: Counter = Counter()
-    for run, n in Counter(_RUN.findall(text)).items():
-        word = run.lower() if run.isascii() else run.translate(_LOWER)
-        h = zlib.crc32(f"{doc}:{word}".encode())
+def runs_of(doc: str, text: str, known: dict[str, tuple[str, bytes]]) -> dict[str, int]:
+    """Words of one text with their counts: A-Z lower-cased, some with a code point deleted.
+
+    Only runs of MIN_LENGTH code points or more; ``known`` remembers their lower-cased form.
+    """
+    out: dict[str, int] = {}
+    start = zlib.crc32(f"{doc}:".encode())
+    for run, n in Counter([r for r in _RUN.findall(text) if len(r) >= MIN_LENGTH]).items():
+        if run not in known:
+            word = run.lower() if run.isascii() else run.translate(_LOWER)
+            known[run] = word, word.encode()
+        word, raw = known[run]
+        h = zlib.crc32(raw, start)
         if h % DROP == 0:
             at = h % len(word)
             word = word[:at] + word[at + 1:]
-        out[word] += n
+        out[word] = out.get(word, 0) + n
     return out
 
 
@@ -75,14 +83,15 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def frame() -> pd.DataFrame:
         some = [(w, n) for w, n in held.items() if len(w) >= MIN_LENGTH]
         return pd.DataFrame(some, columns=["word", "n"])
-    held: Counter = Counter()
+    held: dict[str, int] = {}
+    known: dict[str, tuple[str, bytes]] = {}
     for pdf in batches:
         for doc, text in zip(pdf["doc"], pdf["text"]):
-            for word, n in runs_of(doc, text).items():
-                held[word] += n
-            if len(held) > HELD:
+            for word, n in runs_of(doc, text, known).items():
+                held[word] = held.get(word, 0) + n
+            if len(held) > HELD or len(known) > HELD:
                 yield frame()
-                held = Counter()
+                held, known = {}, {}
     yield frame()
 
 
@@ -114,19 +123,25 @@ def _prefixes(words: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def _bit(letter: Column) -> Column:
+    """One of 63 bits for a code point, or for the end of a word."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.ascii(letter), F.lit(63)))
+
+
 def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The edges (node, depth, first, label, child, leaf) of the trie over ``words``, and where words start.
+    """The edges of the trie over ``words`` and the path (word, pos, node, depth) of each word.
 
-    A leaf edge has no child but the word that it ends; the edge of a word that ends
-    at its node has an empty label.
+    An edge has node, depth, first, label, child, leaf and nexts. A leaf edge has no
+    child but the word that it ends; the edge of a word that ends at its node has an
+    empty label. nexts has the bits of the first code points at the child.
     """
     steps = stage(words.select("word", F.posexplode(_prefixes("word")).alias("pos", "s"))
                   .select("word", "pos", "s.node", "s.next"), "spelling-prefixes")
     nodes = steps.groupBy("node", "pos").agg(F.min("next").alias("_lo"), F.max("next").alias("_hi")).filter(
         "_lo < _hi").select("node", "pos")
-    # Prefixes of two letters at most are few by the alphabet, and met by most words.
-    short = steps.filter("pos <= 2").join(F.broadcast(nodes.filter("pos <= 2")), ["node", "pos"], "left_semi")
-    long = steps.filter("pos > 2").join(nodes.filter("pos > 2"), ["node", "pos"], "left_semi")
+    # Prefixes of three code points at most are few by the alphabet, and met by most words.
+    short = steps.filter("pos <= 3").join(F.broadcast(nodes.filter("pos <= 3")), ["node", "pos"], "left_semi")
+    long = steps.filter("pos > 3").join(nodes.filter("pos > 3"), ["node", "pos"], "left_semi")
     along = Window.partitionBy("word").orderBy("pos")
     path = stage(short.unionByName(long).select(
         "word", "pos", "node", (F.row_number().over(along) - 1).alias("depth"),
@@ -137,60 +152,67 @@ def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
                         F.when(F.col("child").isNull(), F.col("word")).alias("leaf"))
     edges = edges.groupBy("node", "depth", F.substring("label", 1, 1).alias("first")).agg(
         F.min("label").alias("label"), F.min("child").alias("child"), F.min("leaf").alias("leaf"))
-    start = path.filter("depth = 0").select("word", "pos", "node", F.lit(0).alias("edits"))
-    return stage(edges, "spelling-edges"), start
+    edges = stage(edges, "spelling-edges")
+    nexts = edges.groupBy(F.col("node").alias("child")).agg(F.bit_or(_bit(F.col("first"))).alias("nexts"))
+    edges = stage(edges.join(nexts, "child", "left"), "spelling-edges")
+    return edges, path.select("word", "pos", "node", "depth")
 
 
 def _part(at: Column, size: Column | int) -> Column:
     return F.col("word").substr(at + 1, size if isinstance(size, Column) else F.lit(size))
 
 
-def _step(states: DataFrame, edges: DataFrame, salts: int) -> DataFrame:
-    """All states after one edge: word, pos, node, edits, and the word that an edge ended."""
+def _arrived(rows: DataFrame) -> DataFrame:
+    """States with one edit that end at a word, or can go on from where they are."""
+    pos = F.col("pos")
+    ends = F.col("leaf").isNotNull() & (pos == F.char_length("word"))
+    on = F.col("leaf").isNull() & (F.col("nexts").bitwiseAND(_bit(_part(pos, 1))) != 0)
+    return rows.filter(ends | on).drop("nexts")
+
+
+def _step(fresh: DataFrame, edited: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """States (word, pos, node) with one edit after an edge, and the word (leaf) that the edge ended."""
     pos, label = F.col("pos"), F.col("label")
     size = F.char_length("label")
-    fresh, edited = states.filter("edits = 0"), states.filter("edits = 1")
-    on = ["node"]
-    if salts > 1:
-        fresh = fresh.withColumn("_salt", F.pmod(F.xxhash64("word"), F.lit(salts)).cast("int"))
-        edited = edited.withColumn("_salt", F.pmod(F.xxhash64("word"), F.lit(salts)).cast("int"))
-        edges = edges.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        on = ["node", "_salt"]
-    edges = edges.select(*on, "first", "label", F.col("child").alias("to"), "leaf")
+    edges = edges.select("node", "first", "label", F.col("child").alias("to"), "leaf", "nexts")
     here, after = _part(pos, 1), _part(pos + 1, 1)
-    own = F.col("first") == here
     replaced = (here != "") & (F.col("first") > here) & (
         F.substring("label", 2, 1 << 30) == _part(pos + 1, size - 1))
     skipped = (here != "") & (F.col("first") == after) & (F.col("first") != here) & (label == _part(pos + 1, size))
     # One edge may serve as a replacement and as a skip: both go on.
-    ways = F.array_compact(F.array(*[
-        F.when(way, F.struct((pos + size + F.lit(skip)).alias("pos"), F.lit(edits).alias("edits")))
-        for way, skip, edits in ((own, 0, 0), (replaced, 0, 1), (skipped, 1, 1))]))
-    moved = fresh.join(edges, on).filter(own | replaced | skipped).select(
-        "word", F.col("to").alias("node"), "leaf", F.explode(ways).alias("s")).select(
-            "word", "s.pos", "node", "s.edits", "leaf")
-    edited = edited.withColumn("first", _part(pos, 1))
-    matched = edited.join(edges, [*on, "first"]).filter(label == _part(pos, size)).select(
-        "word", (pos + size).alias("pos"), F.col("to").alias("node"), F.lit(1).alias("edits"), "leaf")
-    return moved.unionByName(matched)
+    ways = F.array_compact(F.array(F.when(replaced, pos + size), F.when(skipped, pos + size + 1)))
+    out = _arrived(fresh.join(edges, "node").filter(replaced | skipped).select(
+        "word", F.explode(ways).alias("pos"), F.col("to").alias("node"), "leaf", "nexts"))
+    if edited is not None:
+        matched = edited.withColumn("first", _part(pos, 1)).join(edges, ["node", "first"]).filter(
+            label == _part(pos, size))
+        out = out.unionByName(_arrived(matched.select(
+            "word", (pos + size).alias("pos"), F.col("to").alias("node"), "leaf", "nexts")))
+    return out
 
 
 def neighbours(words: DataFrame) -> DataFrame:
     """Pairs (word, near) of ``words`` exactly one edit apart, each in both directions."""
-    edges, states = trie(words)
-    deepest = edges.agg(F.max("depth")).first()[0]
-    salts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ended = []
+    back = F.concat(F.lit(MARK), F.reverse("word"))
+    edges, path = trie(words.select("word").unionByName(words.select(back.alias("word"))))
+    # Forwards edits from the middle on, backwards those before it.
+    marked = F.col("word").startswith(MARK)
+    size = F.char_length("word") - marked.cast("int")
+    half = F.floor((size - 1) / 2)
+    fresh = path.filter(F.col("pos") >= F.when(marked, size - half + 1).otherwise(half))
+    deepest = path.agg(F.max("depth")).first()[0]
+    ended, edited = [], None
     for depth in range(0 if deepest is None else deepest + 1):
-        after = stage(_step(states, edges.filter(F.col("depth") == depth),
-                            salts if depth < SHARED_LEVELS else 1), "spelling-states")
-        ended.append(after.filter((F.col("edits") == 1) & F.col("leaf").isNotNull()
-                                  & (F.col("pos") == F.char_length("word"))).select("word", F.col("leaf").alias("near")))
-        states = after.filter("node IS NOT NULL").drop("leaf")
+        at = F.col("depth") == depth
+        reached = stage(_step(fresh.filter(at), edited, edges.filter(at)), "spelling-states")
+        ended.append(reached.filter("leaf IS NOT NULL").select("word", F.col("leaf").alias("near")))
+        edited = reached.filter("node IS NOT NULL").drop("leaf")
     if not ended:
         return words.select("word", F.col("word").alias("near")).filter(F.lit(False))
-    pairs = reduce(DataFrame.unionByName, ended)
-    # Nodes are named by hashes: the words themselves decide.
+    plain = [F.when(F.col(c).startswith(MARK), F.reverse(F.substring(c, 2, 1 << 30))).otherwise(F.col(c)).alias(c)
+             for c in ("word", "near")]
+    # Halves may overlap; and nodes are named by hashes, so the words themselves decide.
+    pairs = reduce(DataFrame.unionByName, ended).select(*plain).distinct()
     pairs = stage(pairs.filter(F.levenshtein("word", "near", 1) == 1), "spelling-pairs")
     return pairs.unionByName(pairs.select(F.col("near").alias("word"), F.col("word").alias("near")))
 
