@@ -154,7 +154,10 @@ def trie(words: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.min("label").alias("label"), F.min("child").alias("child"), F.min("leaf").alias("leaf"))
     edges = stage(edges, "spelling-edges")
     nexts = edges.groupBy(F.col("node").alias("child")).agg(F.bit_or(_bit(F.col("first"))).alias("nexts"))
-    edges = stage(edges.join(nexts, "child", "left"), "spelling-edges")
+    # Leaf edges have no child and stay out of the join.
+    inner = edges.filter("child IS NOT NULL").join(nexts, "child")
+    edges = stage(inner.unionByName(edges.filter("child IS NULL").withColumn("nexts", F.lit(None).cast("long"))),
+                  "spelling-edges")
     return edges, path.select("word", "pos", "node", "depth")
 
 

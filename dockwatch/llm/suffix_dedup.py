@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dockwatch.llm.common import table
 from dockwatch.llm.rindex import RunIndex
-from dockwatch.session import stage
+from dockwatch.session import dropping_shuffles, stage, stage_bucketed
 
 WINDOW = 50
 GRAM = 20
@@ -53,6 +53,8 @@ BLOCK_BYTES = 2 << 20
 SHARD_BYTES = 1 << 20
 #: Text whose anchors go to one receiver, on average.
 BUCKET_BYTES = 4 << 20
+#: Text of a bucket of the table of blocks, on average.
+FILE_BYTES = 64 << 20
 #: Segments of one anchor that stay together.
 HOT_SEGMENTS = 5_000
 #: Bytes hashed at a time, few enough for a cache; longer texts are cut at multiples of it.
@@ -63,6 +65,8 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _TABLE = np.random.default_rng(20240217).integers(0, 1 << 63, 256, dtype=np.uint64)
 _NONE = np.iinfo(np.int64).max
+#: Bits of an anchor's hash that travel; grams that agree in them are told apart in the index.
+_KEPT = U(0xFFFFFFFFFFFF0000)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -135,7 +139,7 @@ def _chunk(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...] | Non
     count = np.minimum(np.append(start[1:], m), stop[text]) - start
     sums = np.concatenate([[U(0)], np.cumsum(h * _UP[:size], dtype=np.uint64)])
     seg = _mixed((sums[start + count + WINDOW - 1] - sums[start]) * _DOWN[start] + count.astype(np.uint64))
-    return start + lo, count, anchor[start], seg
+    return start + lo, count, anchor[start] & _KEPT, seg
 
 
 def segments(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -183,9 +187,16 @@ def _texts(column) -> tuple[np.ndarray, np.ndarray]:
     return raw, at
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers with their first bytes together, then their second, ...: alike bytes shrink on the way."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
 def _numbers(column, dtype) -> np.ndarray:
-    """The packed arrays of a binary column, one after the other."""
-    return np.frombuffer(b"".join(x for x in column.to_pylist() if x), dtype=dtype)
+    """The packed numbers of a binary column, one row after the other."""
+    width = np.dtype(dtype).itemsize
+    rows = [np.frombuffer(x, np.uint8).reshape(width, -1).T for x in column.to_pylist() if x]
+    return np.concatenate(rows).reshape(-1).view(dtype) if rows else np.zeros(0, dtype)
 
 
 def _groups(x: np.ndarray) -> np.ndarray:
@@ -223,7 +234,7 @@ def _send_anchors(buckets: int):
                 yield pa.RecordBatch.from_pydict({
                     "bucket": pa.array(bucket[at[:-1]], pa.int32()),
                     "_block": pa.array(np.full(len(at) - 1, blocks[lo]), pa.int64()),
-                    **{n: pa.array([c[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())
+                    **{n: pa.array([_packed(c[a:b]) for a, b in zip(at[:-1], at[1:])], pa.binary())
                        for n, c in zip(("anchor", "low", "high", "n"), cols)}})
     return run
 
@@ -269,8 +280,8 @@ def _answer_anchors(hot_segments: int):
             cold = np.array([a + np.count_nonzero(~hot[a:b]) for a, b in zip(at[:-1], at[1:])], dtype=np.int64)
             yield pa.RecordBatch.from_pydict({
                 "_block": pa.array(block[at[:-1]], pa.int64()),
-                "cold": pa.array([anchor[a:m].tobytes() for a, m in zip(at[:-1], cold)], pa.binary()),
-                "hot": pa.array([anchor[m:b].tobytes() for m, b in zip(cold, at[1:])], pa.binary())})
+                "cold": pa.array([_packed(anchor[a:m]) for a, m in zip(at[:-1], cold)], pa.binary()),
+                "hot": pa.array([_packed(anchor[m:b]) for m, b in zip(cold, at[1:])], pa.binary())})
     return run
 
 
@@ -319,7 +330,7 @@ def _send_segments(shards: int):
         return pa.Table.from_pydict({
             "shard": pa.array(shard[cut[:-1]], pa.int32()),
             "_block": pa.array(np.full(len(cut) - 1, key[0].as_py()), pa.int64()),
-            **{n: pa.array([c[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())
+            **{n: pa.array([_packed(c[a:b]) for a, b in zip(cut[:-1], cut[1:])], pa.binary())
                for n, c in cols.items()},
             "text": pa.array([text[ends[a]:ends[b]].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
         }, schema=_UNITS)
@@ -353,10 +364,10 @@ def _answer_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             u = unit[a:b]
             r = _spread(run_first[u], run_count[u])
             out["_block"].append(int(block[a]))
-            out["seg"].append(seg[a:b].tobytes())
-            out["count"].append(run_count[u].astype(np.uint8).tobytes())
-            out["size"].append(run_size[r].astype(np.uint8).tobytes())
-            out["owner"].append(owners[runs[r]].tobytes())
+            out["seg"].append(_packed(seg[a:b]))
+            out["count"].append(_packed(run_count[u].astype(np.uint8)))
+            out["size"].append(_packed(run_size[r].astype(np.uint8)))
+            out["owner"].append(_packed(owners[runs[r]]))
         yield pa.RecordBatch.from_pydict(
             {n: pa.array(v, pa.int64() if n == "_block" else pa.binary()) for n, v in out.items()})
 
@@ -425,18 +436,23 @@ def _cut(schema: pa.Schema):
 
 def remove_repeats(docs: DataFrame, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans (first, last + 1) and the kept bytes of every row of ``docs``."""
+    with dropping_shuffles(docs.sparkSession):
+        return _remove_repeats(docs, hot_segments)
+
+
+def _remove_repeats(docs: DataFrame, hot_segments: int) -> DataFrame:
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(least, total // BLOCK_BYTES)
     shards, buckets = max(least, total // SHARD_BYTES), max(least, total // BUCKET_BYTES)
     d = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_id"), "text")
-    # Numbering the rows keeps many repeats of one row apart; the table is written before it is read twice.
+    # Numbering the rows keeps many repeats of one row apart; the table is written before it is read.
     dealt = F.xxhash64("_id", F.monotonically_increasing_id())
     d = d.withColumn("_block", F.pmod(dealt, F.lit(blocks)))
-    d = stage(d.repartition("_block").sortWithinPartitions("_block"), "suffix-docs")
+    d = stage_bucketed(d, "suffix_docs", ["_block"], max(least, total // FILE_BYTES))
 
-    sent = d.select("_block", "_id", "text").mapInArrow(
+    sent = d.sortWithinPartitions("_block").select("_block", "_id", "text").mapInArrow(
         _send_anchors(buckets), "bucket int, _block long, anchor binary, low binary, high binary, n binary")
     told = stage(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
         _answer_anchors(hot_segments), "_block long, cold binary, hot binary"), "suffix-anchors")
