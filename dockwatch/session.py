@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,7 +21,9 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) ->
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.ui.enabled", "false")
          .config("spark.sql.adaptive.enabled", "true")
-         .config("spark.sql.adaptive.skewJoin.enabled", "true"))
+         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+         # Rows that lie together by (station, chunk) also join on more keys where they are.
+         .config("spark.sql.requireAllClusterKeysForCoPartition", "false"))
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
     spark = b.getOrCreate()
@@ -55,3 +59,28 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/stage/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stage_bucketed(df: DataFrame, name: str, keys: list[str], buckets: int | None = None) -> DataFrame:
+    """Write ``df`` once in buckets of ``keys``; joins, windows and sums on them need no further shuffle."""
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}"
+    (df.repartition(n, *keys).write.format("parquet").bucketBy(n, *keys).sortBy(*keys)
+     .option("path", f"{shared_dir(spark)}/stage/{table}").saveAsTable(table))
+    return spark.table(table)
+
+
+@contextmanager
+def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Inside, the shuffle files of a query go as soon as it has ended, not when the driver next collects garbage.
+
+    For chains of staged tables, each of which is read from files.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
