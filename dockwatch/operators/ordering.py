@@ -39,6 +39,35 @@ def numbered(df: DataFrame, order: list[Column], name: str = "row_number",
     return out.drop("_part", "_before", *[f"_b_{o}" for o in running])
 
 
+def running_by_key(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, str],
+                   totals: dict[str, str] | None = None, partitions: int | None = None) -> DataFrame:
+    """Running sums inside each key, and whole sums of it (``totals``): a segmented prefix scan.
+
+    Rows are range-partitioned by key and order, so a key lies in consecutive parts and a
+    hot key in many. Each (part, key) is summed; what a key has in the parts before, and
+    in all parts, is added to one running sum per (part, key). ``keys`` stand for a short
+    list of groups: parts plus keys rows are broadcast, never more. ``order`` must be total
+    inside a key. The parts are staged because range bounds come from sampling.
+    """
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = stage(df.repartitionByRange(n, *keys, *order).withColumn("_part", F.spark_partition_id()), "running")
+    totals = totals or {}
+    per = parts.groupBy("_part", *keys).agg(
+        *[F.sum(c).alias(f"_s_{o}") for o, c in sums.items()], *[F.sum(c).alias(f"_t_{o}") for o, c in totals.items()])
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(
+        "_part", *keys, *[F.coalesce(F.sum(f"_s_{o}").over(earlier), F.lit(0)).alias(f"_b_{o}") for o in sums],
+        *[F.sum(f"_t_{o}").over(Window.partitionBy(*keys)).alias(o) for o in totals])
+    # Keys may be null, so the join compares them null-safely.
+    on = [parts["_part"] == per["_part"], *[parts[k].eqNullSafe(per[k]) for k in keys]]
+    both = parts.join(F.broadcast(per), on).select(
+        parts["*"], *[per[f"_b_{o}"] for o in sums], *[per[o] for o in totals])
+    upto = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumns({o: F.sum(c).over(upto) + F.col(f"_b_{o}") for o, c in sums.items()})
+    return out.drop("_part", *[f"_b_{o}" for o in sums])
+
+
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int,
                   name: str = "rank") -> DataFrame:
     """The k first rows of each group.

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dockwatch.functions import status as st, timefn as tf
 from dockwatch.operators.adjacent import with_adjacent
-from dockwatch.operators.ordering import numbered
+from dockwatch.operators.ordering import running_by_key
 from dockwatch.schemas import (HORIZONS, MODEL_EMPTY_MAX, MODEL_FULL_MAX, STRICT_THRESHOLD)
 from dockwatch.session import stage
 
@@ -121,21 +121,13 @@ def best_threshold(score_rows: DataFrame) -> DataFrame:
 def ranking_quality(score_rows: DataFrame) -> DataFrame:
     """Step-wise average precision and ROC area per horizon and kind.
 
-    Equal scores are merged before any ordering; the ordering itself is the
-    distributed running sum, as there may be as many scores as rows.
+    Equal scores are merged before any ordering; the ordering itself is a segmented
+    prefix scan, as there may be as many scores as rows.
     """
     keys = ["horizon", "kind"]
     merged = stage(score_rows.groupBy(*keys, "proba").agg(
         F.count_if("fact").alias("pos"), F.count_if(~F.col("fact")).alias("neg")), "scores")
-    totals = merged.groupBy(*keys).agg(F.sum("pos").alias("p_all"), F.sum("neg").alias("n_all"))
-    run = numbered(merged, [F.col("horizon"), F.col("kind"), F.desc("proba")],
-                   "_row", {"c_pos": "pos", "c_neg": "neg"})
-    # Running sums go across all keys; subtract what came before each key.
-    start = run.groupBy(*keys).agg(F.min(F.col("c_pos") - F.col("pos")).alias("p0"),
-                                   F.min(F.col("c_neg") - F.col("neg")).alias("n0"))
-    r = run.join(start, keys).join(totals, keys)
-    tp, fp = F.col("c_pos") - F.col("p0"), F.col("c_neg") - F.col("n0")
-    r = r.withColumns({"tp": tp, "fp": fp})
+    r = running_by_key(merged, keys, [F.desc("proba")], {"tp": "pos", "fp": "neg"}, {"p_all": "pos", "n_all": "neg"})
     ap = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
     area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / F.lit(2.0)))
     return r.groupBy(*keys).agg(

@@ -35,12 +35,11 @@ def layout(kind):
 
 
 @pytest.mark.parametrize("kind", ["spread", "north", "crowded"])
-@pytest.mark.parametrize("crowd", [8, 512])
-def test_nearest_is_exact(spark, kind, crowd):
+def test_nearest_is_exact(spark, kind):
     pts = layout(kind)
     df = spark.createDataFrame(pts, "id long, lat double, lon double")
     got = {}
-    for r in spatial.nearest(df, df, 5, 1.0, crowd).orderBy("left_id", "rank").collect():
+    for r in spatial.nearest(df, df, 5, 1.0).orderBy("left_id", "rank").collect():
         got.setdefault(r["left_id"], []).append(r["right_id"])
     assert got == brute(pts, pts, 5, 1.0)
 
@@ -62,7 +61,7 @@ def test_nearest_between_two_crowds(spark, lat):
     b = [(1000 + i, lat + 5e-3 + rng.random() * 1e-3, 121.003 + rng.random() * 1e-3) for i in range(150)]
     schema = "id long, lat double, lon double"
     got = {}
-    for r in spatial.nearest(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), 3, 1.0, 16).orderBy(
+    for r in spatial.nearest(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), 3, 1.0).orderBy(
             "left_id", "rank").collect():
         got.setdefault(r["left_id"], []).append(r["right_id"])
     assert got == brute(a, b, 3, 1.0)
@@ -88,6 +87,38 @@ def test_numbered_equals_a_global_window(spark):
     assert {r["id"]: (r["n"], r["s"]) for r in out} == want
 
 
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_running_by_key_equals_windows(spark, partitions):
+    rng = random.Random(2)
+    rows = [(i, rng.choice([None, "a", "a", "a", "b", "c"]), rng.randint(0, 9)) for i in range(600)] + [(999, "z", 4)]
+    df = spark.createDataFrame(rows, "id int, g string, v int")
+    got = ordering.running_by_key(df, ["g"], [F.desc("id")], {"run": "v"}, {"whole": "v"}, partitions)
+    total, want = {}, {}
+    for i, g, v in sorted(rows, reverse=True, key=lambda r: r[0]):
+        total[g] = total.get(g, 0) + v
+        want[i] = (g, v, total[g])
+    assert {r["id"]: (r["g"], r["v"], r["run"]) for r in got.collect()} == want
+    assert all(r["whole"] == total[r["g"]] for r in got.collect())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("Exchange rangepartitioning") == 0
+
+
+def test_nearest_work_is_linear_in_the_points(spark):
+    """Two crowds half the radius apart: points meet a bounded number of others, however many there are."""
+    rng = random.Random(3)
+    schema = "id long, lat double, lon double"
+
+    def crowds(n):
+        a = [(i, 25 + rng.random() * 2e-3, 121 + rng.random() * 2e-3) for i in range(n)]
+        b = [(10_000 + i, 25.006 + rng.random() * 2e-3, 121.001 + rng.random() * 2e-3) for i in range(n)]
+        return [spark.createDataFrame(x, schema).repartition(4) for x in (a, b)]
+
+    def met(a, b):
+        return spatial.candidate_pairs(a, b, 3, 1.0).count(), spatial.candidate_pairs(a.union(b), a.union(b), 3, 1.0).count()
+    for n in (1250, 5000):
+        assert max(met(*crowds(n))) < 200 * 2 * n
+
+
 def test_last_per_slot_with_one_hot_station(spark):
     df = (spark.range(30000).withColumn("station_id", F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 50 + 2))
           .withColumn("t", F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz")
