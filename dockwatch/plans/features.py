@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dockwatch.functions.cols import c
 from dockwatch.functions import status as st, timefn as tf
-from dockwatch.operators.frames import frame, own_rows, with_halo
+from dockwatch.operators.frames import CHUNK_SLOTS, frame, own_rows, with_halo
+from dockwatch.operators.pages import PAGE, dense, own, pages_of, with_chunk
 from dockwatch.operators.spatial import nearest
 from dockwatch.schemas import (FEATURES, HORIZONS, LAGS, MIN_MODEL_SNAPSHOTS, MODEL_EMPTY_MAX,
                                MODEL_FULL_MAX, NEIGHBOUR_COUNT, NEIGHBOUR_KM, SLOT_MINUTES,
                                STREAK_SLOTS, WEEK_SLOTS)
-from dockwatch.session import stage
+from dockwatch.session import stage, stage_bucketed
 
 KEY = ["station_id"]
 TARGETS = [f"{p}_{h}" for h in HORIZONS for p in ("y_ratio", "y_bikes", "y_docks", "bl_lastweek")]
@@ -78,13 +79,18 @@ def _rolling_spec() -> Spec:
     return out
 
 
+def _reach(spec: Spec) -> tuple[int, int]:
+    """How many slots back and ahead the frames of a specification look."""
+    return (max(0, -min(lo for _, _, lo, _ in spec.values())), max(0, max(hi for _, _, _, hi in spec.values())))
+
+
+def _with_frames(rows: DataFrame, spec: Spec) -> DataFrame:
+    return rows.withColumns({name: _windowed(f, v, lo, hi) for name, (f, v, lo, hi) in spec.items()})
+
+
 def _over_history(obs: DataFrame, spec: Spec) -> DataFrame:
     """Every reading with its time features."""
-    back = max(0, -min(lo for _, _, lo, _ in spec.values()))
-    ahead = max(0, max(hi for _, _, _, hi in spec.values()))
-    rows = with_halo(obs, tf.slot_index(F.col("ts")), back, ahead)
-    return own_rows(rows.withColumns({
-        name: _windowed(f, v, lo, hi) for name, (f, v, lo, hi) in spec.items()}))
+    return own_rows(_with_frames(with_halo(obs, tf.slot_index(F.col("ts")), *_reach(spec)), spec))
 
 
 def _windowed(f: Callable[[Column], Column], v: Column, lo: int, hi: int) -> Column:
@@ -124,24 +130,36 @@ def rolling(obs: DataFrame) -> DataFrame:
 
 def neighbours(stations: DataFrame, k: int = NEIGHBOUR_COUNT, km: float = NEIGHBOUR_KM) -> DataFrame:
     """Up to k nearest stations within km."""
-    p = stage(stations.select(F.col("station_id").alias("id"), "lat", "lon"), "points")
+    p = stations.select(F.col("station_id").alias("id"), "lat", "lon")
     return nearest(p, p, k, km).select(
         F.col("left_id").alias("station_id"), F.col("right_id").alias("neighbour_id"), "km")
 
 
 def neighbour_mean(obs: DataFrame, edges: DataFrame) -> DataFrame:
     """Mean level around each station and slot."""
-    around = obs.select(F.col("station_id").alias("neighbour_id"), "ts", "ratio")
-    return (edges.select("station_id", "neighbour_id").join(around, "neighbour_id")
-            .groupBy("station_id", "ts")
+    rows = with_chunk(obs.select("station_id", "ts", "ratio"))
+    return _neighbour_mean(rows, edges).select("station_id", "ts", "neigh_ratio", "neigh_n")
+
+
+def _neighbour_mean(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """The same for rows with _slot and _chunk: edges go to the pages of the neighbour, readings stay there."""
+    there = rows.select(F.col("station_id").alias("neighbour_id"), "_chunk").distinct()
+    asked = edges.select("station_id", "neighbour_id").join(there, "neighbour_id")
+    around = rows.select(F.col("station_id").alias("neighbour_id"), "_chunk", "_slot", "ts", "ratio")
+    return (asked.join(around, ["neighbour_id", "_chunk"]).groupBy(*PAGE, "_slot", "ts")
             .agg(F.avg("ratio").alias("neigh_ratio"), F.count("*").alias("neigh_n")))
 
 
 def group_means(obs: DataFrame, groups: DataFrame) -> DataFrame:
     """Sum and count per district, cluster and slot: the shared first step."""
-    return (obs.select("station_id", "ts", "ratio")
-            .join(groups.select("station_id", "district", "cluster_id"), "station_id")
-            .groupBy("district", "cluster_id", "ts")
+    return _group_sums(with_chunk(obs.select("station_id", "ts", "ratio")), groups).drop("_chunk", "_slot")
+
+
+def _group_sums(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """The same for rows with _slot and _chunk; readings meet their groups page by page."""
+    pages = pages_of(rows, groups.select("station_id", "district", "cluster_id"))
+    return (rows.select(*PAGE, "_slot", "ts", "ratio").join(pages, PAGE)
+            .groupBy("district", "cluster_id", "_chunk", "_slot", "ts")
             .agg(F.sum("ratio").alias("s"), F.count("*").alias("n")))
 
 
@@ -156,19 +174,60 @@ def calendar(ts: Column) -> dict[str, Column]:
             "minutes_since_midnight": tf.minute_of_day(ts)}
 
 
-def _with_surroundings(rows: DataFrame, around: DataFrame, places: DataFrame, norm: DataFrame,
-                       edges: DataFrame) -> DataFrame:
-    """Attach the norm of the half-hour and the levels of district, cluster and
-    neighbourhood at the same moment."""
+def _at_one_slot(rows: DataFrame, around: DataFrame, places: DataFrame, norm: DataFrame,
+                 edges: DataFrame, days_off: DataFrame) -> DataFrame:
+    """The readings of one slot with their norm, the levels around them and the attributes of the
+    station: one row per station on every side."""
     partial = group_means(around, places)
     ts = F.col("ts")
-    return (rows.withColumns({"dow": tf.sunday_weekday(ts), "slot_of_day": tf.slot_of_day(ts)})
-            .join(places.select("station_id", "district", "cluster_id"), "station_id")
+    return (rows.withColumns({**calendar(ts), "day": ts.cast("date")})
+            .join(places, "station_id")
             .join(norm, ["station_id", "dow", "slot_of_day"], "left")
             .join(mean_by(partial, "district", "district_ratio"), ["district", "ts"], "left")
             .join(mean_by(partial, "cluster_id", "cluster_ratio"), ["cluster_id", "ts"], "left")
             .join(neighbour_mean(around, edges).drop("neigh_n"), ["station_id", "ts"], "left")
-            .drop("district", "cluster_id", "dow", "slot_of_day"))
+            .join(days_off.select("day", F.lit(1).alias("is_holiday")), "day", "left"))
+
+
+def _page_context(rows: DataFrame, places: DataFrame, norm: DataFrame, days_off: DataFrame) -> DataFrame:
+    """What all readings of a page share: the station's attributes, its norms by slot of the week,
+    the levels of its district and cluster by slot of the chunk, and the holidays of the chunk."""
+    sums = stage(_group_sums(rows, places), "group_sums")
+    at = F.col("_slot") - F.col("_chunk") * F.lit(CHUNK_SLOTS)
+
+    def levels(key: str, name: str) -> DataFrame:
+        mean = sums.groupBy(key, "_chunk", "_slot").agg((F.sum("s") / F.sum("n")).alias("_m"))
+        return dense(mean, [key, "_chunk"], at, CHUNK_SLOTS, F.col("_m"), name)
+    usual = dense(norm, ["station_id"], F.col("dow") * F.lit(48) + F.col("slot_of_day"), 7 * 48,
+                  F.struct("norm_ratio", "norm_empty_rate", "norm_full_rate"), "_norms")
+    off = days_off.groupBy(F.floor(F.unix_date("day") * F.lit(48) / F.lit(CHUNK_SLOTS)).alias("_chunk")).agg(
+        F.collect_set("day").alias("_off"))
+    return (pages_of(rows, places).join(levels("district", "_district"), ["district", "_chunk"], "left")
+            .join(levels("cluster_id", "_cluster"), ["cluster_id", "_chunk"], "left")
+            .join(usual, "station_id", "left").join(off, "_chunk", "left"))
+
+
+def _over_pages(seen: DataFrame, places: DataFrame, norm: DataFrame, edges: DataFrame,
+                days_off: DataFrame, spec: Spec) -> DataFrame:
+    """Every reading with its time features and all that surrounds it.
+
+    The readings are written once in buckets of (station, chunk) with the rows that
+    frames reach over the edge. Windows, group sums, the neighbours' readings and the
+    joins all read them there; nothing moves them again.
+    """
+    pages = stage_bucketed(with_halo(seen, tf.slot_index(F.col("ts")), *_reach(spec)), "pages", PAGE)
+    rows = own(pages)
+    context = _page_context(rows, places, norm, days_off)
+    around = _neighbour_mean(rows, edges).select(*PAGE, "_slot", "neigh_ratio")
+    ts = F.col("ts")
+    at = (F.col("_slot") - F.col("_chunk") * F.lit(CHUNK_SLOTS)).cast("int")
+    out = (own(_with_frames(pages, spec)).join(around, [*PAGE, "_slot"], "left").join(context, PAGE)
+           .withColumns({**calendar(ts), "day": ts.cast("date")}))
+    week = F.get("_norms", F.col("dow") * F.lit(48) + F.col("slot_of_day"))
+    return out.withColumns({
+        "district_ratio": F.get("_district", at), "cluster_ratio": F.get("_cluster", at),
+        **{x: week[x] for x in ("norm_ratio", "norm_empty_rate", "norm_full_rate")},
+        "is_holiday": F.coalesce(F.array_contains("_off", F.col("day")), F.lit(False)).cast("int")})
 
 
 def feature_matrix(obs: DataFrame, stations: DataFrame, groups: DataFrame, norm: DataFrame,
@@ -178,37 +237,29 @@ def feature_matrix(obs: DataFrame, stations: DataFrame, groups: DataFrame, norm:
     one slot for scoring (M8). Training and scoring share this definition.
 
     ``groups`` has (station_id, cluster_id). ``keep`` names extra columns of
-    ``obs`` to carry along. ``obs`` is read several times, so stage it.
-
-    All joins with tables that grow meet the narrow readings, before the time
-    windows make 40 more columns of them; the wide rows are never shuffled,
-    they only meet the station list and the holidays.
+    ``obs`` to carry along.
     """
     keep = keep or []
-    places = stage(stations.join(groups, "station_id"), "places")
+    places = stations.join(groups, "station_id").select(
+        "station_id", "district", "district_id", "lon", "lat", "capacity", "cluster_id")
     seen = obs.filter(c.ratio.isNotNull())
     spec = _lag_spec() | _rolling_spec()
     if only_at is None:
-        rows = _over_history(_with_surroundings(seen, seen, places, norm, edges),
-                             (spec | _lead_spec()) if targets else spec)
+        rows = _over_pages(seen, stage(places, "places"), norm, edges, days_off,
+                           (spec | _lead_spec()) if targets else spec)
     else:
         now = seen.filter(F.col("ts") == only_at)
-        rows = _with_surroundings(_at_slot(seen, spec, only_at, keep), now, places, norm, edges)
+        rows = _at_one_slot(_at_slot(seen, spec, only_at, keep), now, places, norm, edges, days_off)
         targets = False
-    ts = F.col("ts")
-    out = (rows.withColumns({**calendar(ts), "day": ts.cast("date")})
-           .join(places.select("station_id", "district_id", "lon", "lat", "capacity", "cluster_id"),
-                 "station_id")
-           .join(days_off.select("day", F.lit(1).alias("is_holiday")), "day", "left"))
     r = c.ratio
     derived = {
         "is_holiday": F.coalesce("is_holiday", F.lit(0)),
         "d1": r - F.col("ratio_lag1"), "d2": r - F.col("ratio_lag2"), "d4": r - F.col("ratio_lag4"),
         "norm_dev": r - F.col("norm_ratio"),
         "neigh_dev": F.col("neigh_ratio") - F.col("district_ratio")}
-    return out.select("station_id", "ts", *keep,
-                      *[derived[x].alias(x) if x in derived else x for x in FEATURES],
-                      *(TARGETS if targets else []))
+    return rows.select("station_id", "ts", *keep,
+                       *[derived[x].alias(x) if x in derived else x for x in FEATURES],
+                       *(TARGETS if targets else []))
 
 
 def complete_targets(features: DataFrame) -> DataFrame:
