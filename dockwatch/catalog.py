@@ -17,7 +17,7 @@ from dockwatch.schemas import LATEST, RAW_KEEP_DAYS, SNAPSHOT
 from dockwatch.session import shared_dir, stage
 from dockwatch.sinks.tables import publish, read_days, read_published
 from dockwatch.sources import fixtures as fx
-from dockwatch.streaming.episodes import episode_stream
+from dockwatch.streaming.episodes import OUT, current, episode_stream
 from dockwatch.streaming.refresh import Store, refresh_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -808,21 +808,22 @@ def stream_latest(d: Data) -> DataFrame:
 
 @query
 def stream_episodes(d: Data) -> DataFrame:
-    """Keyed-state durations over a stream of slot readings, a few days per batch."""
+    """Keyed-state durations over a stream of slot readings that come up to two days late."""
     base = f"{shared_dir(d.spark)}/episodes-{uuid.uuid4().hex}"
     days = d.snaps.withColumn("day", F.col("ts").cast("date"))
     first, last = days.agg(F.min("day"), F.max("day")).first()
-    # Files are picked up by age, so later days must be written later: one
-    # write per third of the span. A station has one file in each of them.
-    third = max(1, ((last - first).days + 3) // 3) if first else 1
+    # Files are picked up by age, so what comes later must be written later: one
+    # write per third of the span. Two of three days come with others, after newer days.
+    third = max(1, ((last - first).days + 5) // 3) if first else 1
+    number = F.datediff("day", F.lit(first))
     for k in range(3) if first else []:
-        part = days.filter(F.floor(F.datediff("day", F.lit(first)) / third) == k)
-        part.repartition(4, "station_id").write.mode("append").parquet(f"{base}/in")
+        part = days.filter(F.floor((number + F.pmod(number * 7 + F.col("station_id"), F.lit(3))) / third) == k)
+        part.drop("day").repartition(4, "station_id").write.mode("append").parquet(f"{base}/in")
     src = d.spark.readStream.schema(SNAPSHOT).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    q = (episode_stream(src).writeStream.format("parquet").option("path", f"{base}/out")
+    q = (episode_stream(src, late_hours=72).writeStream.format("parquet").option("path", f"{base}/out")
          .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    out = d.spark.read.parquet(f"{base}/out")
+    out = current(d.spark.read.schema(OUT).parquet(f"{base}/out"))
     start = F.lit("1970-01-01").cast("timestamp_ntz")
     return out.select("station_id", tf.plus_minutes(
         start + F.make_dt_interval((F.col("slot") / 48).cast("int")), (F.col("slot") % 48) * 30).alias("ts"),

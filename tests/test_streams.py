@@ -124,21 +124,49 @@ def test_episode_state_equals_batch(spark):
     t = dt.datetime(2024, 1, 1)
     rows = [(s, t + dt.timedelta(minutes=30 * i), b, (9 - b) if rng.random() < 0.95 else 0, 9)
             for i in range(150) for s in range(4) if rng.random() < 0.8 for b in [rng.choice([0, 0, 0, 4, 9, 9])]]
+    from dockwatch.functions import timefn as tf
     df = spark.createDataFrame(rows, SNAPSHOT)
     d = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     os.mkdir(f"{d}/in")
     src = spark.readStream.schema(SNAPSHOT).option("maxFilesPerTrigger", 1).parquet(f"{d}/in")
-    for lo in (0, 50, 100):
-        a, b = (F.lit(t + dt.timedelta(minutes=30 * x)).cast("timestamp_ntz") for x in (lo, lo + 50))
-        df.filter((F.col("ts") >= a) & (F.col("ts") < b)).coalesce(1).write.mode("append").parquet(f"{d}/in")
-        q = (ep.episode_stream(src).writeStream.format("parquet").option("path", f"{d}/out")
+    # Six files in shuffled order; a reading comes at most 50 slots after a newer one.
+    part = F.floor((tf.slot_index(F.col("ts")) - tf.slot_index(F.lit(t).cast("timestamp_ntz"))) / 25)
+    for k in (1, 0, 3, 2, 5, 4):
+        df.filter(part == k).coalesce(1).write.mode("append").parquet(f"{d}/in")
+        q = (ep.episode_stream(src, late_hours=48).writeStream.format("parquet").option("path", f"{d}/out")
              .option("checkpointLocation", f"{d}/cp").trigger(availableNow=True).start())
         q.awaitTermination()
-    from dockwatch.functions import timefn as tf
     want = {(r["station_id"], r["s"], r["kind"], r["duration_min"], r["duration_capped"]) for r in
             al.episodes(df).withColumn("s", tf.slot_index(F.col("ts"))).collect()}
-    got = [tuple(r) for r in spark.read.parquet(f"{d}/out").collect()]
+    out = spark.read.schema(ep.OUT).parquet(f"{d}/out")
+    got = [tuple(r) for r in ep.current(out).collect()]
     assert set(got) == want and len(got) == len(want) and len(want) > 100
+    assert out.count() > len(want) and ep.late_counts(out).count() == 0           # some were corrected, none lost
+
+
+class FakeState:
+    def __init__(self):
+        self.exists, self.get = False, None
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+
+def test_episode_state_stays_small_and_says_what_came_too_late():
+    import pandas as pd
+    state, run = FakeState(), ep._advance(8)
+    step = lambda *rows: pd.concat(run((1,), iter([pd.DataFrame(rows, columns=["slot", "bikes", "docks_avail"])]), state))
+    sizes = []
+    for i in range(50):
+        out = step((1000 + 2 * i, 0, 9), (1001 + 2 * i, 0, 9))
+        assert len(out) == 2 and not out.late.any()
+        sizes.append(len(state.get[1]))
+    assert max(sizes) <= 8 + ep.REACH and sizes[-1] == sizes[20]
+    out = step((1097, 4, 5))                                     # a replacement: one word back, two later ones shortened
+    assert out[["slot", "kind", "duration_min", "duration_capped"]].values.tolist() == [
+        [1097, None, 0, False], [1098, "empty", 30, False], [1099, "empty", 60, False]]
+    out = step((1000, 3, 3), (1099, 0, 9))
+    assert out[["slot", "late"]].values.tolist() == [[1000, True]]
 
 
 def test_upsert_latest(spark):
