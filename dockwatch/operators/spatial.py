@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from dockwatch.functions.geo import distance_km
 from dockwatch.operators.ordering import top_per_group
 from dockwatch.schemas import KM_PER_DEGREE
+from dockwatch.session import stage
 
 LEAF = 16            # points of a leaf at most
 FAN_BITS = 2         # a level divides the cell edge by 4
@@ -195,7 +196,8 @@ def candidate_pairs(left: DataFrame, right: DataFrame, k: int, km: float) -> Dat
     """Pairs (left_id, right_id, km) within ``km`` that leave no better partner out; what ``nearest`` ranks."""
     useful = top_per_group(right.select("id", "lat", "lon"), ["lat", "lon"], [F.col("id")], k + 1, "_same").drop("_same")
     a, b = _levels(left.select("id", "lat", "lon"), km), _levels(useful, km)
-    a_boxes, b_boxes = _boxes(a), _boxes(b)
+    # A few narrow rows for each leaf, read by every step below.
+    a_boxes, b_boxes = stage(_boxes(a), "boxes"), stage(_boxes(b), "boxes")
     pairs = _leaf_pairs(a_boxes, b_boxes, k, km)
 
     def members(levels: DataFrame, boxes: DataFrame, prefix: str) -> DataFrame:
@@ -214,8 +216,7 @@ def nearest(left: DataFrame, right: DataFrame, k: int, km: float) -> DataFrame:
 
     Equal distances (to 9 decimals) go to the smaller id. Exact for any layout: at most
     k + 1 right points of one identical place can ever be chosen, so the others are left
-    out, and leaves are dropped by distances no point of them can beat. One plan without
-    a job of its own; the levels reach from ``km`` down to a 65,536th of it.
+    out, and leaves are dropped by distances no point of them can beat. The levels reach from ``km`` down to a 65,536th of it.
     """
     return top_per_group(candidate_pairs(left, right, k, km), ["left_id"],
                          [F.round("km", 9), F.col("right_id")], k)

@@ -8,6 +8,7 @@ from dockwatch.functions.cols import c
 from dockwatch.functions import timefn as tf
 from dockwatch.operators.spatial import nearest
 from dockwatch.schemas import DRAIN_TARGET, FILL_TARGET, MIN_MOVE
+from dockwatch.session import stage
 
 
 def _at(forecast: DataFrame, horizon: int, district: str | None) -> DataFrame:
@@ -89,8 +90,9 @@ def dispatch(forecast: DataFrame, stations: DataFrame, horizon: int = 60,
     is limited to a district; one giver may serve several tasks.
     """
     places = stations.select("station_id", "lon", "lat")
-    f = (forecast.filter(F.col("horizon") == F.lit(horizon))
-         .filter(F.col("watch_empty") | F.col("watch_full")).join(places, "station_id"))
+    # One row per station; read by both sides of the match and by each level of its search.
+    f = stage(forecast.filter(F.col("horizon") == F.lit(horizon))
+              .filter(F.col("watch_empty") | F.col("watch_full")).join(places, "station_id"), "at_risk")
     total, pred = F.col("docks_total"), F.col("pred_bikes")
     need = f.filter("watch_empty")
     if district is not None:

@@ -45,6 +45,17 @@ def export_months(snapshots: DataFrame, root: str) -> int:
         .option("compression", "zstd").partitionBy("month").parquet(root)))
 
 
+def children(spark: SparkSession, root: str, pattern: str) -> list[str]:
+    """Names in a folder that match a pattern; none if there is no such folder."""
+    fs, path = _fs(spark, f"{root}/{pattern}")
+    return [s.getPath().getName() for s in fs.globStatus(path) or []]
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
 def _flip(spark: SparkSession, root: str, text: str) -> None:
     """Replace the pointer file in one rename."""
     fs, path = _fs(spark, f"{root}/{POINTER}-{uuid.uuid4().hex}")
@@ -81,7 +92,8 @@ def publish(df: DataFrame, root: str) -> int:
     return n
 
 
-def publish_days(df: DataFrame, root: str, keep_days: int | None = None, now: str | None = None) -> int:
+def publish_days(df: DataFrame, root: str, keep_days: int | None = None, now: str | None = None,
+                 spread: str = "station_id") -> int:
     """Replace only the days present in ``df`` (column ``day``), all at once (B2).
 
     The pointer lists one version per day, so untouched days are neither read
@@ -90,7 +102,7 @@ def publish_days(df: DataFrame, root: str, keep_days: int | None = None, now: st
     """
     spark = df.sparkSession
     version = f"v-{uuid.uuid4().hex}"
-    n = write_counted(df.repartition("day", F.pmod(F.xxhash64("station_id"), F.lit(8))), lambda d: (
+    n = write_counted(df.repartition("day", F.pmod(F.xxhash64(spread), F.lit(8))), lambda d: (
         d.write.option("compression", "zstd").partitionBy("day").parquet(f"{root}/{version}")))
     fs, pattern = _fs(spark, f"{root}/{version}/day=*")
     current = dict(line.split(" ") for line in _pointer(spark, root))
@@ -107,9 +119,12 @@ def _day(now: str | None) -> dt.date:
     return dt.date.fromisoformat(now[:10]) if now else dt.date.today()
 
 
-def read_days(spark: SparkSession, root: str, schema: T.StructType, newest: int | None = None) -> DataFrame:
-    """The published days as one table, or only the newest few."""
+def read_days(spark: SparkSession, root: str, schema: T.StructType, newest: int | None = None,
+              upto: str | None = None) -> DataFrame:
+    """The published days as one table, or only the newest few, none of them after ``upto`` (a date)."""
     lines = [line.split(" ") for line in _pointer(spark, root)]
+    if upto is not None:
+        lines = [x for x in lines if x[0] <= upto[:10]]
     if newest is not None:
         lines = lines[-newest:]
     if not lines:
@@ -169,24 +184,6 @@ def write_report(report: DataFrame, path: str) -> None:
     report.select(tx.as_json(*report.columns).alias("value")).write.mode("overwrite").text(path)
 
 
-def append_notifications(events: DataFrame, root: str, received_at: Column | None = None) -> None:
-    """Add events to the notification log."""
-    at = F.current_timestamp() if received_at is None else received_at
-    events.withColumn("received_at", at).write.mode("append").parquet(root)
-
-
-def notification_log(spark: SparkSession, root: str, limit: int = 30) -> DataFrame:
-    """Newest notifications first."""
-    return (spark.read.parquet(root)
-            .orderBy(F.desc("received_at"), F.desc("ts"), "station_id").limit(limit))
-
-
-def compact_notifications(spark: SparkSession, root: str, target: str, keep: int | None = None) -> int:
-    """Publish the log as one table, or only its newest ``keep`` rows if asked for."""
-    log = spark.read.parquet(root) if keep is None else notification_log(spark, root, keep)
-    return publish(log, target)
-
-
 def drop_expired_days(spark: SparkSession, root: str, now: str, days: int = RAW_KEEP_DAYS) -> int:
     """Delete day=yyyy-MM-dd partitions older than ``days`` before ``now``."""
     edge = _day(now) - dt.timedelta(days=days)
@@ -202,21 +199,41 @@ def drop_expired_days(spark: SparkSession, root: str, now: str, days: int = RAW_
     return gone
 
 
-def backfill(rows: DataFrame, day_column: str, root: str, ledger: str) -> int:
-    """Write only the days the ledger does not list, then list them.
+LEDGER = "day date, n long"
+
+
+def backfill(rows: DataFrame, day_column: str, root: str, ledger: str, days: list[str] | None = None) -> int:
+    """Write only the days the ledger does not list, then list them with their number of rows.
 
-    A day is replaced as a whole, so a run that died before the ledger entry
-    is simply repeated. Listed are the days of this write and no others: what a
-    dead run left in the target is not looked at.
+    ``days`` are the days that were asked for: one without rows is listed too, with 0, and
+    not asked for again. Without it the days of the rows are meant. A day is replaced as a
+    whole, so a run that died before the ledger entry is simply repeated; what a dead run
+    left in the target is not looked at.
     """
     spark = rows.sparkSession
-    fs, path = _fs(spark, ledger)
     todo = rows
-    if fs.exists(path):
-        todo = rows.join(spark.read.parquet(ledger).select(day_column), day_column, "left_anti")
-    todo = stage(todo, "backfill")
+    if days is not None:
+        todo = todo.filter(F.col(day_column).cast("string").isin(days))
+    done = read_ledger(spark, ledger)
+    todo = stage(todo.join(done.select(F.col("day").alias(day_column)), day_column, "left_anti"), "backfill")
     n = write_counted(todo, lambda d: (
         d.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(day_column).parquet(root)))
-    todo.select(day_column).distinct().write.mode("append").parquet(ledger)
+    entries = todo.groupBy(F.col(day_column).cast("date").alias("day")).agg(F.count("*").alias("n"))
+    if days is not None:
+        asked = spark.createDataFrame([(d,) for d in days], "day string").select(F.col("day").cast("date")).distinct()
+        entries = asked.join(entries, "day", "left").join(done, "day", "left_anti").select(
+            "day", F.coalesce("n", F.lit(0)).alias("n"))
+    entries.coalesce(1).write.mode("append").parquet(ledger)
     return n
+
+
+def read_ledger(spark: SparkSession, ledger: str) -> DataFrame:
+    fs, path = _fs(spark, ledger)
+    return spark.read.schema(LEDGER).parquet(ledger) if fs.exists(path) else spark.createDataFrame([], LEDGER)
+
+
+def missing_days(spark: SparkSession, ledger: str, days: list[str]) -> list[str]:
+    """Which of ``days`` are still to be fetched."""
+    have = {str(r[0]) for r in read_ledger(spark, ledger).select("day").collect()}
+    return [d for d in days if d not in have]

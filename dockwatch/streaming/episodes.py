@@ -58,10 +58,11 @@ def _advance(late: int) -> Callable:
             seq, *lists = state.get
             old = tuple(np.array(x, np.int64) for x in lists)
         fresh = np.concatenate([p[["slot", "bikes", "docks_avail"]].to_numpy(np.int64) for p in chunks])
-        newest = max(fresh[:, 0].max(), old[0].max(initial=0))
-        # Older than this a reading has lost the readings around it.
-        shut = fresh[fresh[:, 0] <= newest - late]
-        now = merged(old, fresh[fresh[:, 0] > newest - late])
+        # Older than this a reading has lost the readings around it; what came with it does not count.
+        edge = old[0].max() - late if len(old[0]) else np.iinfo(np.int64).min
+        shut = fresh[fresh[:, 0] <= edge]
+        now = merged(old, fresh[fresh[:, 0] > edge])
+        newest = now[0].max()
         was, is_ = durations(*old), durations(*now)
         at = np.searchsorted(old[0], now[0])
         known = np.zeros(len(now[0]), bool)
@@ -73,7 +74,7 @@ def _advance(late: int) -> Callable:
         told = np.zeros(len(now[0]), bool)
         told[known] = was[0][at[known]] > 0
         # What lies before the oldest reading that may still come has been settled.
-        out = ~same & ((is_[0] > 0) | told) & (now[0] > newest - late)
+        out = ~same & ((is_[0] > 0) | told) & (now[0] > edge)
         seq += 1
         kind, minutes, capped = (x[out] for x in is_)
         yield pd.DataFrame({

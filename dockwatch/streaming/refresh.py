@@ -11,19 +11,22 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from dockwatch.functions import timefn as tf
+from dockwatch.functions import textfn as tx, timefn as tf
 from dockwatch.operators.dedupe import last_per_slot, latest_records
 from dockwatch.operators.ordering import numbered
 from dockwatch.plans import alerts as al, history as hi
 from dockwatch.schemas import (LATEST, NEW_STATION_BASE, RAW_KEEP_DAYS, RAW_SNAPSHOT, SNAPSHOT,
                                STATION)
 from dockwatch.session import stage
-from dockwatch.sinks.tables import drop_expired_days, publish, publish_days, read_days, read_published
-from dockwatch.sources.files import parquet_or_empty
+from dockwatch.sinks.log import FOLD_EVERY, fold, open_epochs, read_log, write_epoch
+from dockwatch.sinks.notifications import append_notifications, fold_notifications
+from dockwatch.sinks.tables import (drop_expired_days, drop_path, publish, publish_days, read_days,
+                                    read_published)
 from dockwatch.streaming.ingest import landed_files, typed
 
 COUNTS = ("bikes", "docks_avail", "docks_total")
@@ -69,28 +72,49 @@ def latest(raw: DataFrame) -> DataFrame:
     return won.withColumns({x: F.col(x).cast("short") for x in COUNTS}).select(*cols)
 
 
+_SEEN = "station_id long, level string"
+REJECT = T.StructType([T.StructField("reason", T.StringType()), T.StructField("record", T.StringType())])
+
+
 def _seen_before(spark: SparkSession, store: Store, epoch: int) -> DataFrame | None:
     """Alert levels kept by the newest earlier round, None if there was none."""
-    seen = parquet_or_empty(spark, store.at("seen"), _SEEN).filter(F.col("epoch") < epoch)
-    last = seen.agg(F.max("epoch")).first()[0]
+    last = max((e for e in open_epochs(spark, store.at("seen")) if e < epoch), default=None)
     if last is None:
         return None
-    return seen.filter((F.col("epoch") == last) & F.col("station_id").isNotNull()).select(
-        "station_id", "level")
-
-
-_SEEN = "station_id long, level string, epoch int"
+    return spark.read.schema(_SEEN).parquet(f"{store.at('seen')}/epoch={last}")
 
 
 def notify(alert_rows: DataFrame, epoch: int, store: Store) -> None:
-    """Log what rose since the round before and keep this round's levels (K6)."""
-    events, state = al.escalations(alert_rows, _seen_before(alert_rows.sparkSession, store, epoch))
-    events.write.mode("overwrite").parquet(f"{store.at('events')}/epoch={epoch}")
-    # The marker row tells an empty round from no round at all.
+    """Log what rose since the round before and keep this round's levels (K6).
+
+    Only the levels of the round before are ever read, so older ones go.
+    """
     spark = alert_rows.sparkSession
-    marker = spark.range(1).select(F.lit(None).cast("long").alias("station_id"),
-                                   F.lit(None).cast("string").alias("level"))
-    state.unionByName(marker).write.mode("overwrite").parquet(f"{store.at('seen')}/epoch={epoch}")
+    before = _seen_before(spark, store, epoch)
+    events, state = al.escalations(alert_rows, before)
+    append_notifications(events, store.at("events"), epoch)
+    state.write.mode("overwrite").parquet(f"{store.at('seen')}/epoch={epoch}")
+    for old in [e for e in open_epochs(spark, store.at("seen")) if e < epoch][:-1]:
+        drop_path(spark, f"{store.at('seen')}/epoch={old}")
+    fold_notifications(spark, store.at("events"), FOLD_EVERY)
+
+
+def reject(spark: SparkSession, parts: dict[str, DataFrame], epoch: int, store: Store, today: str) -> None:
+    """Keep what does not count, with the reason: unreadable, ahead of the clock, or too late."""
+    rows = [df.select(F.lit(why).alias("reason"), tx.as_json(*df.columns).alias("record"),
+                      F.lit(today[:10]).cast("date").alias("day")) for why, df in parts.items()]
+    write_epoch(reduce(DataFrame.unionByName, rows), store.at("rejects"), epoch)
+    fold(spark, store.at("rejects"), REJECT, FOLD_EVERY)
+
+
+def rejected(spark: SparkSession, store: Store) -> DataFrame:
+    """reason, record, day and epoch of everything that did not count."""
+    return read_log(spark, store.at("rejects"), REJECT)
+
+
+def reject_counts(spark: SparkSession, store: Store) -> DataFrame:
+    """How many records of each batch did not count, by reason."""
+    return rejected(spark, store).groupBy("epoch", "reason").agg(F.count("*").alias("n"))
 
 
 def refresh_batch(store: Store, prefix: str = "", fixes: dict[str, str] | None = None,
@@ -99,17 +123,25 @@ def refresh_batch(store: Store, prefix: str = "", fixes: dict[str, str] | None =
                   now: str | None = None) -> Callable[[DataFrame, int], None]:
     """The work of one micro-batch; ``after`` can add scoring (K9).
 
-    Retention and the rejection of readings from the future go by ``now`` (the
-    clock if none is given), never by the newest reading.
+    Retention and the rejection of readings from the future go by ``now`` (the clock if
+    none is given), never by the newest reading. A reading may run ahead by a day of
+    grace, for zones; but what counts as the newest slot never lies after ``now``, so a
+    clock that runs ahead hides no other station.
     """
 
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         today = now or dt.date.today().isoformat()
-        # A day of grace for clocks that run ahead and for zones.
-        ahead = (dt.date.fromisoformat(today[:10]) + dt.timedelta(days=2)).isoformat()
-        ok, bad = typed(batch, prefix, fixes, ahead)
-        bad.write.mode("overwrite").parquet(f"{store.at('rejects')}/epoch={epoch}")
+        day = dt.date.fromisoformat(today[:10])
+        ok, bad = typed(batch, prefix, fixes)
+        ahead = F.col("fetched_at") >= F.lit((day + dt.timedelta(days=2)).isoformat()).cast("timestamp_ntz")
+        parts = {"unreadable": bad, "ahead": ok.filter(ahead)}
+        ok = ok.filter(~ahead)
+        if keep_days is not None:
+            old = F.col("fetched_at").cast("date") < F.lit((day - dt.timedelta(days=keep_days)).isoformat()).cast("date")
+            parts["late"] = ok.filter(old)
+            ok = ok.filter(~old)
+        reject(spark, parts, epoch, store, today)
         registry = read_published(spark, store.at("registry"), STATION)
         rows = with_station_ids(ok, registry).withColumn("ts", tf.slot_start(F.col("fetched_at")))
         rows = stage(rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name)
@@ -126,11 +158,13 @@ def refresh_batch(store: Store, prefix: str = "", fixes: dict[str, str] | None =
                      keep_days, today)
         if keep_days is not None:
             drop_expired_days(spark, store.at("raw"), today, keep_days)              # B9
-        old = read_published(spark, store.at("latest"), LATEST)
-        publish(latest(old.unionByName(rows.select(*old.columns))), store.at("latest"))
+        old_latest = read_published(spark, store.at("latest"), LATEST)
+        publish(latest(old_latest.unionByName(rows.select(*old_latest.columns))), store.at("latest"))
         stations = read_published(spark, store.at("registry"), STATION)
         # Two days always hold the six hours that alerts look back.
-        lately = read_days(spark, store.at("recent"), SNAPSHOT, newest=2)
+        lately = read_days(spark, store.at("recent"), SNAPSHOT, newest=2, upto=today)
+        if len(today) > 10:
+            lately = lately.filter(F.col("ts") <= F.lit(today).cast("timestamp_ntz"))
         raised = stage(al.alerts(lately, stations), "alerts")
         publish(raised, store.at("alerts"))
         notify(raised, epoch, store)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from dockwatch.plans import alerts as al, serve as sv
 from dockwatch.schemas import SNAPSHOT, STATION
-from dockwatch.sinks import tables as tb
+from dockwatch.sinks import notifications as nt, tables as tb
 from dockwatch.sources import files as fi
 
 
@@ -95,15 +95,30 @@ def test_retention(spark):
     assert sorted(r["v"] for r in spark.read.parquet(root).collect()) == [10, 20]
 
 
-def test_notification_log(spark):
+def test_backfill_books_days_without_rows(spark):
     root = fresh()
+    rows = spark.createDataFrame([(dt.date(2024, 1, d), d) for d in (1, 2, 9)], "day date, v int")
+    days = ["2024-01-01", "2024-01-02", "2024-01-03"]
+    assert tb.missing_days(spark, root + "/done", days) == days
+    assert tb.backfill(rows, "day", root + "/t", root + "/done", days) == 2
+    assert {(str(r["day"]), r["n"]) for r in tb.read_ledger(spark, root + "/done").collect()} == {
+        ("2024-01-01", 1), ("2024-01-02", 1), ("2024-01-03", 0)}
+    assert tb.missing_days(spark, root + "/done", days) == []
+    assert tb.backfill(rows, "day", root + "/t", root + "/done", days) == 0
+    assert tb.read_ledger(spark, root + "/done").count() == 3
+
+
+def test_notification_log(spark):
+    root = fresh() + "/log"
     for i in range(3):
         ev = spark.createDataFrame([(s, dt.datetime(2024, 1, 1, i)) for s in range(4)], "station_id long, ts timestamp_ntz")
-        tb.append_notifications(ev, root + "/log", F.lit(dt.datetime(2024, 1, 1, i)))
-    newest = tb.notification_log(spark, root + "/log", 5).collect()
+        nt.append_notifications(ev, root, i, F.lit(dt.datetime(2024, 1, 1, i)).cast("timestamp_ntz"))
+    newest = nt.notification_log(spark, root, 5).collect()
     assert [r["ts"].hour for r in newest] == [2, 2, 2, 2, 1]
-    assert tb.compact_notifications(spark, root + "/log", root + "/kept", 6) == 6
-    assert tb.compact_notifications(spark, root + "/log", root + "/whole") == 12
+    assert nt.fold_notifications(spark, root) == 3 and nt.notification_log(spark, root).count() == 12
+    nt.append_notifications(ev, root, 2, F.lit(dt.datetime(2024, 1, 1, 2)).cast("timestamp_ntz"))     # the round once more
+    assert nt.notification_log(spark, root).count() == 12
+    assert nt.fold_notifications(spark, root, 1, 1, "2024-01-09") == 1 and nt.notification_log(spark, root).count() == 0
 
 
 def test_report_and_tables(spark):

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from dockwatch.plans import alerts as al, serve as sv
 from dockwatch.schemas import LATEST, SNAPSHOT, STATION
+from dockwatch.sinks import notifications as nt
+from dockwatch.sinks.log import fold, open_epochs, read_log, write_epoch
 from dockwatch.sinks.tables import publish, read_days, read_published
 from dockwatch.streaming import episodes as ep, ingest as ing, refresh as rf
 
@@ -44,7 +46,7 @@ def test_refresh_over_time(spark):
 
     def events():
         return {(r["station_id"], r["level"], r["prev_level"], r["epoch"])
-                for r in spark.read.parquet(store.at("events")).collect()}
+                for r in read_log(spark, store.at("events"), nt.NOTIFICATION).collect()}
 
     drop(src, "20240101T0000", [record("A", 0, 9), record("C", 4, 5), record("B", 4, 5), record("", 1, 1),
                                 record("X", "many", 2)])
@@ -52,7 +54,7 @@ def test_refresh_over_time(spark):
     reg = {r["name"]: r["station_id"] for r in read_published(spark, store.at("registry"), STATION).collect()}
     assert reg == {"A": 7, "B": 900000, "C": 900001}
     assert events() == set()                                   # the first round only records
-    assert spark.read.parquet(store.at("rejects")).count() == 2
+    assert {(r["epoch"], r["reason"], r["n"]) for r in rf.reject_counts(spark, store).collect()} == {(0, "unreadable", 2)}
 
     drop(src, "20240101T0040", [record("A", 0, 9), record("C", 0, 9), record("B", 4, 5, lon="0")])
     run(spark, src, store)                                     # a restart from the checkpoint
@@ -80,6 +82,45 @@ def test_refresh_over_time(spark):
     assert {(r["station_id"], r["level"]) for r in spark.read.parquet(store.at("seen")).filter("epoch = 3 AND level IS NOT NULL").collect()} == kept
 
 
+def test_clocks_ahead_and_late_files(spark):
+    """A reading a day ahead hides no alert; what is too old or too far ahead is listed with its reason."""
+    store = rf.Store(tempfile.mkdtemp(prefix="run-", dir="/tmp") + "/store")
+    publish(known(spark), store.at("registry"))
+
+    def batch(epoch, *rows):
+        df = spark.read.schema(ing.LANDED).json(spark.sparkContext.parallelize(
+            [json.dumps(record(*r[1:]) | {"fetched_at": r[0]}) for r in rows]))
+        rf.refresh_batch(store, "P_", keep_days=3, now="2024-01-05")(df, epoch)
+        return {r["station_id"] for r in read_published(spark, store.at("alerts"), spark.read.parquet(
+            f"{store.at('alerts')}/v-*").schema).collect()}
+    assert batch(0, ("2024-01-05 09:00:00", "A", 0, 9), ("2024-01-04 23:00:00", "A", 0, 9)) == {7}
+    assert batch(1, ("2024-01-06 09:00:00", "B", 4, 5), ("2024-01-05 09:30:00", "A", 0, 9)) == {7}
+    assert batch(2, ("2024-01-01 09:00:00", "C", 4, 5), ("2024-01-09 09:00:00", "A", 4, 5), ("never", "A", 4, 5),
+                 ("2024-01-05 10:00:00", "A", 0, 9)) == {7}
+    assert {(r["epoch"], r["reason"], r["n"]) for r in rf.reject_counts(spark, store).collect()} == {
+        (2, "late", 1), (2, "ahead", 1), (2, "unreadable", 1)}
+    assert {json.loads(r["record"])["name"] for r in rf.rejected(spark, store).filter("reason = 'late'").collect()} == {"C"}
+
+
+def test_log_is_folded_and_repeats_change_nothing(spark):
+    root = tempfile.mkdtemp(prefix="run-", dir="/tmp") + "/log"
+    schema = spark.createDataFrame([], "v int").schema
+
+    def write(epoch, n):
+        write_epoch(spark.range(n).select(F.col("id").cast("int").alias("v"), F.lit(f"2024-01-0{1 + epoch // 5}").cast(
+            "date").alias("day")).coalesce(1), root, epoch)
+        fold(spark, root, schema, every=4)
+    for e in range(11):
+        write(e, e % 3)
+        assert len(open_epochs(spark, root)) < 4
+    whole = sorted((r["epoch"], r["v"]) for r in read_log(spark, root, schema).collect())
+    assert whole == sorted((e, v) for e in range(11) for v in range(e % 3))
+    write_epoch(spark.createDataFrame([(9, dt.date(2024, 1, 1))], "v int, day date"), root, 2)       # an old batch once more
+    assert sorted(r["v"] for r in read_log(spark, root, schema).filter("epoch = 2").collect()) == [9]
+    fold(spark, root, schema, every=1)
+    assert open_epochs(spark, root) == [] and read_log(spark, root, schema).count() == len(whole) - 1
+
+
 def test_scoring_runs_after_a_batch(spark):
     d = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     src, store, seen = d + "/in", rf.Store(d + "/store"), []
