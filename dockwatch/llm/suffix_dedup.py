@@ -139,7 +139,8 @@ def _chunk(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...] | Non
     count = np.minimum(np.append(start[1:], m), stop[text]) - start
     sums = np.concatenate([[U(0)], np.cumsum(h * _UP[:size], dtype=np.uint64)])
     seg = _mixed((sums[start + count + WINDOW - 1] - sums[start]) * _DOWN[start] + count.astype(np.uint64))
-    return start + lo, count, anchor[start] & _KEPT, seg
+    # The smallest hashes are small numbers: mixed once more, they spread evenly over receivers.
+    return start + lo, count, _mixed(anchor[start]) & _KEPT, seg
 
 
 def segments(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
