@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Callable
 from functools import cached_property
@@ -12,7 +13,7 @@ from dockwatch.functions import status as st, textfn as tx, timefn as tf
 from dockwatch.operators import series
 from dockwatch.plans import (alerts as al, evaluate as ev, features as fe, forecasts as fc, learn as le,
                              history as hi, policy as po, profiles as pr, reports as rp, scoring as sc,
-                             serve as sv, shapes as sh)
+                             serve as sv, served as sd, shapes as sh)
 from dockwatch.schemas import LATEST, RAW_KEEP_DAYS, SNAPSHOT
 from dockwatch.session import shared_dir, stage
 from dockwatch.sinks.tables import publish, read_days, read_published
@@ -23,7 +24,6 @@ from dockwatch.streaming.refresh import Store, refresh_stream
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 PLANS: dict[str, Callable[["Data"], DataFrame]] = {}     # the same on prepared tables
-TRAIN_END = "2024-01-21"
 AS_OF = "2024-01-20 12:00:00"
 
 
@@ -84,6 +84,11 @@ class Data:
         self.stations = stage(self.stations, "stations")
         self.obs = stage(self.obs, "obs")
 
+    @cached_property
+    def train_end(self) -> str:
+        """The first day after the training days."""
+        return fx.split_days(self.spark, self.dir)["valid"][0]
+
     @cached_property
     def groups(self) -> DataFrame:
         """Stand-in for fitted clusters that every engine can compute."""
@@ -94,7 +99,7 @@ class Data:
     def features(self) -> DataFrame:
         self.stage_inputs()
         return fe.feature_matrix(
-            self.obs, self.model_stations, self.groups, pr.norms(self.obs, TRAIN_END),
+            self.obs, self.model_stations, self.groups, pr.norms(self.obs, self.train_end),
             fe.neighbours(self.model_stations), sh.holidays(self.obs), keep=["docks_avail"])
 
     @cached_property
@@ -477,7 +482,7 @@ def rolling(d: Data) -> DataFrame:
 
 @query
 def norms(d: Data) -> DataFrame:
-    return r6(pr.norms(d.obs, TRAIN_END), "norm_ratio", "norm_empty_rate", "norm_full_rate")
+    return r6(pr.norms(d.obs, d.train_end), "norm_ratio", "norm_empty_rate", "norm_full_rate")
 
 
 @query
@@ -516,7 +521,7 @@ def shape_z(d: Data) -> DataFrame:
 
 @query
 def shape_fill(d: Data) -> DataFrame:
-    return r6(sh.station_shapes(d.obs, TRAIN_END).select("station_id", "bucket", "level", "z"),
+    return r6(sh.station_shapes(d.obs, d.train_end).select("station_id", "bucket", "level", "z"),
               "level", "z")
 
 
@@ -716,6 +721,36 @@ def dispatch(d: Data) -> DataFrame:
     return fc.dispatch(d.forecast, d.stations, 60, max_km=1.2)
 
 
+@query
+def alerts_served(d: Data) -> DataFrame:
+    """The stored alerts are half an hour too old, so they are computed again."""
+    root = f"{shared_dir(d.spark)}/served-{uuid.uuid4().hex}"
+    early = "2024-01-20 11:30:00"
+    sd.publish_at(al.alerts(d.snaps, d.stations, early), root, F.lit(early))
+    return _plain_alerts(sd.alerts_served(root, d.snaps, d.stations, AS_OF, since=dt.datetime.fromisoformat(AS_OF)))
+
+
+@query
+def dispatch_served(d: Data) -> DataFrame:
+    """Tasks from a stored forecast, and by the rule where none is stored."""
+    root = f"{shared_dir(d.spark)}/served-{uuid.uuid4().hex}"
+    sd.publish_at(d.forecast, f"{root}/forecast", F.lit(AS_OF))
+
+    def live() -> DataFrame:
+        return al.alerts(d.snaps, d.stations, AS_OF)
+    return sd.dispatch_served(f"{root}/forecast", d.stations, live, max_km=1.2).unionByName(
+        sd.dispatch_served(f"{root}/none", d.stations, live, max_km=1.2))
+
+
+@query
+def forecast_meta(d: Data) -> DataFrame:
+    judged = stage(d.scored_targets, "judged")
+    flat = {(k, h): fx.WATCH_THRESHOLD for k in ("empty", "full") for h in fe.HORIZONS}
+    root = f"{shared_dir(d.spark)}/report-{uuid.uuid4().hex}"
+    publish(rp.backtest_metrics(judged, _span(judged), flat), root)
+    return sd.forecast_meta(d.forecast, sd.model_report(d.spark, root)).drop("horizons")
+
+
 @query
 def dispatch_totals(d: Data) -> DataFrame:
     return fc.dispatch_totals(fc.dispatch(d.forecast, d.stations, 60, max_km=1.2))
@@ -734,7 +769,7 @@ def _trained(d: Data):
 
 @query
 def clusters(d: Data) -> DataFrame:
-    return sh.clusters(stage(d.obs, "obs"), TRAIN_END)
+    return sh.clusters(stage(d.obs, "obs"), d.train_end)
 
 
 @query
@@ -742,11 +777,20 @@ def scored_forecast(d: Data) -> DataFrame:
     """Train, then score every station's newest slot from bridged readings."""
     _, m = _trained(d)
     live = sc.live_features(d.snaps, d.snaps, d.model_stations, d.groups,
-                            pr.norms(d.obs, TRAIN_END), fe.neighbours(d.model_stations),
+                            pr.norms(d.obs, d.train_end), fe.neighbours(d.model_stations),
                             sh.holidays(d.obs))
     return le.forecast_table(m, live)
 
 
+@query
+def band_table(d: Data) -> DataFrame:
+    """Bands of the closed-form forecast, from the residuals of the validation days."""
+    first, last = fx.split_days(d.spark, d.dir)["valid"]
+    day = F.col("ts").cast("date").cast("string")
+    counts = stage(le.residual_counts(d.scored_targets.filter(day.between(first, last))), "residuals")
+    return r6(le.conformal_bands(counts, least=50), "lo_shift", "hi_shift")
+
+
 @query
 def conformal_interval(d: Data) -> DataFrame:
     f, m = _trained(d)

@@ -2,7 +2,7 @@
 
 Boosted trees per horizon: one for the level, one each for empty and full.
 MLlib trees have no quantile objective, so the band comes from the residuals
-of the validation split (split conformal regression).
+of held-out rows, per horizon and fill of the station (split conformal regression).
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ class Models:
     levels: dict[int, PipelineModel] = field(default_factory=dict)
     events: dict[tuple[str, int], PipelineModel] = field(default_factory=dict)
     thresholds: dict[tuple[str, int], float] = field(default_factory=dict)
-    bands: DataFrame | None = None      # (horizon, lo_shift, hi_shift)
+    bands: DataFrame | None = None      # (horizon, grp, n, lo_shift, hi_shift)
 
 
 def hash_sample(df: DataFrame, share: float, seed: int = SEED) -> DataFrame:
@@ -62,14 +62,23 @@ def hash_sample(df: DataFrame, share: float, seed: int = SEED) -> DataFrame:
 def model_frame(features: DataFrame) -> DataFrame:
     """Model inputs as floats; unknown numbers get a value no real one has.
 
-    Category codes pass through unchanged: their domains are fixed numbers,
-    nothing is fitted to the values that happen to be present.
+    Category codes keep their numbers: their domains are fixed, nothing is fitted to the
+    values that happen to be present. A code outside its domain, or none, is the one code
+    after the last, so trees can be asked about it. The columns carry the domains, which
+    makes the trees split them by sets of codes and not by order.
     """
-    cast = {}
-    for x in FEATURES:
-        known = F.coalesce(F.col(x).cast("double"), F.lit(MISSING))
-        cast[x] = F.greatest(known, F.lit(0.0)) if x in CATEGORICAL else known
-    return features.withColumns(cast)
+    out = features.withColumns({
+        x: F.coalesce(F.col(x).cast("float"), F.lit(MISSING).cast("float")) for x in FEATURES if x not in CATEGORICAL})
+    codes = {x: F.when((F.col(x) >= 0) & (F.col(x) < n), F.col(x)).otherwise(F.lit(n)).cast("float")
+             for x, n in CATEGORICAL.items()}
+    return out.withColumns(codes)
+
+
+def _with_domains(rows: DataFrame) -> DataFrame:
+    """The same columns with the attributes that the assembler passes on to the trees."""
+    return rows.select(*[
+        F.col(x).alias(x, metadata={"ml_attr": {"type": "nominal", "name": x, "vals": [str(i) for i in range(n + 1)]}})
+        if (n := CATEGORICAL.get(x)) else F.col(x) for x in rows.columns])
 
 
 def _assembler() -> VectorAssembler:
@@ -81,7 +90,7 @@ def _fit(rows: DataFrame, valid: DataFrame, label: Column, estimator) -> Pipelin
     a = rows.select(*FEATURES, label.alias("label"), F.lit(False).alias("held_out"))
     b = valid.select(*FEATURES, label.alias("label"), F.lit(True).alias("held_out"))
     est = estimator.setFeaturesCol("inputs").setLabelCol("label").setValidationIndicatorCol("held_out")
-    return Pipeline(stages=[_assembler(), est]).fit(a.unionByName(b))
+    return Pipeline(stages=[_assembler(), est]).fit(_with_domains(a.unionByName(b)))
 
 
 def _tree(cls, s: Settings, **more):
@@ -91,10 +100,16 @@ def _tree(cls, s: Settings, **more):
 
 
 def train(train_rows: DataFrame, valid_rows: DataFrame, s: Settings | None = None) -> Models:
-    """Four level models and eight event models, thresholds and bands."""
+    """Four level models and eight event models, thresholds and bands.
+
+    One half of the validation rows stops the boosting and chooses thresholds, the other,
+    which no choice has seen, sets the bands.
+    """
     s = s or Settings()
     tr = stage(model_frame(hash_sample(train_rows, s.train_share, s.seed)), "train_rows")
-    va = stage(model_frame(valid_rows), "valid_rows")
+    half = F.pmod(F.xxhash64(F.lit(s.seed), F.lit("bands"), "station_id", "ts"), F.lit(2))
+    va = stage(model_frame(valid_rows.filter(half == 0)), "valid_rows")
+    own = model_frame(valid_rows.filter(half == 1))
     m = Models()
     for h in HORIZONS:
         m.levels[h] = _fit(tr, va, F.col(f"y_ratio_{h}"),
@@ -106,7 +121,7 @@ def train(train_rows: DataFrame, valid_rows: DataFrame, s: Settings | None = Non
     judged = stage(judge(m, va), "judged")
     best = ev.best_threshold(scored_rows(judged)).select("horizon", "kind", "threshold").collect()
     m.thresholds = {(r["kind"], r["horizon"]): r["threshold"] for r in best}   # at most 8 rows
-    m.bands = stage(conformal_bands(judged), "bands")
+    m.bands = stage(conformal_bands(residual_counts(judge(m, own))), "bands")
     return m
 
 
@@ -141,25 +156,50 @@ def scored_rows(judged: DataFrame) -> DataFrame:
     return ev.scored(judged)
 
 
-def conformal_bands(judged: DataFrame, lo: float = 0.1, hi: float = 0.9) -> DataFrame:
-    """Residual quantiles per horizon on held-out rows.
+#: Steps of a residual histogram for one unit of the ratio.
+STEPS = 10_000
+#: A group with fewer held-out rows takes the band of its horizon.
+MIN_BAND_ROWS = 200
+
 
-    Residuals are put on a raster of 0.0001 first, so the exact percentile
-    keeps one counter per raster step and not one per row.
+def band_group(ratio: Column) -> Column:
+    """0 nearly empty, 1 between, 2 nearly full: errors are lopsided at both ends."""
+    return F.when(ratio < 1 / 3, 0).when(ratio < 2 / 3, 1).otherwise(2)
+
+
+def residual_counts(judged: DataFrame) -> DataFrame:
+    """Histograms of the residuals: horizon, grp, step, n.
+
+    Counts of several days or runs can be added up, and are a few thousand rows however
+    many residuals they stand for.
     """
-    e = F.round(F.col("y_ratio") - F.col("pred_ratio"), 4)
-    return judged.groupBy("horizon").agg(
-        F.percentile(e, F.array(F.lit(lo), F.lit(hi))).alias("q")).select(
-        "horizon", F.col("q")[0].alias("lo_shift"), F.col("q")[1].alias("hi_shift"))
+    step = F.floor((F.col("y_ratio") - F.col("pred_ratio")) * F.lit(float(STEPS)) + F.lit(0.5)).cast("int")
+    return judged.groupBy("horizon", band_group(F.col("ratio")).alias("grp"), step.alias("step")).agg(
+        F.count("*").alias("n"))
+
+
+def conformal_bands(counts: DataFrame, lo: float = 0.1, hi: float = 0.9, least: int = MIN_BAND_ROWS) -> DataFrame:
+    """Residual quantiles per horizon and group, from histograms (M12): horizon, grp, n, lo_shift, hi_shift."""
+    q = F.percentile(F.col("step"), F.array(F.lit(lo), F.lit(hi)), F.col("n"))
+    # At most a few thousand steps per group; a horizon has three groups.
+    per = counts.groupBy("horizon", "grp").agg(q.alias("q"), F.sum("n").alias("n"))
+    whole = counts.groupBy("horizon").agg(q.alias("qw"))
+    use = F.when(F.col("n") >= least, F.col("q")).otherwise(F.col("qw"))
+    groups = whole.withColumn("grp", F.explode(F.array(*[F.lit(g) for g in range(3)])))
+    out = groups.join(per, ["horizon", "grp"], "left").withColumn("_u", use)
+    return out.select("horizon", "grp", F.coalesce("n", F.lit(0)).alias("n"),
+                      (F.col("_u")[0] / F.lit(float(STEPS))).alias("lo_shift"),
+                      (F.col("_u")[1] / F.lit(float(STEPS))).alias("hi_shift"))
 
 
 def with_band(rows: DataFrame, bands: DataFrame) -> DataFrame:
-    """lo and hi in ratio, clipped, in order and holding the point."""
+    """lo and hi in ratio, clipped, in order and holding the point (M12); rows have ratio and pred_ratio."""
     p = F.col("pred_ratio")
     a, b = st.clip01(p + F.col("lo_shift")), st.clip01(p + F.col("hi_shift"))
-    return (rows.join(F.broadcast(bands), "horizon")        # one row per horizon
+    rows = rows.withColumn("grp", band_group(F.col("ratio")))
+    return (rows.join(F.broadcast(bands.drop("n")), ["horizon", "grp"])        # three rows per horizon
             .withColumns({"lo": F.least(a, b, p), "hi": F.greatest(a, b, p)})
-            .drop("lo_shift", "hi_shift"))
+            .drop("lo_shift", "hi_shift", "grp"))
 
 
 def forecast_table(m: Models, live: DataFrame) -> DataFrame:
@@ -175,7 +215,7 @@ def forecast_table(m: Models, live: DataFrame) -> DataFrame:
         F.col(f"proba_empty_{h}").alias("proba_empty"), F.col(f"proba_full_{h}").alias("proba_full"))
         for h in HORIZONS])).alias("t")
     long = _raw_scores(m, model_frame(live)).select(
-        "station_id", "ts", "docks_total", per).select("station_id", "ts", "docks_total", "t.*")
+        "station_id", "ts", "ratio", "docks_total", per).select("station_id", "ts", "ratio", "docks_total", "t.*")
     if m.bands is not None:
         long = with_band(long, m.bands)
     else:

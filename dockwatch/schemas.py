@@ -30,6 +30,16 @@ MIN_MOVE = 3
 COVER_SLOTS = 4
 POLICY_CAPACITIES = (5, 10, 20, 40)
 MIN_MODEL_SNAPSHOTS = 1000
+# Model inputs: 42 columns in the order the models expect.
+FEATURES = [
+    "ratio", "bikes", "docks_total",
+    "ratio_lag1", "ratio_lag2", "ratio_lag3", "ratio_lag4", "ratio_lag6", "ratio_lag12", "ratio_lag24",
+    "ratio_lag48", "ratio_lag336", "d1", "d2", "d4",
+    "roll_mean_4", "roll_std_4", "roll_mean_12", "roll_std_12", "roll_mean_48", "roll_min_48", "roll_max_48",
+    "slot_of_day", "dow", "is_weekend", "is_holiday", "minutes_since_midnight",
+    "capacity", "lat", "lon", "cluster_id", "district_id",
+    "norm_ratio", "norm_dev", "norm_empty_rate", "norm_full_rate",
+    "district_ratio", "cluster_ratio", "neigh_ratio", "neigh_dev", "empty_streak", "full_streak"]
 # ---------------------------------------------------------------------------
 
 LEVEL_RANK = {"notice": 1, "warning": 2, "critical": 3}
@@ -148,17 +158,6 @@ FORECAST = T.StructType([
     T.StructField("is_live", T.BooleanType()),
 ])
 
-# Model inputs: 42 columns in the order the models expect.
-FEATURES = (
-    ["ratio", "bikes", "docks_total"]
-    + [f"ratio_lag{k}" for k in LAGS]
-    + ["d1", "d2", "d4"]
-    + [f"roll_{f}_{n}" for n in (4, 12) for f in ("mean", "std")]
-    + [f"roll_{f}_48" for f in ("mean", "min", "max")]
-    + ["slot_of_day", "dow", "is_weekend", "is_holiday", "minutes_since_midnight",
-       "capacity", "lat", "lon", "cluster_id", "district_id",
-       "norm_ratio", "norm_dev", "norm_empty_rate", "norm_full_rate",
-       "district_ratio", "cluster_ratio", "neigh_ratio", "neigh_dev",
-       "empty_streak", "full_streak"]
-)
-CATEGORICAL = {"cluster_id": CLUSTERS, "dow": 7, "slot_of_day": SLOTS_PER_DAY}
+# Model inputs that are codes, and how many codes there are; the next one stands for all others.
+MAX_DISTRICTS = 60
+CATEGORICAL = {"cluster_id": CLUSTERS, "district_id": MAX_DISTRICTS, "dow": 7, "slot_of_day": SLOTS_PER_DAY}

@@ -29,13 +29,15 @@ def _readings(station: str) -> str:
 
 
 def _places(across: int, wide: bool) -> str:
+    # concat makes a plain column of one that DuckDB read as a dictionary; some of its
+    # versions end a join on such a column with an internal error.
     name = "concat(n_name, '_', station_id)" if wide else "concat(n_name, '')"
     return f"""
     SELECT station_id, {name} AS name, CASE WHEN station_id <> 7 THEN concat(r_name, '') END AS district,
-           1214e-1 + 4e-3 * CAST(station_id % {across} AS DOUBLE)
-             + 1e-6 * CAST((station_id * station_id * 277 + station_id * 17) % 991 AS DOUBLE) AS lon,
-           25e0 + 4e-3 * CAST(station_id // {across} AS DOUBLE)
-             + 1e-6 * CAST((station_id * station_id * 389 + station_id * 31) % 997 AS DOUBLE) AS lat
+           121.4e0 + 0.004e0 * CAST(station_id % {across} AS DOUBLE)
+             + 0.000001e0 * CAST((station_id * station_id * 277 + station_id * 17) % 991 AS DOUBLE) AS lon,
+           25e0 + 0.004e0 * CAST(station_id // {across} AS DOUBLE)
+             + 0.000001e0 * CAST((station_id * station_id * 389 + station_id * 31) % 997 AS DOUBLE) AS lat
     FROM (SELECT DISTINCT station_id FROM {'wide_readings' if wide else 'readings'})
     JOIN nation ON n_nationkey = station_id % 25 JOIN region ON r_regionkey = n_regionkey"""
 
@@ -180,12 +182,16 @@ part("rolled", "obs", "SELECT o.station_id, o.ts, " + ", ".join(
            CAST(count(*) FILTER (p.ts > o.ts - INTERVAL 180 MINUTE AND p.docks_avail <= 1) AS INTEGER) AS full_streak
     FROM obs o JOIN obs p ON p.station_id = o.station_id AND p.ts <= o.ts AND p.ts > o.ts - INTERVAL 24 HOUR
     GROUP BY 1, 2""")
-part("usual", "obs", """
+part("day_edges", "", """
+    SELECT lo + CAST(n - 2 * (n // 6) AS INTEGER) AS valid_from, lo + CAST(n - n // 6 AS INTEGER) AS test_from
+    FROM (SELECT lo, hi - lo + 1 AS n
+          FROM (SELECT CAST(min(ts) AS DATE) AS lo, CAST(max(ts) AS DATE) AS hi FROM events))""")
+part("usual", "obs day_edges", """
     SELECT station_id, CAST(dayofweek(ts) AS INTEGER) AS dow,
            CAST(datepart('hour', ts) * 2 + datepart('minute', ts) // 30 AS INTEGER) AS slot_of_day,
            avg(ratio) AS norm_ratio, count(*) FILTER (bikes <= 1) / count(*) AS norm_empty_rate,
            count(*) FILTER (docks_avail <= 1) / count(*) AS norm_full_rate
-    FROM obs WHERE ts < TIMESTAMP '2024-01-21' GROUP BY 1, 2, 3""")
+    FROM obs WHERE ts < (SELECT valid_from FROM day_edges) GROUP BY 1, 2, 3""")
 part("near", "model_stations", """
     SELECT station_id, neighbour_id, km FROM (
       SELECT a.station_id, b.station_id AS neighbour_id,
@@ -217,10 +223,10 @@ part("day_gap", "day_shape", """
           FROM day_shape a JOIN day_shape b ON b.hour = a.hour AND abs(b.day - a.day) <= 21
           WHERE isodow(a.day) < 6 GROUP BY 1, 2)
     WHERE ne >= 4 AND nw >= 8 GROUP BY day""")
-part("bucket_mean", "obs", """
+part("bucket_mean", "obs day_edges", """
     SELECT station_id, CAST(datepart('hour', ts) + CASE WHEN isodow(ts) >= 6 THEN 24 ELSE 0 END AS INTEGER)
              AS bucket, avg(ratio) AS lvl
-    FROM obs WHERE ts < TIMESTAMP '2024-01-21' GROUP BY 1, 2""")
+    FROM obs WHERE ts < (SELECT valid_from FROM day_edges) GROUP BY 1, 2""")
 part("bucket_fill", "bucket_mean", """
     SELECT s.station_id, CAST(b.bucket AS INTEGER) AS bucket,
            CASE WHEN l.bucket IS NULL THEN u.lvl WHEN u.bucket IS NULL OR u.bucket = l.bucket THEN l.lvl
@@ -254,7 +260,7 @@ part("targets", "ahead", " UNION ALL ".join(
                y_bikes_{h} AS y_bikes, y_docks_{h} AS y_docks, bl_lastweek_{h} AS lastweek
         FROM ahead WHERE {_WHOLE}""" for h in HORIZONS))
 part("scored", "targets", """
-    SELECT *, ratio + (5e-1 - ratio) * horizon / 6e2 AS pred_ratio,
+    SELECT *, ratio + (0.5e0 - ratio) * horizon / 6e2 AS pred_ratio,
            round(3e0 / (3e0 + bikes) * (1e0 - horizon / 1e3), 6) AS proba_empty,
            round(3e0 / (3e0 + docks_avail) * (1e0 - horizon / 1e3), 6) AS proba_full
     FROM targets""")
@@ -325,7 +331,7 @@ def _leads(starts: str, judged: str) -> str:
 part("obs_leads", "obs_starts obs_judged", _leads("obs_starts", "obs_judged"))
 part("target_leads", "target_starts judged", _leads("target_starts", "judged"))
 part("duty", "obs rolled", """
-    SELECT o.station_id, o.ts, o.bikes, empty_streak, round(3e0 / (3e0 + bikes) * 94e-2, 6) AS proba
+    SELECT o.station_id, o.ts, o.bikes, empty_streak, round(3e0 / (3e0 + bikes) * 0.94e0, 6) AS proba
     FROM obs o JOIN rolled r ON r.station_id = o.station_id AND r.ts = o.ts""")
 part("queue", "duty", """
     SELECT station_id, ts, CASE WHEN bikes <= 1 THEN 'rule' ELSE 'prevent' END AS queue,
@@ -354,7 +360,7 @@ part("forecast", "valid places", """
            proba_empty >= 0.3 AS watch_empty, proba_full >= 0.3 AS watch_full
     FROM (SELECT *, CAST(round_even(least(greatest(pred_ratio, 0), 1) * docks_total, 0) AS INTEGER) AS pred_bikes
           FROM (SELECT v.*, h, CAST(bikes AS DOUBLE) / docks_total
-                         + (5e-1 - CAST(bikes AS DOUBLE) / docks_total) * h / 6e2 AS pred_ratio,
+                         + (0.5e0 - CAST(bikes AS DOUBLE) / docks_total) * h / 6e2 AS pred_ratio,
                        round(3e0 / (3e0 + bikes) * (1e0 - h / 1e3), 6) AS proba_empty,
                        round(3e0 / (3e0 + docks_avail) * (1e0 - h / 1e3), 6) AS proba_full
                 FROM valid v CROSS JOIN (VALUES (30), (60), (120), (180)) x(h)
@@ -364,15 +370,15 @@ part("task", "forecast places", """
     SELECT n.station_id AS to_station, n.name AS to_name, n.district, n.now_bikes, n.pred_bikes AS to_pred_bikes,
            n.docks_total AS to_capacity, n.proba_empty, need_bikes, g.station_id AS from_station,
            g.name AS from_name, g.spare_bikes, g.proba_full, g.km
-    FROM (SELECT f.*, lon, lat, CAST(greatest(3, ceil(docks_total * 35e-2) - pred_bikes) AS INTEGER) AS need_bikes
+    FROM (SELECT f.*, lon, lat, CAST(greatest(3, ceil(docks_total * 0.35e0) - pred_bikes) AS INTEGER) AS need_bikes
           FROM forecast f JOIN places USING (station_id) WHERE horizon = 60 AND watch_empty) n
     LEFT JOIN LATERAL (
       SELECT f.station_id, f.name, f.proba_full,
-             CAST(greatest(3, pred_bikes - floor(docks_total * 65e-2)) AS INTEGER) AS spare_bikes,
+             CAST(greatest(3, pred_bikes - floor(docks_total * 0.65e0)) AS INTEGER) AS spare_bikes,
              111e0 * sqrt((n.lat - p.lat) ** 2 + ((n.lon - p.lon) * cos(radians(n.lat))) ** 2) AS km
       FROM forecast f JOIN places p USING (station_id)
       WHERE horizon = 60 AND watch_full AND f.station_id <> n.station_id
-        AND 111e0 * sqrt((n.lat - p.lat) ** 2 + ((n.lon - p.lon) * cos(radians(n.lat))) ** 2) <= 12e-1
+        AND 111e0 * sqrt((n.lat - p.lat) ** 2 + ((n.lon - p.lon) * cos(radians(n.lat))) ** 2) <= 1.2e0
       ORDER BY round(km, 9), f.station_id LIMIT 1) g ON true
     ORDER BY n.proba_empty DESC, need_bikes DESC, to_station""")
 part("task_out", "task", """
@@ -541,7 +547,7 @@ stmt("profile_district", "profile stations", """
     FROM profile JOIN stations USING (station_id) WHERE district = 'ASIA' GROUP BY 1, 2""")
 stmt("heatmap", "rollup", """
     SELECT CAST(d AS INTEGER) AS isodow, CAST(s AS INTEGER) AS slot, coalesce(empty_rate, 0e0) AS empty_rate,
-           round(least(1, coalesce(empty_rate, 0e0) / (SELECT greatest(1e-3, max(empty_rate)) FROM rollup)) + 1e-9, 6) AS shade
+           round(least(1, coalesce(empty_rate, 0e0) / (SELECT greatest(0.001e0, max(empty_rate)) FROM rollup)) + 1e-9, 6) AS shade
     FROM range(1, 8) a(d) CROSS JOIN range(48) b(s) LEFT JOIN rollup ON isodow = d AND slot = s""")
 stmt("pulse", "pulse_all", "SELECT * FROM pulse_all")
 stmt("pulse_newest_day", "pulse_day", "SELECT * FROM pulse_day")
@@ -601,7 +607,7 @@ stmt("escalations", "alert_then alert_before", """
     ORDER BY a.level, a.duration_min DESC, a.station_id""")
 stmt("dispatch_rule", "alert_then", """
     SELECT station_id, name, district, bikes AS now_bikes, docks_total,
-           CAST(greatest(3, ceil(docks_total * 35e-2) - bikes) AS INTEGER) AS need_bikes, level, duration_min
+           CAST(greatest(3, ceil(docks_total * 0.35e0) - bikes) AS INTEGER) AS need_bikes, level, duration_min
     FROM alert_then WHERE level <> 'notice' AND bikes < 2 ORDER BY duration_min DESC, station_id""")
 stmt("grid", "cells obs", f"""
     SELECT station_id, ts, bikes, docks_avail, docks_total, {r6('ratio')}
@@ -652,10 +658,10 @@ stmt("features", "ahead behind rolled usual model_stations district_mean cluster
       LEFT JOIN cluster_mean c ON c.cluster_id = s.cluster_id AND c.ts = a.ts
       LEFT JOIN near_mean n ON n.station_id = a.station_id AND n.ts = a.ts
       LEFT JOIN (SELECT day FROM day_gap WHERE to_weekend < to_workday) h ON h.day = CAST(a.ts AS DATE))""")
-stmt("split_counts", "ahead", f"""
-    SELECT CASE WHEN ts < TIMESTAMP '2024-01-21' THEN 'train' WHEN ts < TIMESTAMP '2024-01-26' THEN 'valid'
-                ELSE 'test' END AS split, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts
-    FROM ahead WHERE {_WHOLE} AND ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-31' GROUP BY 1""")
+stmt("split_counts", "ahead day_edges", f"""
+    SELECT CASE WHEN ts < valid_from THEN 'train' WHEN ts < test_from THEN 'valid' ELSE 'test' END AS split,
+           count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts
+    FROM ahead, day_edges WHERE {_WHOLE} GROUP BY 1""")
 stmt("bridge", "bridging", f"SELECT * EXCLUDE (ratio), {r6('ratio')} FROM bridging")
 stmt("bridged_grid", "bridged", f"SELECT * EXCLUDE (ratio), {r6('ratio')} FROM bridged")
 stmt("bridge_ratio", "bridged", """
@@ -701,8 +707,8 @@ stmt("interval_report", "scored", """
     SELECT horizon, round(avg(CASE WHEN y_ratio BETWEEN least(lo, hi) AND greatest(lo, hi) THEN 1e0 ELSE 0e0 END) + 1e-9, 6)
              AS coverage,
            round(avg(abs(hi - lo) * docks_total) + 1e-9, 6) AS mean_width_bikes,
-           round(avg(CASE WHEN lo > hi THEN 1e0 ELSE 0e0 END) + 1e-9, 6) AS crossed_rate, 8e-1 AS target_coverage
-    FROM (SELECT *, pred_ratio - 1e-1 AS lo, pred_ratio + horizon / 6e2 - 15e-2 AS hi FROM scored) GROUP BY 1""")
+           round(avg(CASE WHEN lo > hi THEN 1e0 ELSE 0e0 END) + 1e-9, 6) AS crossed_rate, 0.8e0 AS target_coverage
+    FROM (SELECT *, pred_ratio - 0.1e0 AS lo, pred_ratio + horizon / 6e2 - 0.15e0 AS hi FROM scored) GROUP BY 1""")
 stmt("events", "obs_starts", "SELECT * FROM obs_starts")
 stmt("event_leads", "obs_leads", "SELECT * FROM obs_leads")
 stmt("event_report", "target_leads judged", """
@@ -729,7 +735,7 @@ stmt("policy_coverage", "saved empties crew", """
            round(100e0 * prevent_slots / empty_slots + 1e-9, 2) AS prevent_pct,
            round(100e0 * rule_slots / empty_slots + 1e-9, 2) AS rule_pct,
            round(100e0 * hybrid_slots / empty_slots + 1e-9, 2) AS hybrid_pct, capacity * 48 AS dispatches_per_day,
-           round(prevent_slots * 5e-1 + 1e-9, 1) AS prevent_station_hours, round(hybrid_slots * 5e-1 + 1e-9, 1) AS hybrid_station_hours,
+           round(prevent_slots * 0.5e0 + 1e-9, 1) AS prevent_station_hours, round(hybrid_slots * 0.5e0 + 1e-9, 1) AS hybrid_station_hours,
            round(100e0 * (hybrid_slots - rule_slots) / empty_slots + 1e-9, 2) AS uplift_vs_rule
     FROM (SELECT c.capacity, (SELECT count(*) FROM empties) AS empty_slots, count(*) FILTER (p) AS prevent_slots,
                  count(*) FILTER (r) AS rule_slots, count(*) FILTER (h) AS hybrid_slots
@@ -746,7 +752,7 @@ stmt("concentration", "duty", """
     SELECT any_value(k) AS top_stations, round(sum(n_empty) FILTER (i <= k) / nullif(sum(n_empty), 0) + 1e-9, 4) AS top_share,
            count(*) FILTER (n_empty / n > 0.5) AS mostly_empty_stations, CAST(sum(n_empty) AS BIGINT) AS empty_slots
     FROM (SELECT *, row_number() OVER (ORDER BY n_empty DESC, station_id) AS i,
-                 CAST(greatest(floor(count(*) OVER () * 5e-2), 1) AS BIGINT) AS k
+                 CAST(greatest(floor(count(*) OVER () * 0.05e0), 1) AS BIGINT) AS k
           FROM (SELECT station_id, count(*) FILTER (bikes <= 1) AS n_empty, count(*) AS n FROM duty GROUP BY 1))""")
 stmt("forecast_top", "forecast", f"""
     SELECT station_id, name, district, base_ts, horizon, now_bikes, pred_bikes, pred_docks, proba_empty, proba_full,
@@ -838,3 +844,57 @@ _SECTIONS = [("errors", "level", "horizon model"), ("gains", "level", "horizon m
 stmt("backtest_report", " ".join(x[0] for x in _SECTIONS), f"""
     SELECT section, model, kind, horizon, metric, {r6('value')}
     FROM ({' UNION ALL '.join(_long(*x) for x in _SECTIONS)}) WHERE value IS NOT NULL""")
+
+
+stmt("alerts_served", "alert_then", _PLACED + "alert_then")
+PARTS["rule_tasks"] = (("alert_then",), """
+    SELECT station_id AS to_station, name AS to_name, district, CAST(bikes AS INTEGER) AS now_bikes,
+           CAST(docks_total AS INTEGER) AS to_capacity,
+           CAST(greatest(3, ceil(docks_total * 0.35e0) - bikes) AS INTEGER) AS need_bikes
+    FROM alert_then WHERE level <> 'notice' AND bikes < 2""")
+stmt("dispatch_served", "task_out rule_tasks", """
+    SELECT *, 'forecast' AS source FROM task_out
+    UNION ALL BY NAME
+    SELECT *, need_bikes AS move_bikes, 'rule' AS source FROM rule_tasks""")
+PARTS["residual"] = (("scored", "day_edges"), """
+    SELECT horizon, CASE WHEN ratio < 1e0 / 3 THEN 0 WHEN ratio < 2e0 / 3 THEN 1 ELSE 2 END AS grp,
+           CAST(floor((y_ratio - pred_ratio) * 1e4 + 0.5e0) AS DOUBLE) AS step
+    FROM scored, day_edges WHERE ts >= valid_from AND ts < test_from""")
+stmt("band_table", "residual", f"""
+    SELECT horizon, grp, n, {r6('lo_shift', 'hi_shift')}
+    FROM (SELECT w.horizon, CAST(g.grp AS INTEGER) AS grp, coalesce(n, 0) AS n,
+                 CASE WHEN n >= 50 THEN p.lo ELSE w.lo END / 1e4 AS lo_shift,
+                 CASE WHEN n >= 50 THEN p.hi ELSE w.hi END / 1e4 AS hi_shift
+          FROM (SELECT horizon, quantile_cont(step, 0.1) AS lo, quantile_cont(step, 0.9) AS hi FROM residual GROUP BY 1) w
+          CROSS JOIN (SELECT unnest([0, 1, 2]) AS grp) g
+          LEFT JOIN (SELECT horizon, grp, count(*) AS n, quantile_cont(step, 0.1) AS lo, quantile_cont(step, 0.9) AS hi
+                     FROM residual GROUP BY 1, 2) p ON p.horizon = w.horizon AND p.grp = g.grp)""")
+
+
+def _pick(name: str, digits: int, section: str, metric: str, **where: str | int) -> str:
+    cond = " AND ".join([f"section = '{section}'", f"metric = '{metric}'",
+                         *[f"{k} = {v!r}" for k, v in where.items()]])
+    return f"round(max(value) FILTER ({cond}), {digits}) AS {name}"
+
+
+_HEADLINE = ", ".join([
+    _pick("mae_bikes_60min", 3, "level", "mae_bikes", model="model", horizon=60),
+    _pick("mae_bikes_60min_persistence", 3, "level", "mae_bikes", model="persistence", horizon=60),
+    _pick("improve_vs_persistence_pct_60min", 1, "level", "improve_vs_persistence_pct", horizon=60),
+    _pick("empty_event_coverage", 4, "events_operational", "coverage", kind="empty"),
+    _pick("empty_event_mean_lead_minutes", 1, "events_operational", "mean_lead_minutes", kind="empty"),
+    _pick("empty_event_false_alarm_rate", 4, "events_operational", "false_alarm_rate", kind="empty"),
+    _pick("empty_f1_60min", 3, "operational", "f1", kind="empty", horizon=60),
+    _pick("full_event_coverage", 4, "events_operational", "coverage", kind="full"),
+    _pick("full_event_mean_lead_minutes", 1, "events_operational", "mean_lead_minutes", kind="full"),
+    "CAST(" + _pick("n", 0, "events_operational", "n_events", kind="empty").removesuffix(" AS n") + " AS BIGINT) AS n_empty_events",
+    "CAST(" + _pick("n", 0, "events_operational", "n_events", kind="full").removesuffix(" AS n") + " AS BIGINT) AS n_full_events",
+    _pick("strict_empty_event_coverage", 4, "events_strict", "coverage", kind="empty"),
+    _pick("strict_empty_event_false_alarm_rate", 4, "events_strict", "false_alarm_rate", kind="empty")])
+stmt("forecast_meta", "forecast " + " ".join(x[0] for x in _SECTIONS), f"""
+    SELECT f.*, h.*
+    FROM (SELECT max(base_ts) AS base_ts, count(*) AS n_rows, count(DISTINCT station_id) AS n_stations,
+                 0.7e0 AS alert_threshold, {', '.join(f"count(*) FILTER (horizon = 60 AND {x}) AS n_{x}" for x in
+                 ('alert_empty', 'alert_full', 'watch_empty', 'watch_full'))},
+                 max(base_ts + horizon * INTERVAL 1 MINUTE) AS last_target FROM forecast) f,
+         (SELECT {_HEADLINE} FROM ({' UNION ALL '.join(_long(*x) for x in _SECTIONS)})) h""")

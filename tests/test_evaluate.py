@@ -163,3 +163,28 @@ def test_report_document(spark):
     assert doc.count() == 1 and set(doc.first()["sections"]) >= {"level", "rule"}
     h = rp.headline(m).first()
     assert h["mae_bikes_60min"] > 0 and h["n_empty_events"] > 0
+
+
+def test_stored_table_is_served_while_it_is_new_enough(spark):
+    import tempfile
+    from dockwatch.plans import reports as rp, served as sd
+    from dockwatch.sinks.tables import publish
+
+    root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    t = dt.datetime(2024, 1, 1, 8)
+
+    def ask(since):
+        return sd.stored_or(spark, f"{root}/x", None, since, lambda: spark.range(1)).count()
+    assert ask(None) == 1                                          # nothing stored
+    sd.publish_at(spark.range(5), f"{root}/x", F.lit(t))
+    assert ask(None) == 5 and ask(t) == 5 and ask(t + dt.timedelta(minutes=30)) == 1
+    m = spark.createDataFrame([("level", "model", None, 60, "mae_bikes", 1.5)], rp.LONG)
+    publish(m, f"{root}/report")
+    assert sd.model_report(spark, f"{root}/report").count() == 1
+    assert sd.model_report(spark, f"{root}/report", f"{root}/bands").count() == 1     # no bands yet
+    publish(m, f"{root}/bands")
+    assert sd.model_report(spark, f"{root}/report", f"{root}/bands").count() == 2
+    out = sd.policy_report(spark.createDataFrame([("rule", 5, 0.5)], "policy string, capacity int, share double"),
+                           spark.createDataFrame([(7,)], "n int")).collect()
+    assert {tuple(r) for r in out} == {("coverage", "rule", "capacity", 5.0), ("coverage", "rule", "share", 0.5),
+                                       ("preventable", "all", "n", 7.0)}
