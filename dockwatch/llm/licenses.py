@@ -3,9 +3,9 @@
 Every run of K words of a text is hashed and joined with the runs of all
 templates. A match of document position i with template position j votes for
 the diagonal i - j; a copy of a template is a diagonal with many votes, and an
-edited copy a few neighbouring ones. Votes are counted per diagonal, diagonals
-that lie within ``GAP`` of each other and overlap or touch are merged to spans,
-and a span counts if enough of its template's runs were seen in it. Phrases and
+edited copy a few neighbouring ones. Votes are counted per diagonal, neighbouring
+diagonals at most ``GAP`` apart are merged to spans, whatever lies between them in
+the text, and a span counts if enough of its template's runs were seen in it. Phrases and
 short notices must be matched in full, word for word, on one diagonal; longer
 notices that name a license must show its name, for others use the same sentences.
 The words themselves are compared at each vote, so hashes decide nothing.
@@ -131,15 +131,14 @@ def spans(votes_: DataFrame) -> DataFrame:
     diag = (votes_.filter(F.col("tpl").isNotNull())
             .withColumn("diag", F.col("dpos") - F.col("tpos"))
             .groupBy(*key, "label", "phrase", "runs", "name", "diag")
-            .agg(F.collect_set("tpos").alias("seen"), F.min("dpos").alias("lo"),
-                 F.max("dpos").alias("hi")))
+            .agg(F.collect_set("tpos").alias("seen"), F.min("dpos").alias("lo")))
     full = F.col("phrase") | (F.col("runs") < SHORT)
     exact = diag.filter(full & (F.size("seen") == F.col("runs"))).select(
         *key, "label", "phrase", F.col("diag").alias("first_word"), F.lit(1.0).alias("share"))
-    # Phrases and short notices lie on one diagonal each. Others: neighbours in order of their place in the text.
-    w = Window.partitionBy(*key).orderBy("lo", "diag")
-    near = (F.abs(F.col("diag") - F.lag("diag").over(w)) <= GAP) & (
-        F.col("lo") - F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1)) <= 2 * GAP)
+    # Phrases and short notices lie on one diagonal each. Others: diagonals next to each other, in order of
+    # their offset, so a vote elsewhere in the text does not part the halves of an edited copy.
+    w = Window.partitionBy(*key).orderBy("diag")
+    near = F.col("diag") - F.lag("diag").over(w) <= GAP
     group = (diag.filter(~full).withColumn("_new", F.when(near, 0).otherwise(1))
              .withColumn("_g", F.sum("_new").over(w)))
     merged = group.groupBy(*key, "label", "phrase", "runs", "name", "_g").agg(

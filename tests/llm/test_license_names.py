@@ -14,6 +14,10 @@ TEXTS = {
     "licensed under the Apache license": "apache",
     "Licensed under the Apache License, Version 2.0 (the License); you may not use that file except in "
     "compliance with the License": "apache",
+    "Apache License Version 2.0: the License. You really may not use this file except in compliance with the "
+    "License": "apache",
+    "the license is here: Apache License Version 2.0, the License you, the license, may not use this file except in "
+    "compliance with the License": "apache",
     "this source code form is subject to terms of the Mozilla Public License": "mpl",
 }
 
