@@ -25,6 +25,8 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterable
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -45,7 +47,9 @@ TRUST = 4
 #: Steps at least; a small sample is seen in more rounds.
 STEPS = 350
 #: Words whose inputs a task keeps, windows scored at a time.
-CACHE, AT_ONCE = 300_000, 2048
+CACHE, AT_ONCE = 300_000, 512
+#: Words whose inputs are computed at a time.
+PART = 8192
 
 _words = re.compile(r"[^\W_]+").findall
 Params = dict[str, np.ndarray]
@@ -197,8 +201,10 @@ class Model:
         seen, old = self.seen, len(self.seen)
         ids = [np.array([seen.setdefault(w, len(seen)) for w in t], dtype=np.int64) for t in texts]
         if len(seen) > old:
-            fresh, _ = _inputs(self.params, self.lexicon, list(seen)[old:])
-            self.table = fresh if self.table is None else np.concatenate([self.table, fresh])
+            # In parts: the grams of many words at once are large lists.
+            new = list(islice(seen, old, None))
+            fresh = [_inputs(self.params, self.lexicon, new[k:k + PART])[0] for k in range(0, len(new), PART)]
+            self.table = np.concatenate(fresh if self.table is None else [self.table, *fresh])
         return ids
 
     def logits(self, texts: list[list[str]]) -> np.ndarray:
@@ -267,11 +273,12 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(slope), float(-slope * middle)
 
 
-def train(texts: list[str], labels: list[int], seed: int = 5) -> Model | None:
+def train(texts: Iterable[str], labels: list[int], seed: int = 5) -> Model | None:
     """The network of a sample of texts; None if a class is missing."""
     rng = np.random.default_rng(seed)
     same: dict[str, str] = {}           # one object per word keeps the driver small
     split = [[same.setdefault(w, w) for w in words(t)] for t in texts]
+    del same
     rows = [i for i in range(len(split)) if split[i]]
     labels_ = np.array(labels)
     check = [i for k, i in enumerate(rows) if k % 10 in (3, 7)]
@@ -281,6 +288,7 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Model | None:
     often = Counter(w for i in fit for w in set(split[i]))
     lexicon = {w: k + 1 for k, (w, n) in enumerate(sorted(often.items(), key=lambda e: (-e[1], e[0]))[:WORDS])
                if n > 2}
+    del often
     p = _new(rng)
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
     step = 0
@@ -340,9 +348,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     # At most TOXIC_ROWS + CLEAN_ROWS ids.
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(
         F.max("text").alias("text"), F.max("_toxic").alias("toxic"))
-    rows = sorted(((r["doc_id"], r["text"], r["toxic"]) for r in sample.collect()),
+    rows = sorted(((r["doc_id"], r["text"], r["toxic"]) for r in sample.toLocalIterator()),
                   key=lambda r: zlib.crc32(str(r[0]).encode()))
-    return train([r[1] or "" for r in rows], [r[2] for r in rows])
+    toxic = [r[2] for r in rows]
+    # Handed over one by one, so that a text goes when its words are there.
+    rows.reverse()
+    return train((rows.pop()[1] or "" for _ in range(len(rows))), toxic)
 
 
 def scored(docs: DataFrame, model: Model | None, name: str = "score") -> DataFrame:
