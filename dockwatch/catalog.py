@@ -14,10 +14,11 @@ from dockwatch.operators import series
 from dockwatch.plans import (alerts as al, evaluate as ev, features as fe, forecasts as fc, learn as le,
                              history as hi, policy as po, profiles as pr, reports as rp, scoring as sc,
                              serve as sv, served as sd, shapes as sh)
-from dockwatch.schemas import LATEST, RAW_KEEP_DAYS, SNAPSHOT
+from dockwatch.schemas import LATEST, RAW_KEEP_DAYS, SNAPSHOT, STATION_JSON
 from dockwatch.session import shared_dir, stage
+from dockwatch.sinks import notifications as nt
 from dockwatch.sinks.tables import publish, read_days, read_published
-from dockwatch.sources import fixtures as fx
+from dockwatch.sources import files as fi, fixtures as fx
 from dockwatch.streaming.episodes import OUT, current, episode_stream
 from dockwatch.streaming.refresh import Store, refresh_stream
 
@@ -756,6 +757,85 @@ def dispatch_totals(d: Data) -> DataFrame:
     return fc.dispatch_totals(fc.dispatch(d.forecast, d.stations, 60, max_km=1.2))
 
 
+# ---------------------------------------------------------------- raw records
+
+@query
+def nested_master(d: Data) -> DataFrame:
+    """Station master read back from nested JSON records."""
+    path = f"{shared_dir(d.spark)}/masters-{uuid.uuid4().hex}"
+    address = F.concat_ws(" ", "district", F.lit("ROAD"), F.col("station_id").cast("string"))
+    (d.stations.select(
+        F.concat(F.lit("UID"), F.col("station_id").cast("string")).alias("StationUID"),
+        F.struct(F.concat(F.lit("PREFIX_"), "name").alias("Zh_tw")).alias("StationName"),
+        F.struct(address.alias("Zh_tw")).alias("StationAddress"),
+        F.struct(F.col("lon").alias("PositionLon"), F.col("lat").alias("PositionLat")).alias("StationPosition"))
+     .write.json(path))
+    out = fi.nested_stations(d.spark.read.schema(STATION_JSON).json(path), "UID", "PREFIX_")
+    return r6(out, "lon", "lat")
+
+
+@query
+def historical_slots(d: Data) -> DataFrame:
+    """Newest historical record per station number and slot, from times with a zone."""
+    raw = fx.raw_snapshots(d.spark, d.dir, d.wide)
+    records = raw.select(
+        F.concat(F.lit("UID"), F.col("station_id").cast("string")).alias("StationUID"),
+        F.concat(F.col("raw_ts").cast("string"), F.lit("+08:00")).alias("SrcUpdateTime"),
+        F.col("bikes").alias("AvailableRentBikes"), F.col("docks_avail").alias("AvailableReturnBikes"))
+    return fi.historical_day(records, "UID").select("sno", "slot", "bikes", "docks_avail")
+
+
+@query
+def name_lookup(d: Data) -> DataFrame:
+    path = f"{shared_dir(d.spark)}/names-{uuid.uuid4().hex}"
+    d.stations.write.parquet(path)
+    return fi.name_lookup(d.spark, path)
+
+
+@query
+def rejected_records(d: Data) -> DataFrame:
+    """How many landed records of each day are usable and how many are not; station 3 lost its name."""
+    raw = fx.describe_stations(d.spark, d.dir, fx.raw_snapshots(d.spark, d.dir, d.wide), d.wide)
+    bikes = F.when(F.col("bikes") == 7, "seven").otherwise(F.col("bikes").cast("string"))
+    records = raw.select(
+        F.col("station_id").cast("string").alias("sno"),
+        F.when(F.col("station_id") == 3, "PREFIX_ ").otherwise(F.concat(F.lit("PREFIX_"), "name")).alias("sna"),
+        F.col("district").alias("sarea"), F.col("docks_total").cast("string").alias("tot_quantity"),
+        bikes.alias("sbi_quantity"), F.col("docks_avail").cast("string").alias("bemp"),
+        F.col("lon").cast("string").alias("lng"), F.col("lat").cast("string").alias("lat"), F.lit("1").alias("act"),
+        F.lit("").alias("yb2_quantity"), F.lit(None).cast("string").alias("eyb_quantity"), F.lit("").alias("mday"),
+        F.col("raw_ts").alias("at"))
+    ok, bad = fi.split_realtime(records, F.col("at"), "PREFIX_", {"FRANCE": "GAUL"})
+    day = F.col("at").cast("date").alias("day")
+    both = ok.select(F.col("fetched_at").cast("date").alias("day"), "name").unionByName(
+        bad.select(day, F.lit(None).cast("string").alias("name")))
+    return both.groupBy("day").agg(F.count("name").alias("n_ok"), F.count_if(F.col("name").isNull()).alias("n_bad"),
+                                   F.count_if(F.col("name") == "GAUL").alias("n_relabelled"))
+
+
+@query
+def json_rows(d: Data) -> DataFrame:
+    e = fx.table(d.spark, d.dir, "events")
+    return e.select("event_id", tx.as_json("event_id", "user_id", "event_type").alias("body"))
+
+
+@query
+def notifications(d: Data) -> DataFrame:
+    """The log after two rounds, one of them folded and one not."""
+    root = f"{shared_dir(d.spark)}/log-{uuid.uuid4().hex}"
+    early = "2024-01-20 11:30:00"
+    nobody = d.spark.createDataFrame([], "station_id long, level string")
+    for epoch, (at, seen) in enumerate(((early, nobody), (AS_OF, None))):
+        rows = stage(al.alerts(d.snaps, d.stations, at), "round")
+        sent, state = al.escalations(rows, before if seen is None else seen)
+        nt.append_notifications(sent, root, epoch, F.lit(at))
+        before = stage(state, "state")
+        if epoch == 0:
+            nt.fold_notifications(d.spark, root)
+    out = nt.notification_log(d.spark, root)
+    return out.withColumns({x: F.col(x).cast("int") for x in ("bikes", "docks_avail", "docks_total")})
+
+
 # ------------------------------------------------------------------- learning
 
 def _trained(d: Data):

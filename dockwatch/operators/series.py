@@ -63,8 +63,9 @@ def standardised(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def filled_shape(df: DataFrame, key: str, pos: str, value: str, size: int) -> DataFrame:
-    """Positions 0..size-1 of each key; inner gaps on a straight line between
-    their neighbours, outer gaps from the nearest known position (F17)."""
+    """Positions 0..size-1 of each key; inner gaps on a straight line between their
+    neighbours, outer gaps from the nearest known position, and keys without any known
+    position at the mean of all known ones (F17)."""
     dense = (df.select(key).distinct()
              .withColumn(pos, F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
              .join(df.select(key, F.col(pos).cast("int").alias(pos), value), [key, pos], "left"))
@@ -78,5 +79,6 @@ def filled_shape(df: DataFrame, key: str, pos: str, value: str, size: int) -> Da
     line = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (
         (F.col(pos) - F.col("_p0")) / (F.col("_p1") - F.col("_p0")))
     inner = F.col("_p1") > F.col("_p0")
+    everywhere = df.agg(F.avg(value)).scalar()
     return d.withColumn(value, F.when(inner, line).otherwise(
-        F.coalesce("_v0", "_v1"))).drop("_p0", "_p1", "_v0", "_v1")
+        F.coalesce("_v0", "_v1", everywhere))).drop("_p0", "_p1", "_v0", "_v1")

@@ -898,3 +898,28 @@ stmt("forecast_meta", "forecast " + " ".join(x[0] for x in _SECTIONS), f"""
                  ('alert_empty', 'alert_full', 'watch_empty', 'watch_full'))},
                  max(base_ts + horizon * INTERVAL 1 MINUTE) AS last_target FROM forecast) f,
          (SELECT {_HEADLINE} FROM ({' UNION ALL '.join(_long(*x) for x in _SECTIONS)})) h""")
+
+
+stmt("nested_master", "places", f"""
+    SELECT CAST(station_id AS VARCHAR) AS sno, coalesce(regexp_extract(district, '[^ ]+'), 'ROAD') AS district,
+           name, {r6('lon', 'lat')} FROM places""")
+stmt("historical_slots", "snaps", """
+    SELECT CAST(station_id AS VARCHAR) AS sno, ts AS slot, bikes, docks_avail FROM snaps""")
+stmt("name_lookup", "stations", "SELECT name, station_id FROM stations")
+stmt("rejected_records", "readings places", """
+    SELECT CAST(raw_ts AS DATE) AS day, count(*) FILTER (station_id <> 3 AND bikes <> 7) AS n_ok,
+           count(*) FILTER (station_id = 3 OR bikes = 7) AS n_bad,
+           count(*) FILTER (station_id <> 3 AND bikes <> 7 AND name = 'FRANCE') AS n_relabelled
+    FROM readings JOIN places USING (station_id) GROUP BY 1""")
+stmt("json_rows", "", """
+    SELECT event_id, '{"event_id":' || event_id || ',"user_id":' || user_id || ',"event_type":"' || event_type || '"}'
+           AS body FROM events""")
+_SENT = "station_id, name, district, level, kind, duration_min, bikes, docks_avail, docks_total, ts"
+stmt("notifications", "alert_then alert_before", f"""
+    SELECT {_SENT}, NULL::VARCHAR AS prev_level, TIMESTAMP '2024-01-20 11:30:00' AS received_at
+    FROM alert_before WHERE level <> 'notice'
+    UNION ALL BY NAME
+    SELECT {', '.join(f'a.{c.strip()}' for c in _SENT.split(','))}, b.level AS prev_level,
+           TIMESTAMP '2024-01-20 12:00:00' AS received_at
+    FROM alert_then a LEFT JOIN alert_before b ON b.station_id = a.station_id AND b.level <> 'notice'
+    WHERE a.level = 'critical' AND b.level IS DISTINCT FROM 'critical' OR a.level = 'warning' AND b.level IS NULL""")

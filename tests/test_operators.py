@@ -148,3 +148,5 @@ def test_filled_shape(spark):
     df = spark.createDataFrame([(1, 1, 2.0), (1, 3, 6.0), (1, 4, 1.0)], "k int, p int, v double")
     out = {r["p"]: r["v"] for r in series.filled_shape(df, "k", "p", "v", 6).collect()}
     assert out == {0: 2.0, 1: 2.0, 2: 4.0, 3: 6.0, 4: 1.0, 5: 1.0}
+    some = spark.createDataFrame([(1, 1, 2.0), (1, 2, 4.0), (2, 0, None)], "k int, p int, v double")
+    assert {r["v"] for r in series.filled_shape(some, "k", "p", "v", 3).filter("k = 2").collect()} == {3.0}
