@@ -189,22 +189,19 @@ def _at_one_slot(rows: DataFrame, around: DataFrame, places: DataFrame, norm: Da
             .join(days_off.select("day", F.lit(1).alias("is_holiday")), "day", "left"))
 
 
-def _page_context(rows: DataFrame, places: DataFrame, norm: DataFrame, days_off: DataFrame) -> DataFrame:
-    """What all readings of a page share: the station's attributes, its norms by slot of the week,
-    the levels of its district and cluster by slot of the chunk, and the holidays of the chunk."""
+def _page_context(rows: DataFrame, places: DataFrame, days_off: DataFrame) -> DataFrame:
+    """What all readings of a page share: the station's attributes, the levels of its district
+    and cluster by slot of the chunk, and the holidays of the chunk."""
     sums = stage(_group_sums(rows, places), "group_sums")
     at = F.col("_slot") - F.col("_chunk") * F.lit(CHUNK_SLOTS)
 
     def levels(key: str, name: str) -> DataFrame:
         mean = sums.groupBy(key, "_chunk", "_slot").agg((F.sum("s") / F.sum("n")).alias("_m"))
         return dense(mean, [key, "_chunk"], at, CHUNK_SLOTS, F.col("_m"), name)
-    usual = dense(norm, ["station_id"], F.col("dow") * F.lit(48) + F.col("slot_of_day"), 7 * 48,
-                  F.struct("norm_ratio", "norm_empty_rate", "norm_full_rate"), "_norms")
     off = days_off.groupBy(F.floor(F.unix_date("day") * F.lit(48) / F.lit(CHUNK_SLOTS)).alias("_chunk")).agg(
         F.collect_set("day").alias("_off"))
     return (pages_of(rows, places).join(levels("district", "_district"), ["district", "_chunk"], "left")
-            .join(levels("cluster_id", "_cluster"), ["cluster_id", "_chunk"], "left")
-            .join(usual, "station_id", "left").join(off, "_chunk", "left"))
+            .join(levels("cluster_id", "_cluster"), ["cluster_id", "_chunk"], "left").join(off, "_chunk", "left"))
 
 
 def _over_pages(seen: DataFrame, places: DataFrame, norm: DataFrame, edges: DataFrame,
@@ -213,20 +210,22 @@ def _over_pages(seen: DataFrame, places: DataFrame, norm: DataFrame, edges: Data
 
     The readings are written once in buckets of (station, chunk) with the rows that
     frames reach over the edge. Windows, group sums, the neighbours' readings and the
-    joins all read them there; nothing moves them again.
+    joins all read them there; nothing moves them again. Norms come to the pages of their
+    station and meet the narrow readings, before the windows make 40 more columns of them.
     """
     pages = stage_bucketed(with_halo(seen, tf.slot_index(F.col("ts")), *_reach(spec)), "pages", PAGE)
     rows = own(pages)
-    context = _page_context(rows, places, norm, days_off)
-    around = _neighbour_mean(rows, edges).select(*PAGE, "_slot", "neigh_ratio")
     ts = F.col("ts")
+    usual = pages_of(rows, norm)
+    narrow = pages.withColumns({"dow": tf.sunday_weekday(ts), "slot_of_day": tf.slot_of_day(ts)}).join(
+        usual, [*PAGE, "dow", "slot_of_day"], "left")
+    around = _neighbour_mean(rows, edges).select(*PAGE, "_slot", "neigh_ratio")
     at = (F.col("_slot") - F.col("_chunk") * F.lit(CHUNK_SLOTS)).cast("int")
-    out = (own(_with_frames(pages, spec)).join(around, [*PAGE, "_slot"], "left").join(context, PAGE)
+    out = (own(_with_frames(narrow, spec)).join(around, [*PAGE, "_slot"], "left")
+           .join(_page_context(rows, places, days_off), PAGE)
            .withColumns({**calendar(ts), "day": ts.cast("date")}))
-    week = F.get("_norms", F.col("dow") * F.lit(48) + F.col("slot_of_day"))
     return out.withColumns({
         "district_ratio": F.get("_district", at), "cluster_ratio": F.get("_cluster", at),
-        **{x: week[x] for x in ("norm_ratio", "norm_empty_rate", "norm_full_rate")},
         "is_holiday": F.coalesce(F.array_contains("_off", F.col("day")), F.lit(False)).cast("int")})
 
 
