@@ -5,10 +5,13 @@ one number for each length up to the sequence length, whatever the corpus
 holds. Bins that hold the same lengths are one pattern with a count, so best fit
 in decreasing order and the local search handle millions of bins at a time.
 
-The local search exchanges one piece for one, two for one, or moves a piece
+The local search exchanges one piece for one, two for one, or moves one or two pieces
 between underfull bins whenever that raises the sum of squared fills, which
 empties the emptier bin in the end. Each step is done on as many bins of the
-two patterns at once as both have.
+two patterns at once as both have. It looks at all pairs of underfull patterns and at
+all pieces and pairs of pieces in them, and ends when none of these exchanges helps or
+the number of bins is the least that can hold the tokens. What a bin can give is a
+set of sums up to the sequence length, kept as the bits of one number.
 
 Patterns then name slots: the slots of a length are numbered over all patterns,
 the pieces of that length are numbered by range partitions, and equal numbers
@@ -24,8 +27,9 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
-from collections.abc import Iterator
-from heapq import nlargest
+from collections.abc import Callable, Iterable, Iterator
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -38,10 +42,6 @@ from dockwatch.session import stage
 
 LENGTH = 2048
 END_ID = 0
-#: Rounds of the local search; each looks at every pair of the patterns below.
-ROUNDS = 40
-#: Underfull patterns looked at in a round.
-PATTERNS = 160
 
 Pattern = tuple[int, ...]
 
@@ -121,58 +121,79 @@ def _less(pattern: Pattern, *out: int) -> Pattern:
     return tuple(rest)
 
 
-def _better(a: Pattern, b: Pattern, length: int) -> tuple[Pattern, Pattern] | None:
+def _mask(sizes: Iterable[int]) -> int:
+    mask = 0
+    for x in sizes:
+        mask |= 1 << x
+    return mask
+
+
+def _offers(pattern: Pattern) -> int:
+    """What a bin can give at once, one bit for each sum: any piece or any two."""
+    ones = _mask(pattern)
+    twos = _mask(x + y for x, y in combinations(sorted(set(pattern)), 2))
+    return ones | twos | _mask(2 * x for x, n in Counter(pattern).items() if n > 1)
+
+
+def _given(pattern: Pattern, total: int) -> tuple[int, ...]:
+    """The piece, or else two pieces, of ``pattern`` with this sum."""
+    if total in pattern:
+        return (total,)
+    for i, x in enumerate(pattern):
+        if total - x in pattern[i + 1:]:
+            return (x, total - x)
+    raise ValueError(total)
+
+
+def _widest(offers: int, backs: Pattern, least: int, most: int) -> tuple[int, int]:
+    """The greatest x - y in least + 1 .. most for x of ``offers`` and y of ``backs`` or 0, and its y."""
+    if most <= least:
+        return least, 0
+    window = (1 << most + 1) - (1 << least + 1)
+    return max((((offers >> y & window).bit_length() - 1, y) for y in {0, *backs}), default=(-1, 0))
+
+
+def _better(a: Pattern, b: Pattern, length: int, offers: Callable[[Pattern], int] = _offers
+            ) -> tuple[Pattern, Pattern] | None:
     """The exchange between two bins that raises the sum of squared fills the most."""
     fa, fb = sum(a), sum(b)
     if fa > fb:
         a, b, fa, fb = b, a, fb, fa
-    room = length - fb
-    best, found = 0, None
     # b gains ``d`` and a loses it: squares rise by 2 d (fb - fa + d) > 0 for any d > 0.
-    sums = [(x, (x,)) for x in set(a)]
-    sums += [(x + y, (x, y)) for i, x in enumerate(a) for y in a[i + 1:]][:200]
-    backs = [(0, ()), *[(y, (y,)) for y in set(b)]]
-    for x, out in sums:
-        for y, back in backs:
-            d = x - y
-            if best < d <= room:
-                best, found = d, (out, back)
+    d, back = _widest(offers(a), b, 0, length - fb)
     # The other way round a takes from b: it pays only if a then holds more than b did.
-    for y, out in [(y, (y,)) for y in set(b)] + [(y + z, (y, z)) for i, y in enumerate(b)
-                                                 for z in b[i + 1:]][:200]:
-        for x, back in [(0, ()), *[(x, (x,)) for x in set(a)]]:
-            d = y - x
-            if fb - fa < d <= length - fa and d - (fb - fa) > best:
-                best, found = d - (fb - fa), None
-                swap = (_less(b, *out) + back, _less(a, *back) + out)
-    if best and found is None:
-        return swap
-    if found is None:
+    e, fore = _widest(offers(b), a, fb - fa, length - fa)
+    if e - (fb - fa) > max(d, 0):
+        out = _given(b, e + fore)
+        return _less(b, *out) + (fore,) * bool(fore), _less(a, *(fore,) * bool(fore)) + out
+    if d <= 0:
         return None
-    out, back = found
-    return _less(a, *out) + back, _less(b, *back) + out
+    out = _given(a, d + back)
+    return _less(a, *out) + (back,) * bool(back), _less(b, *(back,) * bool(back)) + out
 
 
-def local_search(bins: Counter[Pattern], length: int, rounds: int = ROUNDS) -> Counter[Pattern]:
-    """Exchanges between underfull patterns until none helps or the rounds are over."""
+def local_search(bins: Counter[Pattern], length: int) -> Counter[Pattern]:
+    """Exchanges between any two underfull patterns until no exchange helps or no fewer bins can do."""
     bins = Counter(bins)
     least = -(-sum(sum(p) * n for p, n in bins.items()) // length)
-    for _ in range(rounds):
-        if sum(bins.values()) <= least:
-            break
+    offers = cache(_offers)
+    idle: dict[Pattern, set[Pattern]] = defaultdict(set)    # partners without an exchange that helps
+    moved = True
+    while moved and sum(bins.values()) > least:
         # The emptiest bins are to be emptied; those with much room in all can take what they hold.
         open_ = [p for p in bins if sum(p) < length]
-        low = sorted(open_, key=sum)[:PATTERNS // 8]
-        wide = nlargest(PATTERNS, open_, key=lambda p: (length - sum(p)) * bins[p])
+        low = sorted(open_, key=sum)
+        wide = sorted(open_, key=lambda p: (sum(p) - length) * bins[p])
         moved = False
         for a in low:
             for b in wide:
-                same = a == b
-                n = bins[a] // 2 if same else min(bins[a], bins[b])
-                if n <= 0:
+                n = bins[a] // 2 if a == b else min(bins[a], bins[b])
+                if n <= 0 or b in idle[a]:
                     continue
-                change = _better(a, b, length)
+                change = _better(a, b, length, offers)
                 if change is None:
+                    idle[a].add(b)
+                    idle[b].add(a)
                     continue
                 bins[a] -= n
                 bins[b] -= n
@@ -181,8 +202,7 @@ def local_search(bins: Counter[Pattern], length: int, rounds: int = ROUNDS) -> C
                         bins[tuple(sorted(p, reverse=True))] += n
                 moved = True
         bins = +bins
-        if not moved:
-            break
+        idle = defaultdict(set, {p: others for p, others in idle.items() if p in bins})
     return bins
 
 

@@ -1,9 +1,11 @@
 """Operators on documents against brute force, on odd rows, repeats and empty tables."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -136,6 +138,46 @@ def test_local_search_empties_bins():
     assert sorted(x for p, n in better.items() for x in p * n) == sorted(x for p, n in poor.items() for x in p * n)
 
 
+def _helps(a, b, length):
+    """Whether moving at most two pieces against at most one raises the sum of squared fills."""
+    for one, two in ((a, b), (b, a)):
+        gives = [c for n in (1, 2) for c in combinations(one, n)]
+        for out in gives:
+            for back in [(), *((y,) for y in two)]:
+                d = sum(out) - sum(back)
+                if sum(two) + d <= length and d * (sum(two) - sum(one) + d) > 0 and sum(one) - d <= length:
+                    return True
+    return False
+
+
+def test_local_search_looks_at_every_underfull_pattern():
+    """The twenty emptiest patterns help nobody, the two after them each other."""
+    bins = Counter({(51 + i,): 1 for i in range(20)} | {(71, 1): 1, (72, 3): 1})
+    better = packing.local_search(bins, 100)
+    assert better[(72, 3, 1)] == better[(71,)] == 1
+    assert not any(_helps(a, b, 100) for a, b in combinations(better.elements(), 2))
+
+
+def test_local_search_sees_every_pair_of_pieces_and_has_no_last_round():
+    rng = random.Random(8)
+    for length, most, n in ((100, 12, 60), (2048, 90, 60), (2048, 1500, 700)):
+        for _ in range(3):
+            bins = Counter()
+            for _ in range(n):
+                p = []
+                while not p or rng.random() < 0.9:
+                    p.append(rng.randint(1, most))
+                while sum(p) > length:
+                    p.pop()
+                bins[tuple(sorted(p, reverse=True))] += 1
+            better = packing.local_search(bins, length)
+            pieces = lambda c: sorted(x for p in c.elements() for x in p)
+            assert pieces(better) == pieces(bins) and max(map(sum, better)) <= length
+            least = -(-sum(pieces(bins)) // length)
+            some = list(better.elements())
+            assert len(some) == least or not any(_helps(a, b, length) for a, b in combinations(some, 2))
+
+
 def test_tokens_equal_the_tokenizer():
     enc = tokens.encoder(tokens.default_path())
     rng = np.random.default_rng(0)
