@@ -25,7 +25,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: 5-word shingles, Jaccard similarity 0.8 or more."""
+    """One document of each group of near copies: 5-word shingles, Jaccard similarity 0.8 or more.
+
+    Candidates have SimHash fingerprints within three bits, or share a MinHash band; all are verified.
+    """
     with dropping_shuffles(spark):
         return near.keep_one(docs)
 

@@ -3,8 +3,11 @@
 import random
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
-from dockwatch.llm import near
+from dockwatch.llm import near, simhash
+from dockwatch.session import stage
 
 
 def _sets(text):
@@ -92,3 +95,53 @@ def test_whole_table(spark):
     rows = sorted((r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect())
     want = [min(rows[i][0] for i in m) for m in _groups([t for _, t in rows]).values()]
     assert sorted(r["doc_id"] for r in near.keep_one(docs).collect()) == sorted(want) and len(want) < len(rows)
+
+
+def test_close_fingerprints_are_candidates_of_their_own(spark):
+    """Without any bands, alike texts within three bits are in one group, and no group holds others."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(8):
+        base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        texts.append(" ".join(base))
+        for _ in range(9):
+            w = list(base)
+            w[rng.randrange(300)] = f"new{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    d = near.keyed(df).select("doc_id", "_id", "_key", near._sketch("text").alias("s"),
+                              simhash.fingerprint("text").alias("fp"))
+    d = stage(d.select("doc_id", "_id", "_key", "s.node", "s.n", F.array().cast("array<long>").alias("bands"), "fp"), "t")
+    root = {r["node"]: r["root"] for r in near.groups(df, d).collect()}
+    of = {r["doc_id"]: root.get(r["node"], r["node"]) for r in d.collect()}
+    sets = [_sets(t) for t in texts]
+    fp = [simhash.text_fingerprint(t) for t in texts]
+    linked = [(i, j) for i in range(len(texts)) for j in range(i)
+              if (fp[i] ^ fp[j]).bit_count() <= 3 and _alike(sets[i], sets[j])]
+    assert len(linked) > 20 and all(of[i] == of[j] for i, j in linked)
+    for m in _groups(texts).values():
+        assert not {of[i] for i in m} & {of[i] for i in range(len(texts)) if i not in m}
+
+
+def test_members_far_from_the_original_meet_few_others(spark, monkeypatch):
+    """Copies with four changed words link to nothing: they are ruled out without meeting every other copy."""
+    rng = random.Random(13)
+    base = [f"b{rng.randrange(10**6)}" for _ in range(150)]
+    texts = [" ".join(base)]
+    for k in range(240):
+        w = list(base)
+        for at in range(5, 150, 37):
+            w[at + rng.randrange(30)] = f"x{rng.randrange(10**7)}"
+        texts.append(" ".join(w if k % 3 else w[:80] + base[80:]))
+    seen = []
+    compared = near._compared
+
+    def counted(pairs, sets):
+        seen.append(pairs.count())
+        return compared(pairs, sets)
+
+    monkeypatch.setattr(near, "_compared", counted)
+    members = _groups(texts)
+    assert len(members) > 100
+    assert _kept(spark, texts) == sorted(min(m) for m in members.values())
+    assert sum(seen) < 8 * len(texts)
