@@ -24,8 +24,6 @@ are ignored, whatever their names.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from dockwatch.llm.common import first_of_repeats, keyed, n_words, table, text_key
@@ -96,12 +94,11 @@ def multipliers(hist: DataFrame, goal: DataFrame, cap: int = CAP) -> DataFrame:
     # A text has fewer than 2**31 bytes, so ten digits hold any size.
     for _ in range(MAX_STEPS):
         moving = F.col("rate") < cap * UNIT
-        sums = _classes(hist, state, cap).groupBy("source").agg(
+        # A source's row of ``state`` comes along as the key, so it need not be joined again.
+        j = _classes(hist, state, cap).groupBy(*state.columns).agg(
             F.sum(tokens * _big(F.col("rate"), 12)).alias("_a"),
             F.sum(F.when(moving, _big(F.col("n") * F.col("size"), 20) * _big(F.col("size"), 10)
                          * _big(F.col("rate"), 11))).alias("_b"))
-        s = sums.withColumnRenamed("source", "_s")
-        j = state.join(s, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
         a = F.col("_a").cast("double") / UNIT
         slope = F.coalesce(F.col("_b").cast("double"), F.lit(0.0)) / F.col("mean") / UNIT
         j = (j.withColumn("lo", F.when(a < F.col("target"), F.col("lam")).otherwise(F.col("lo")))
@@ -126,47 +123,68 @@ def multipliers(hist: DataFrame, goal: DataFrame, cap: int = CAP) -> DataFrame:
     return state
 
 
+def _whole(units: Column) -> Column:
+    """A sum of rates as the nearest whole number."""
+    return F.floor((units.cast("decimal(38,0)") + F.lit(UNIT // 2)) / F.lit(UNIT)).cast("long")
+
+
+def _want(n: Column, rate: Column, shift: Column, cap: int) -> Column:
+    """What the ``n`` documents of a class want together, in units."""
+    return _big(n, 20) * _big(F.greatest(F.lit(0), F.least(F.lit(cap * UNIT), rate + shift)), 12)
+
+
+def _shifts(cls: DataFrame, cap: int) -> DataFrame:
+    """What each (source, tier) adds to its rates, as ``_s``, ``_t``, ``shift``.
+
+    A tier needs to know what the tiers above it took, so a source's tiers are
+    folded from the top down: one row per source, with one entry per class. A
+    source never has more classes than the words of its largest text.
+    """
+    tiers = cls.groupBy("source", "tier").agg(
+        F.first("target").alias("target"), F.sum(F.col("n") * F.col("size")).alias("z"),
+        F.sum(_big(F.col("n") * F.col("size"), 20) * _big(F.col("rate"), 12)).alias("e"),
+        F.sort_array(F.collect_list(F.struct("size", "n", "rate")), asc=False).alias("classes"))
+    sources = tiers.groupBy("source").agg(
+        F.first("target").alias("target"), F.sum("z").alias("z"), F.sum("e").alias("e"),
+        F.sort_array(F.collect_list(F.struct("tier", "z", "e", "classes")), asc=False).alias("tiers"))
+    zero = F.lit(0).cast("long")
+
+    def tier(above: Column, t: Column) -> Column:
+        shift = F.round(((F.col("target") - above["taken"]) * UNIT - above["e"].cast("double"))
+                        / above["z"]).cast("long")
+
+        def one(s: Column, c: Column) -> Column:
+            upto = (s["upto"] + _want(c["n"], c["rate"], shift, cap)).cast("decimal(38,0)")
+            copies = F.least(c["n"] * cap, _whole(upto) - _whole(s["upto"]))
+            return F.struct(upto.alias("upto"), (s["taken"] + copies * c["size"]).alias("taken"))
+
+        last = F.aggregate(t["classes"], F.struct(_big(zero, 38).alias("upto"), above["taken"].alias("taken")), one)
+        return F.struct(last["taken"].alias("taken"), (above["z"] - t["z"]).alias("z"),
+                        _big(above["e"] - t["e"], 38).alias("e"),
+                        F.concat(above["shifts"], F.array(F.struct(t["tier"].alias("tier"), shift.alias("shift")))
+                                 ).alias("shifts"))
+
+    start = F.struct(zero.alias("taken"), F.col("z"), _big(F.col("e"), 38).alias("e"),
+                     F.array().cast("array<struct<tier:int,shift:bigint>>").alias("shifts"))
+    folded = sources.select(F.col("source").alias("_s"), F.explode(
+        F.aggregate("tiers", start, tier)["shifts"]).alias("_x"))
+    return folded.select("_s", F.col("_x.tier").alias("_t"), F.col("_x.shift").alias("shift"))
+
+
 def class_copies(hist: DataFrame, state: DataFrame, cap: int = CAP) -> DataFrame:
     """Whole copies for each (source, size): ``copies`` to deal out among its ``n`` documents."""
     cls = stage(_classes(hist, state, cap).filter(F.col("size") > 0).select(
         "source", "size", "n", "rate", "target",
         F.floor(F.log2(F.col("size").cast("double")) + 1e-9).cast("int").alias("tier")), "mix-classes")
-    top = cls.agg(F.max("tier")).first()[0]
-    if top is None:
-        return cls.select("source", "size", "n", F.lit(0).cast("long").alias("copies"))
-    per_tier = cls.groupBy("source", "tier").agg(
-        F.first("target").alias("target"), F.sum(F.col("n") * F.col("size")).alias("z"),
-        F.sum(_big(F.col("n") * F.col("size"), 20) * _big(F.col("rate"), 12)).alias("e"))
-    per_tier = stage(per_tier, "mix-tiers")
-    done: list[DataFrame] = []
-    for t in range(top, -1, -1):
-        rest = per_tier.filter(F.col("tier") <= t).groupBy("source").agg(
-            F.first("target").alias("t"), F.sum("z").alias("z"), F.sum("e").alias("e"))
-        rest = rest.withColumnRenamed("source", "_s")
-        if done:
-            taken = reduce(DataFrame.unionByName, done).groupBy("source").agg(
-                F.sum(F.col("copies") * F.col("size")).alias("taken"))
-            taken = taken.withColumnRenamed("source", "_s2")
-            rest = rest.join(taken, F.col("_s").eqNullSafe(F.col("_s2")), "left").drop("_s2")
-        else:
-            rest = rest.withColumn("taken", F.lit(0).cast("long"))
-        shift = F.round(((F.col("t") - F.coalesce("taken", F.lit(0))) * UNIT
-                         - F.col("e").cast("double")) / F.col("z")).cast("long")
-        rest = rest.select("_s", shift.alias("shift"))
-        here = cls.filter(F.col("tier") == t).join(
-            rest, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-        r = F.greatest(F.lit(0), F.least(F.lit(cap * UNIT), F.col("rate") + F.col("shift")))
-        want = _big(F.col("n"), 20) * _big(r, 12)
-        # One row per size: a tier of a source never has more rows than its largest size.
-        w = Window.partitionBy("source").orderBy(F.desc("size"))
-        upto = F.sum(want).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        half = UNIT // 2
-        whole = lambda c: F.floor((c.cast("decimal(38,0)") + F.lit(half)) / F.lit(UNIT)).cast("long")
-        here = (here.withColumn("_want", want).withColumn("_upto", upto.cast("decimal(38,0)"))
-                .withColumn("copies", F.least(F.col("n") * cap, whole(F.col("_upto"))
-                                              - whole(F.col("_upto") - F.col("_want")))))
-        done.append(stage(here.select("source", "size", "n", "copies"), "mix-tier"))
-    return reduce(DataFrame.unionByName, done)
+    shifts = stage(_shifts(cls, cap), "mix-shifts")
+    here = cls.join(shifts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("tier") == F.col("_t")))
+    # One row per size: a tier of a source never has more rows than its largest size.
+    w = Window.partitionBy("source", "tier").orderBy(F.desc("size"))
+    want = _want(F.col("n"), F.col("rate"), F.col("shift"), cap)
+    here = here.withColumn("_want", want).withColumn("_upto", F.sum("_want").over(
+        w.rowsBetween(Window.unboundedPreceding, 0)).cast("decimal(38,0)"))
+    copies = F.least(F.col("n") * cap, _whole(F.col("_upto")) - _whole(F.col("_upto") - F.col("_want")))
+    return stage(here.select("source", "size", "n", copies.alias("copies")), "mix-copies")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
