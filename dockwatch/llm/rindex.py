@@ -20,8 +20,10 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Symbols of the first ranking: 257 to the 7th fits a long.
-_PACK = 7
+#: Symbols of the first ranking: seven of nine bits fit a long.
+_PACK, _BITS = 7, 9
+#: Packed symbols that differ by less than these agree in their first six, five, ..., one.
+_LIMITS = np.int64(1) << (_BITS * np.arange(1, _PACK))
 
 
 class Marks:
@@ -78,25 +80,32 @@ class RunIndex:
         self.class_owner = np.minimum.reduceat(np.asarray(owner)[unit][sa], first)
 
     def _sorted(self) -> tuple[np.ndarray, np.ndarray]:
-        """The suffix array by doubling, and the rank of each position by its first 28 symbols."""
+        """The suffix array by doubling, and the rank of each position by its first 28 symbols.
+
+        A rank is one more than the first row of those that agree so far; only these are sorted on.
+        """
         n = len(self.text)
         padded = np.concatenate([self.text, np.zeros(_PACK, np.int16)]).astype(np.int64)
         key = np.zeros(n, dtype=np.int64)
         for i in range(_PACK):
-            key = key * 257 + padded[i:i + n]
-        width, prefix = _PACK, None
+            key <<= _BITS
+            key |= padded[i:i + n]
+        self.packed = key
+        rank = np.zeros(n + 1, dtype=np.int64)              # rank 0 lies beyond the text
+        order, row, width, prefix = np.arange(n), np.arange(n), _PACK, None
         while True:
-            order = np.argsort(key)
-            ordered = key[order]
-            step = np.concatenate([[1], (ordered[1:] != ordered[:-1]).astype(np.int64)])
-            rank = np.zeros(n + 1, dtype=np.int64)          # rank 0 lies beyond the text
-            rank[order] = np.cumsum(step)
-            if width == 4 * _PACK:
-                prefix = rank
-            if width >= 4 * _PACK and step.all():
+            by = np.argsort(key)
+            place, key = order[row][by], key[by]
+            order[row] = place
+            new = np.concatenate([[True], key[1:] != key[:-1]])
+            rank[place] = np.maximum.accumulate(np.where(new, row, 0)) + 1
+            row = row[~(new & np.append(new[1:], True))]
+            if prefix is None and (width == 4 * _PACK or not len(row)):
+                prefix = rank.copy()
+            if not len(row):
                 return order, prefix
-            later = np.minimum(np.arange(n) + width, n)
-            key = rank[:n] * (n + 1) + rank[later]
+            place = order[row]
+            key = rank[place] * (n + 1) + rank[np.minimum(place + width, n)]
             width *= 2
 
     @property
@@ -109,15 +118,13 @@ class RunIndex:
     def _shared(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
         """How many symbols the text has in common at ``a`` and ``b``, up to ``most``."""
         out = np.zeros(len(a), dtype=np.int64)
-        n = len(self.text)
         live = np.flatnonzero(most > 0)
         while len(live):
-            x, y = a[live] + out[live], b[live] + out[live]
-            inside = (x < n) & (y < n)
-            same = inside & (self.text[np.minimum(x, n - 1)] == self.text[np.minimum(y, n - 1)])
-            out[live[same]] += 1
-            live = live[same & (out[live] < most[live])]
-        return out
+            # What is matched at ``a`` holds no separator, so neither place runs over the end of the text.
+            differ = self.packed[a[live] + out[live]] ^ self.packed[b[live] + out[live]]
+            out[live] += np.where(differ == 0, _PACK, _PACK - 1 - np.searchsorted(_LIMITS, differ, side="right"))
+            live = live[(differ == 0) & (out[live] < most[live])]
+        return np.minimum(out, most)
 
     def _turn(self, symbol: np.ndarray, row: np.ndarray, at: np.ndarray, length: np.ndarray):
         """For states whose run has another symbol: the better of the run ends before and after.

@@ -9,11 +9,15 @@ is told travel as packed arrays, one row for each block and receiver:
 1. Blocks send their anchors with the smallest and largest id; receivers answer with
    those held by more than one document.
 2. Blocks send the segments of these anchors, each different one once with its smallest
-   id. A shard indexes the different ones (``rindex``: runs of the Burrows-Wheeler
-   transform with samples at run ends), streams them through the index for their
-   matching statistics, and answers with the first owner of each of their windows.
+   id. A receiver holds several shards. A shard indexes the different ones (``rindex``: runs
+   of the Burrows-Wheeler transform with samples at run ends), streams them through the index
+   for their matching statistics, and its receiver answers with the first owner of each of
+   their windows.
 3. Blocks mark the windows whose first owner has a smaller id, and cut.
 
+Rows that travel are blocks times receivers, so both are as large as a task's memory allows;
+shards are smaller, for an index that a cache holds.
+
 A block sends a gram, segment or window once however many of its documents hold it, so
 a passage that a third of the corpus quotes reaches a receiver once per block. Segments
 of an anchor that more than HOT_SEGMENTS segments share (the edges of such a passage
@@ -48,11 +52,15 @@ GRAM = 20
 #: Windows in a segment at most.
 RUN = WINDOW - GRAM + 1
 #: Text of a block, on average.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 8 << 20
 #: Text whose segments go to one shard, on average; some sixteenth of it are anchors.
 SHARD_BYTES = 1 << 20
+#: Text whose segments go to one receiver, on average.
+RECEIVER_BYTES = 32 << 20
 #: Text whose anchors go to one receiver, on average.
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 16 << 20
+#: Parts that small inputs are cut into, so that hashes deal them evenly.
+SPREAD = 256
 #: Text of a bucket of the table of blocks, on average.
 FILE_BYTES = 64 << 20
 #: Segments of one anchor that stay together.
@@ -88,22 +96,11 @@ def _part(x: np.ndarray, parts: int) -> np.ndarray:
     return (((x >> U(32)) * U(parts)) >> U(32)).astype(np.int64)
 
 
-def _grams(h: np.ndarray) -> np.ndarray:
-    """Hashes of all GRAM consecutive bytes, put together from powers of two."""
-    n, out, width = len(h) - GRAM + 1, None, 0
-    power, size = h, 1
-    rest = GRAM
-    while True:
-        if rest & 1:
-            piece = power[width:width + n]
-            out = piece if out is None else out * U(pow(_BASE, size, 1 << 64)) + piece
-            width += size
-        rest >>= 1
-        if not rest:
-            return _mixed(out)
-        m = len(power) - size
-        power = power[:m] * U(pow(_BASE, size, 1 << 64)) + power[size:]
-        size *= 2
+def _grams(sums: np.ndarray) -> np.ndarray:
+    """Hashes of all GRAM consecutive bytes, from the sums of bytes times powers."""
+    x = sums[GRAM:] - sums[:-GRAM]
+    x *= _DOWN[:len(x)]
+    return _mixed(x)
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -121,23 +118,26 @@ def _chunk(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...] | Non
     if size < WINDOW:
         return None
     begin, stop = bounds[:-1] - lo, np.maximum(bounds[:-1], bounds[1:] - WINDOW + 1) - lo
-    edge = np.zeros(size + 1, dtype=np.int64)
-    np.add.at(edge, begin, 1)
-    np.add.at(edge, stop, -1)
     m = size - WINDOW + 1
-    valid = np.cumsum(edge)[:m] > 0
     h = _TABLE[data[lo:lo + size]]
-    anchor = _sliding_min(_grams(h), RUN)
-    new = valid.copy()
-    new[1:] &= ~valid[:-1] | (anchor[1:] != anchor[:-1])
-    place = np.arange(m)
-    begun = np.maximum.accumulate(np.where(new, place, 0))
-    start = np.flatnonzero(valid & ((place - begun) % RUN == 0))
+    h *= _UP[:size]
+    sums = np.zeros(size + 1, dtype=np.uint64)
+    np.cumsum(h, out=sums[1:])
+    anchor = _sliding_min(_grams(sums), RUN)
+    new = np.ones(m, dtype=bool)
+    np.not_equal(anchor[1:], anchor[:-1], out=new[1:])
+    new[begin[begin < m]] = True
+    new[stop[stop < m]] = True
+    start = np.flatnonzero(new)
+    count = np.diff(np.append(start, m))
+    inside = start < stop[np.searchsorted(begin, start, side="right") - 1]
+    start, count = start[inside], count[inside]
     if not len(start):
         return None
-    text = np.searchsorted(begin, start, side="right") - 1
-    count = np.minimum(np.append(start[1:], m), stop[text]) - start
-    sums = np.concatenate([[U(0)], np.cumsum(h * _UP[:size], dtype=np.uint64)])
+    pieces = -(-count // RUN)                                   # more than one where a gram stands again and again
+    ends = np.repeat(start + count, pieces)
+    start = _spread(np.zeros_like(pieces), pieces) * RUN + np.repeat(start, pieces)
+    count = np.minimum(ends - start, RUN)
     seg = _mixed((sums[start + count + WINDOW - 1] - sums[start]) * _DOWN[start] + count.astype(np.uint64))
     # The smallest hashes are small numbers: mixed once more, they spread evenly over receivers.
     return start + lo, count, _mixed(anchor[start]) & _KEPT, seg
@@ -296,11 +296,12 @@ def _among(x: np.ndarray, some: np.ndarray) -> np.ndarray:
     return np.where(some[at] == x, at, -1)
 
 
-_UNITS = pa.schema([("shard", pa.int32()), ("_block", pa.int64()), ("seg", pa.binary()), ("id", pa.binary()),
-                    ("size", pa.binary()), ("text", pa.binary())])
+_UNITS = pa.schema([("receiver", pa.int32()), ("_block", pa.int64()), ("seg", pa.binary()), ("id", pa.binary()),
+                    ("size", pa.binary()), ("shard", pa.binary()), ("text", pa.binary())])
 
 
-def _send_segments(shards: int):
+def _send_segments(receivers: int, shards: int):
+    """``shards`` is their number in each receiver."""
     def run(key, docs: pa.Table, told: pa.Table) -> pa.Table:
         if not told.num_rows or not docs.num_rows:
             return _UNITS.empty_table()
@@ -317,19 +318,22 @@ def _send_segments(shards: int):
         ids = np.concatenate([ids[whole], np.repeat(ids[apart], count[apart])])
         size = np.concatenate([count[whole] + WINDOW - 1, np.full(len(at), WINDOW)])
         start = np.concatenate([start[whole], at])
-        order = np.argsort(ids, kind="stable")
-        _, first = np.unique(seg[order], return_index=True)
-        pick = order[first]
-        shard = _part(dealt[pick], shards)
-        pick, shard = pick[np.argsort(shard, kind="stable")], np.sort(shard)
-        if not len(pick):
+        if not len(seg):
             return _UNITS.empty_table()
-        cut = np.append(_groups(shard), len(shard))
+        order = np.argsort(seg)
+        first = _groups(seg[order])
+        pick, low = order[first], np.minimum.reduceat(ids[order], first)
+        shard = _part(dealt[pick], receivers * shards)
+        order = np.argsort(shard, kind="stable")
+        pick, low, shard = pick[order], low[order], shard[order]
+        receiver = shard // shards
+        cut = np.append(_groups(receiver), len(receiver))
         text = data[_spread(start[pick], size[pick])]
         ends = np.concatenate([[0], np.cumsum(size[pick])])
-        cols = {"seg": seg[pick], "id": ids[pick], "size": size[pick].astype(np.uint8)}
+        cols = {"seg": seg[pick], "id": low, "size": size[pick].astype(np.uint8),
+                "shard": (shard - receiver * shards).astype(np.uint16)}
         return pa.Table.from_pydict({
-            "shard": pa.array(shard[cut[:-1]], pa.int32()),
+            "receiver": pa.array(receiver[cut[:-1]], pa.int32()),
             "_block": pa.array(np.full(len(cut) - 1, key[0].as_py()), pa.int64()),
             **{n: pa.array([_packed(c[a:b]) for a, b in zip(cut[:-1], cut[1:])], pa.binary())
                for n, c in cols.items()},
@@ -339,24 +343,37 @@ def _send_segments(shards: int):
 
 
 def _answer_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in _by("shard", batches):
+    for rows in _by("receiver", batches):
         seg = _numbers(rows.column("seg"), np.uint64)
         ids = _numbers(rows.column("id"), np.int64)
         size = _numbers(rows.column("size"), np.uint8).astype(np.int64)
+        shard = _numbers(rows.column("shard"), np.uint16)
         text = _numbers(rows.column("text"), np.uint8)
         block = _repeat_of(rows, "seg", 8)
-        _, first, unit = np.unique(seg, return_index=True, return_inverse=True)
-        owner = np.full(len(first), _NONE)
-        np.minimum.at(owner, unit, ids)
-        data = text[_spread((np.cumsum(size) - size)[first], size[first])]
-        # The index is built on the different segments of the shard, which also stream against it.
-        owners, offset = RunIndex(data, size[first], owner, WINDOW).first_owners(data, size[first], _NONE)
-        new = np.concatenate([[True], owners[1:] != owners[:-1]])
-        new[offset] = True
-        runs = np.flatnonzero(new)
-        run_size = np.diff(np.append(runs, len(owners)))
-        run_first = np.searchsorted(runs, offset)
-        run_count = np.diff(np.append(run_first, len(runs)))
+        order = np.argsort(seg)
+        begun = _groups(seg[order])
+        first, owner = order[begun], np.minimum.reduceat(ids[order], begun)
+        unit = np.empty(len(seg), dtype=np.int64)
+        unit[order] = np.repeat(np.arange(len(first)), np.diff(np.append(begun, len(seg))))
+        place, length = (np.cumsum(size) - size)[first], size[first]
+        by_shard = np.argsort(shard[first], kind="stable")
+        cuts = np.append(_groups(shard[first][by_shard]), len(first))
+        run_first, run_count = np.empty(len(first), dtype=np.int64), np.empty(len(first), dtype=np.int64)
+        sizes, told, n = [], [], 0
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            own = by_shard[a:b]
+            data = text[_spread(place[own], length[own])]
+            # The index is built on the different segments of the shard, which also stream against it.
+            owners, offset = RunIndex(data, length[own], owner[own], WINDOW).first_owners(data, length[own], _NONE)
+            new = np.concatenate([[True], owners[1:] != owners[:-1]])
+            new[offset] = True
+            runs = np.flatnonzero(new)
+            at = np.searchsorted(runs, offset)
+            run_first[own], run_count[own] = at + n, np.diff(np.append(at, len(runs)))
+            sizes.append(np.diff(np.append(runs, len(owners))).astype(np.uint8))
+            told.append(owners[runs])
+            n += len(runs)
+        run_size, run_owner = np.concatenate(sizes), np.concatenate(told)
         order = np.argsort(block, kind="stable")
         block, unit, seg = block[order], unit[order], seg[order]
         at = np.append(_groups(block), len(block))
@@ -367,8 +384,8 @@ def _answer_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             out["_block"].append(int(block[a]))
             out["seg"].append(_packed(seg[a:b]))
             out["count"].append(_packed(run_count[u].astype(np.uint8)))
-            out["size"].append(_packed(run_size[r].astype(np.uint8)))
-            out["owner"].append(_packed(owners[runs[r]]))
+            out["size"].append(_packed(run_size[r]))
+            out["owner"].append(_packed(run_owner[r]))
         yield pa.RecordBatch.from_pydict(
             {n: pa.array(v, pa.int64() if n == "_block" else pa.binary()) for n, v in out.items()})
 
@@ -377,7 +394,7 @@ def _answer_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def _covered(data: np.ndarray, bounds: np.ndarray, ids: np.ndarray, told: pa.Table) -> np.ndarray:
     """Which bytes a window with an earlier owner covers."""
-    edge = np.zeros(len(data) + 1, dtype=np.int64)
+    edge = np.zeros(len(data) + 1, dtype=np.int32)
     seg_of = _numbers(told.column("seg"), np.uint64)
     if len(seg_of):
         order = np.argsort(seg_of)
@@ -403,7 +420,7 @@ def _covered(data: np.ndarray, bounds: np.ndarray, ids: np.ndarray, told: pa.Tab
         first = place[gone] + begun[r[gone]]
         np.add.at(edge, first, 1)
         np.add.at(edge, first + size[r[gone]] + WINDOW - 1, -1)
-    return np.cumsum(edge)[:-1] > 0
+    return np.cumsum(edge, out=edge)[:-1] > 0
 
 
 _SPAN = pa.struct([("first", pa.int64()), ("last", pa.int64())])
@@ -423,8 +440,8 @@ def _cut(schema: pa.Schema):
         ends = np.flatnonzero(gone & (np.concatenate([~gone[1:], [True]]) | edge[1:])[:len(gone)]) + 1
         per = np.searchsorted(begins, bounds)
         text_of = np.repeat(np.arange(len(bounds) - 1), np.diff(per))
-        removed = np.concatenate([[0], np.cumsum(gone)])[bounds]
-        kept = np.concatenate([[0], np.cumsum(~gone)])[bounds].astype(np.int32)
+        removed = np.concatenate([[0], np.cumsum(ends - begins)])[per]
+        kept = (bounds - removed).astype(np.int32)
         spans = pa.StructArray.from_arrays([pa.array(begins - bounds[text_of]), pa.array(ends - bounds[text_of])],
                                            fields=list(_SPAN))
         rest = pa.Array.from_buffers(pa.binary(), len(kept) - 1,
@@ -445,8 +462,9 @@ def _remove_repeats(docs: DataFrame, hot_segments: int) -> DataFrame:
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(least, total // BLOCK_BYTES)
-    shards, buckets = max(least, total // SHARD_BYTES), max(least, total // BUCKET_BYTES)
+    blocks, receivers, buckets = (max(least, min(4 * least, SPREAD), total // each)
+                                  for each in (BLOCK_BYTES, RECEIVER_BYTES, BUCKET_BYTES))
+    shards = -(-total // (SHARD_BYTES * receivers)) or 1
     d = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_id"), "text")
     # Numbering the rows keeps many repeats of one row apart; the table is written before it is read.
     dealt = F.xxhash64("_id", F.monotonically_increasing_id())
@@ -459,8 +477,9 @@ def _remove_repeats(docs: DataFrame, hot_segments: int) -> DataFrame:
         _answer_anchors(hot_segments), "_block long, cold binary, hot binary"), "suffix-anchors")
 
     units = d.select("_block", "_id", "text").groupBy("_block").cogroup(told.groupBy("_block")).applyInArrow(
-        _send_segments(shards), "shard int, _block long, seg binary, id binary, size binary, text binary")
-    owners = stage(units.repartition("shard").sortWithinPartitions("shard").mapInArrow(
+        _send_segments(receivers, shards),
+        "receiver int, _block long, seg binary, id binary, size binary, shard binary, text binary")
+    owners = stage(units.repartition("receiver").sortWithinPartitions("receiver").mapInArrow(
         _answer_segments, "_block long, seg binary, count binary, size binary, owner binary"), "suffix-owners")
 
     answers = owners.withColumn("hot", F.lit(None).cast("binary")).unionByName(

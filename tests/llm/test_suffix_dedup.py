@@ -65,6 +65,29 @@ def test_matches_brute_force(spark, rows, hot):
     assert _got(df, hot_segments=hot) == _brute(rows)
 
 
+def test_rows_that_travel_do_not_grow_with_blocks_times_shards(spark, monkeypatch):
+    """All sizes are a 256th, so that this megabyte is dealt as 256 are."""
+    for name in ("BLOCK_BYTES", "SHARD_BYTES", "RECEIVER_BYTES", "BUCKET_BYTES", "FILE_BYTES"):
+        monkeypatch.setattr(sd, name, getattr(sd, name, 0) >> 8, raising=False)
+    sent = {}
+
+    def counted(df, name, write=sd.stage):
+        out = write(df, name)
+        sent[name] = out.count()
+        return out
+
+    monkeypatch.setattr(sd, "stage", counted)
+    rng = random.Random(9)
+    make = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passages = [make(400) for _ in range(300)]
+    rows = []
+    for i in range(1000):
+        at = rng.randint(0, 200)
+        rows.append((i, make(700) + rng.choice(passages)[at:at + 300] + make(20)))
+    assert _got(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == _brute(rows)
+    assert 0 < sent["suffix-anchors"] <= 1500 and 0 < sent["suffix-owners"] <= 1500
+
+
 def test_texts_longer_than_a_chunk(spark):
     rng = np.random.default_rng(3)
     long = rng.integers(97, 123, sd.CHUNK + 70_000, dtype=np.uint8).tobytes().decode()
