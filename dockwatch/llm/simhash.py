@@ -88,7 +88,8 @@ def links(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
                         F.explode(masks).alias("mask")).select(
                             "a", "seg", F.col("own").bitwiseXOR(F.col("mask")).alias("key"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
-    return (asked.join(stored, ["seg", "key"]).filter((F.col("a") < F.col("b")) & near)
+    # The planner sizes exploded rows as if they were one each, and would broadcast them: no broadcast.
+    return (asked.hint("merge").join(stored, ["seg", "key"]).filter((F.col("a") < F.col("b")) & near)
             .select("a", "b").distinct())
 
 

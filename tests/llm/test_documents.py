@@ -10,6 +10,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from dockwatch.llm import (licenses, mixing, packing, sharding, simhash, substring, tokens, toxicity)
 from dockwatch.llm.fmindex import FMIndex, repeated_intervals
@@ -71,6 +72,13 @@ def test_simhash_links_by_balls(spark):
     assert got == {(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 3}
 
 
+def test_simhash_links_broadcast_no_exploded_rows(spark):
+    df = simhash.links(spark.range(1000).select(F.xxhash64("id").alias("fp")))
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
 @pytest.mark.parametrize("hot", [5_000, 1])
 def test_substring_against_brute_force(docs, doc_rows, monkeypatch, hot):
     monkeypatch.setattr(substring, "HOT_SEGMENTS", hot)          # 1: nearly every anchor is taken apart
